@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scopekit import fixed_values as FV
-from scopekit.functions.records import SCOPES, clip, parse, stub_struct, trim_marker
+from scopekit.functions.records import (SCOPES, clip, parse_record, record_checks, record_values, stub_struct,
+                                        trim_marker)
 
 STATUS_OK = "ok"
 STATUS_FAILED = "failed"
@@ -21,8 +22,9 @@ def validate_responses(df: DataFrame, text_col: str = "response") -> DataFrame:
 
     The text is parsed once per row (the parse is its own projection step and
     the checks read its result)."""
-    parsed = df.select("*", parse(text_col).alias("_p"))
-    return parsed.select(*df.columns, *[F.col(f"_p.{c}").alias(c) for c in ("valid", *SCOPES, "sources")])
+    parsed = df.select("*", parse_record(text_col).alias("_p"), F.json_object_keys(text_col).alias("_k"))
+    checked = parsed.select("*", record_checks(text_col, "_p", "_k").alias("valid"))
+    return checked.select(*df.columns, "valid", *record_values("_p", "valid"))
 
 
 def records_or_stub(df: DataFrame, text_col: str = "response", marker: str = FV.EOS_MARKER) -> DataFrame:

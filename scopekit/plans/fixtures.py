@@ -31,7 +31,13 @@ def materialized(name: str):
             path = _WRITTEN.get(key)
             if path is None:
                 path = shared_dir(spark, f"table-{name}")
-                build(spark, sf).write.mode("overwrite").parquet(path)
+                df = build(spark, sf)
+                # Written as at least one file per core, as a table on a cluster would be
+                # (the driver's source files are single row groups, i.e. single tasks).
+                n = spark.sparkContext.defaultParallelism
+                if df.rdd.getNumPartitions() < n:
+                    df = df.repartition(n)
+                df.write.mode("overwrite").parquet(path)
                 _WRITTEN[key] = path
             return spark.read.parquet(path)
         get.__doc__ = build.__doc__
