@@ -22,7 +22,7 @@ def read_json_outputs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_text_files(spark: SparkSession, path: str, value_name: str = "text") -> DataFrame:
     """Whole files as one row each (raw responses, cached prompts); ``id`` is the file stem."""
-    df = spark.read.option("wholetext", True).text(path)
+    df = spark.read.text(path, wholetext=True)
     return df.select(path_stem(F.col("_metadata.file_path")).alias("id"), F.col("value").alias(value_name))
 
 
