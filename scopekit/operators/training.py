@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scopekit import fixed_values as FV
@@ -12,15 +12,16 @@ from scopekit.functions.records import random_record, record_json
 def chat_pairs(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn, prompt, completion): a user turn directly followed by an assistant turn.
 
-    The window is per conversation, ordered by turn; one conversation is a
-    handful of rows.
+    Turns are numbered consecutively within a conversation, so "directly
+    followed" is an equi-join on (conv_id, turn + 1). Both join keys are
+    hashed, so even one very long conversation is spread over many tasks
+    (a window by conv_id would put it in one).
     """
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    nxt = conversations.select("conv_id", "turn", "role", "text",
-                               F.lead("role").over(w).alias("next_role"),
-                               F.lead("text").over(w).alias("next_text"))
-    return (nxt.where((F.col("role") == "user") & (F.col("next_role") == "assistant"))
-            .select("conv_id", "turn", F.col("text").alias("prompt"), F.col("next_text").alias("completion")))
+    users = conversations.where(F.col("role") == "user").select(
+        "conv_id", "turn", (F.col("turn") + 1).alias("next_turn"), F.col("text").alias("prompt"))
+    replies = conversations.where(F.col("role") == "assistant").select(
+        "conv_id", F.col("turn").alias("next_turn"), F.col("text").alias("completion"))
+    return users.join(replies, ["conv_id", "next_turn"], "inner").select("conv_id", "turn", "prompt", "completion")
 
 
 def drop_stubs(responses: DataFrame, text_col: str = "response") -> DataFrame:
