@@ -21,16 +21,24 @@ MODES = ("strict", "tolerant", "graceful")
 _CHECKS = {"strict": strict_correct, "tolerant": tolerant_correct, "graceful": graceful_correct}
 
 
+def _truth_value_columns() -> list:
+    return [F.col("scope_1").cast("double").alias("scope_1"),
+            F.coalesce("scope_2_market", "scope_2_location").cast("double").alias("scope_2"),
+            F.col("scope_3").cast("double").alias("scope_3")]
+
+
 def truth_values(truth: DataFrame) -> DataFrame:
     """(id, scope_1, scope_2, scope_3): scope 2 is the market value, else the location value."""
-    return truth.select("id", F.col("scope_1").cast("double").alias("scope_1"),
-                        F.coalesce("scope_2_market", "scope_2_location").cast("double").alias("scope_2"),
-                        F.col("scope_3").cast("double").alias("scope_3"))
+    return truth.select("id", *_truth_value_columns())
 
 
 def truth_page_set(truth: DataFrame, which: str = "scope_1") -> DataFrame:
     """(id, true_pages): the first listed page column ('scope_1', as the original
     evaluation compares) or the union of all page columns ('any')."""
+    return truth.select("id", _true_pages(which).alias("true_pages"))
+
+
+def _true_pages(which: str):
     if which == "scope_1":
         pages = F.col("scope_1_page")
     elif which == "any":
@@ -39,7 +47,7 @@ def truth_page_set(truth: DataFrame, which: str = "scope_1") -> DataFrame:
             *[F.coalesce(F.col(c), F.array().cast("array<int>")) for c in cols]))))
     else:
         raise ValueError("truth pages must be 'scope_1' or 'any'")
-    return truth.select("id", pages.cast("array<bigint>").alias("true_pages"))
+    return pages.cast("array<bigint>")
 
 
 def join_predictions(pred: DataFrame, truth: DataFrame) -> DataFrame:
@@ -54,21 +62,46 @@ def unmatched_predictions(pred: DataFrame, truth: DataFrame) -> DataFrame:
     return pred.select("model", "id").join(truth.select("id"), "id", "left_anti")
 
 
-def value_accuracy(joined: DataFrame, keys=FV.SCOPE_KEYS) -> DataFrame:
+def evaluation_counts(pred: DataFrame, truth: DataFrame, which: str = "scope_1",
+                      keys=FV.SCOPE_KEYS) -> DataFrame:
+    """One row per model with every count the metrics need, from one join and one aggregation.
+
+    Per key: ``n__k`` rows whose prediction is not the failure value -1 (null
+    predictions stay) and ``<mode>__k`` correct rows per mode. Sources:
+    ``src_n``/``src_correct`` over all rows, ``src_n_ok``/``src_correct_ok``
+    without failed rows. All aggregates are counts, combined map-side.
+    """
+    vals = dict(zip(FV.SCOPE_KEYS, _truth_value_columns()))
+    t = truth.select("id", *[vals[k].alias(f"true_{k}") for k in keys], _true_pages(which).alias("true_pages"))
+    p = pred.select("model", "id", *[F.col(k).cast("bigint").alias(f"pred_{k}") for k in keys],
+                    "sources", is_stub().alias("failed"))
+    j = p.join(t, "id", "inner")
+    aggs = []
+    for k in keys:
+        kept = F.col(f"pred_{k}").isNull() | (F.col(f"pred_{k}") != F.lit(FV.FAILED_VALUE))
+        aggs.append(F.count_if(kept).alias(f"n__{k}"))
+        aggs += [F.count_if(kept & _CHECKS[m](f"pred_{k}", f"true_{k}")).alias(f"{m}__{k}") for m in MODES]
+    hit = pages_overlap("sources", "true_pages")
+    aggs += [F.count(F.lit(1)).alias("src_n"), F.count_if(hit).alias("src_correct"),
+             F.count_if(~F.col("failed")).alias("src_n_ok"), F.count_if(hit & ~F.col("failed")).alias("src_correct_ok")]
+    return j.groupBy("model").agg(*aggs)
+
+
+def _ratio(num: str, den: str) -> F.Column:
+    return F.round(F.when(F.col(den) > 0, F.col(num) / F.col(den)), 6)
+
+
+def value_accuracy(counts: DataFrame, keys=FV.SCOPE_KEYS) -> DataFrame:
     """(model, key, n, strict_correct, tolerant_correct, graceful_correct, *_accuracy).
 
-    Rows whose prediction is the failure value -1 are left out per key; a null
-    prediction stays. n = 0 gives a null accuracy.
+    The per-model counts are unpivoted to one row per key (a few rows per model).
+    n = 0 gives a null accuracy.
     """
-    parts = ", ".join(f"'{k}', pred_{k}, true_{k}" for k in keys)
-    long = joined.selectExpr("model", f"stack({len(keys)}, {parts}) AS (key, pred, truth)")
-    long = long.where(F.col("pred").isNull() | (F.col("pred") != F.lit(FV.FAILED_VALUE)))
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.count_if(_CHECKS[m]("pred", "truth")).alias(f"{m}_correct") for m in MODES]
-    out = long.groupBy("model", "key").agg(*aggs)
-    acc = [F.round(F.when(F.col("n") > 0, F.col(f"{m}_correct") / F.col("n")), 6).alias(f"{m}_accuracy")
-           for m in MODES]
-    return out.select("model", "key", "n", *[f"{m}_correct" for m in MODES], *acc)
+    parts = ", ".join(f"'{k}', n__{k}, " + ", ".join(f"{m}__{k}" for m in MODES) for k in keys)
+    cols = ", ".join(["n", *[f"{m}_correct" for m in MODES]])
+    long = counts.selectExpr("model", f"stack({len(keys)}, {parts}) AS (key, {cols})")
+    return long.select("model", "key", "n", *[f"{m}_correct" for m in MODES],
+                       *[_ratio(f"{m}_correct", "n").alias(f"{m}_accuracy") for m in MODES])
 
 
 def mode_accuracy(acc: DataFrame, mode: str) -> DataFrame:
@@ -93,21 +126,14 @@ def average_accuracy(long: DataFrame) -> DataFrame:
             .select("model", "mode", "n_keys", F.round("average", 6).alias("average")))
 
 
-def source_accuracy(pred: DataFrame, truth: DataFrame, which: str = "scope_1",
-                    exclude_failed: bool = False) -> DataFrame:
+def source_accuracy(counts: DataFrame, exclude_failed: bool = False) -> DataFrame:
     """(model, n, correct, accuracy): a row is correct when cited and true pages share a page.
 
     As evaluated originally, failed rows count as wrong and stay in the
     denominator; ``exclude_failed`` drops them instead.
     """
-    p = pred.select("model", "id", "sources", is_stub().alias("failed"))
-    if exclude_failed:
-        p = p.where(~F.col("failed"))
-    j = p.join(truth_page_set(truth, which), "id", "inner")
-    out = j.groupBy("model").agg(F.count(F.lit(1)).alias("n"),
-                                 F.count_if(pages_overlap("sources", "true_pages")).alias("correct"))
-    return out.select("model", "n", "correct",
-                      F.round(F.when(F.col("n") > 0, F.col("correct") / F.col("n")), 6).alias("accuracy"))
+    n, c = ("src_n_ok", "src_correct_ok") if exclude_failed else ("src_n", "src_correct")
+    return counts.select("model", F.col(n).alias("n"), F.col(c).alias("correct"), _ratio(c, n).alias("accuracy"))
 
 
 def cited_true_pages(pred: DataFrame, truth: DataFrame, which: str = "scope_1") -> DataFrame:
@@ -116,19 +142,26 @@ def cited_true_pages(pred: DataFrame, truth: DataFrame, which: str = "scope_1")
     return j.select("model", "id", F.array_sort(F.array_intersect("sources", "true_pages")).alias("cited"))
 
 
-def metric_table(acc: DataFrame, sources: DataFrame | None = None, keys=FV.SCOPE_KEYS) -> DataFrame:
-    """One row per (model, mode), one column per key, plus ``average`` (and ``sources``).
+def metric_table(counts: DataFrame, keys=FV.SCOPE_KEYS, with_sources: bool = True) -> DataFrame:
+    """One row per (model, mode), one column per key, plus ``average`` and ``sources``.
 
-    Pivot values are listed, so no extra job discovers them; the input is the
-    small per-(model, key) table.
+    A single projection over the per-model counts (one join and one
+    aggregation upstream, no self-join): modes are unpivoted with ``stack``;
+    the average is the mean of the available per-key accuracies, only with
+    more than one key.
     """
-    long = long_accuracy(acc)
-    wide = long.groupBy("model", "mode").pivot("key", list(keys)).agg(F.first("accuracy"))
-    avg = average_accuracy(long).select("model", "mode", "average")
-    out = wide.join(avg, ["model", "mode"], "left")
-    if sources is not None:
-        out = out.join(sources.select("model", F.col("accuracy").alias("sources")), "model", "left")
-    return out
+    parts = ", ".join(f"'{m}', " + ", ".join(f"{m}__{k}" for k in keys) for m in MODES)
+    by_mode = counts.selectExpr("model", *[f"n__{k}" for k in keys], "src_n", "src_correct",
+                                f"stack({len(MODES)}, {parts}) AS (mode, {', '.join('c__' + k for k in keys)})")
+    acc = by_mode.select("model", "mode", "src_n", "src_correct",
+                         *[_ratio(f"c__{k}", f"n__{k}").alias(k) for k in keys])
+    present = sum((F.col(k).isNotNull().cast("int") for k in keys), F.lit(0))
+    total = sum((F.coalesce(F.col(k), F.lit(0.0)) for k in keys), F.lit(0.0))
+    average = F.round(F.when(F.lit(len(keys) > 1) & (present > 0), total / present), 6)
+    cols = ["model", "mode", *keys, average.alias("average")]
+    if with_sources:
+        cols.append(_ratio("src_correct", "src_n").alias("sources"))
+    return acc.select(*cols)
 
 
 def failure_count(pred: DataFrame) -> DataFrame:

@@ -243,8 +243,12 @@ def _joined(spark, sf):
     return E.join_predictions(FX.predictions(spark, sf), FX.ground_truth(spark, sf))
 
 
+def _counts(spark, sf):
+    return E.evaluation_counts(FX.predictions(spark, sf), FX.ground_truth(spark, sf))
+
+
 def _acc(spark, sf):
-    return E.value_accuracy(_joined(spark, sf))
+    return E.value_accuracy(_counts(spark, sf))
 
 
 def q_scope2_truth(spark, sf):
@@ -276,7 +280,7 @@ def q_accuracy_graceful(spark, sf):
 
 
 def q_accuracy_sources(spark, sf):
-    return E.source_accuracy(FX.predictions(spark, sf), FX.ground_truth(spark, sf))
+    return E.source_accuracy(_counts(spark, sf))
 
 
 def q_accuracy_average(spark, sf):
@@ -284,10 +288,7 @@ def q_accuracy_average(spark, sf):
 
 
 def q_metric_table(spark, sf):
-    pred, truth = FX.predictions(spark, sf), FX.ground_truth(spark, sf)
-    acc = E.value_accuracy(E.join_predictions(pred, truth))
-    return E.metric_table(acc, E.source_accuracy(pred, truth)).select(
-        "model", "mode", *FV.SCOPE_KEYS, "average", "sources")
+    return E.metric_table(_counts(spark, sf)).select("model", "mode", *FV.SCOPE_KEYS, "average", "sources")
 
 
 def q_failure_count(spark, sf):

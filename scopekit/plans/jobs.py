@@ -59,8 +59,7 @@ def run_extraction(spark: SparkSession, prompt_dir: str, output_dir: str, run_na
 
 def evaluate_to_table(spark: SparkSession, predictions: DataFrame, truth: DataFrame, out_dir: str) -> DataFrame:
     """Metric table (all modes, average, source accuracy) written as CSV with two decimals."""
-    acc = E.value_accuracy(E.join_predictions(predictions, truth))
-    table = E.metric_table(acc, E.source_accuracy(predictions, truth))
+    table = E.metric_table(E.evaluation_counts(predictions, truth))
     sinks.write_metric_table(table, out_dir)
     return table
 

@@ -7,7 +7,7 @@ from tests.conftest import SF_SMALL
 
 def _acc(spark, pred, truth):
     return {(r.model, r.key): (r.n, r.strict_correct, r.tolerant_correct, r.graceful_correct)
-            for r in E.value_accuracy(E.join_predictions(pred, truth)).collect()}
+            for r in E.value_accuracy(E.evaluation_counts(pred, truth)).collect()}
 
 
 def test_permuted_truth_gives_same_accuracy(spark):
@@ -35,9 +35,10 @@ def test_failed_rows_are_masked_and_nulls_count(spark):
     assert acc[("m", "scope_1")] == (2, 2, 2, 2)
     assert acc[("m", "scope_2")] == (2, 1, 1, 1)
     assert acc[("m", "scope_3")] == (2, 1, 1, 2)
-    src = E.source_accuracy(pred, truth).first()
+    counts = E.evaluation_counts(pred, truth)
+    src = E.source_accuracy(counts).first()
     assert (src.n, src.correct) == (3, 1)  # failed row is wrong and counted
-    src_ex = E.source_accuracy(pred, truth, exclude_failed=True).first()
+    src_ex = E.source_accuracy(counts, exclude_failed=True).first()
     assert (src_ex.n, src_ex.correct) == (2, 1)
 
 
@@ -49,12 +50,12 @@ def test_unmatched_predictions_are_reported(spark):
 
 def test_empty_input_gives_null_accuracy(spark):
     pred = FX.predictions(spark, SF_SMALL).where(F.lit(False))
-    acc = E.value_accuracy(E.join_predictions(pred, FX.ground_truth(spark, SF_SMALL)))
+    acc = E.value_accuracy(E.evaluation_counts(pred, FX.ground_truth(spark, SF_SMALL)))
     assert acc.count() == 0
 
 
 def test_metric_table_shape(spark):
     pred, truth = FX.predictions(spark, SF_SMALL), FX.ground_truth(spark, SF_SMALL)
-    t = E.metric_table(E.value_accuracy(E.join_predictions(pred, truth)), E.source_accuracy(pred, truth))
+    t = E.metric_table(E.evaluation_counts(pred, truth))
     assert t.columns == ["model", "mode", "scope_1", "scope_2", "scope_3", "average", "sources"]
     assert t.count() == 4 * 3
