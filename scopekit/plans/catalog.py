@@ -317,6 +317,15 @@ def q_training_prompts(spark, sf):
     return T.training_prompts(responses, _stripped_cache(spark, sf), rebuilt)
 
 
+def q_training_prompts_from_parquet(spark, sf):
+    """Responses from a Parquet prediction table, re-serialised as compact records per row."""
+    pred = FX.predictions(spark, sf).where(F.col("model") == "m0")
+    responses = pred.select("id", record_json().alias("response"))
+    assembled = _prompt_parts(spark, sf)[2]
+    rebuilt = assembled.select(F.col("doc_id").cast("string").alias("id"), "user_message")
+    return T.training_prompts(responses, _stripped_cache(spark, sf), rebuilt)
+
+
 def _pair_id():
     return F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
 
@@ -399,6 +408,7 @@ QUERIES: dict[str, Query] = {
     "strip_wrapper": q_strip_wrapper,
     "drop_empty_prompts": q_drop_empty_prompts,
     "training_prompts": q_training_prompts,
+    "training_prompts_from_parquet": q_training_prompts_from_parquet,
     "sft_records": q_sft_records,
     "dpo_records": q_dpo_records,
     "rejected_records": q_rejected_records,
