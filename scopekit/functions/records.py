@@ -145,8 +145,9 @@ def empty_struct() -> Column:
 
 def is_stub(s1="scope_1", s2="scope_2", s3="scope_3", sources="sources") -> Column:
     m1 = F.lit(FV.FAILED_VALUE)
+    src = _col(sources)
     return F.coalesce((_col(s1) == m1) & (_col(s2) == m1) & (_col(s3) == m1)
-                      & (F.to_json(_col(sources)) == F.lit("[-1]")), F.lit(False))
+                      & (F.size(src) == 1) & (F.element_at(src, 1) == m1), F.lit(False))
 
 
 # ---- reproducible "random" values: a hash of (id, field, seed), never rand() --------------
