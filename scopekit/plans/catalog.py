@@ -311,7 +311,8 @@ def q_drop_empty_prompts(spark, sf):
 
 
 def q_training_prompts(spark, sf):
-    responses = FX.raw_responses(spark, sf).where(F.col("model") == "m0").select("id", "response")
+    # responses keyed by id, the one loaded last wins (then stubs are dropped)
+    responses = T.last_response(FX.raw_responses(spark, sf))
     assembled = _prompt_parts(spark, sf)[2]
     rebuilt = assembled.select(F.col("doc_id").cast("string").alias("id"), "user_message")
     return T.training_prompts(responses, _stripped_cache(spark, sf), rebuilt)
@@ -319,8 +320,8 @@ def q_training_prompts(spark, sf):
 
 def q_training_prompts_from_parquet(spark, sf):
     """Responses from a Parquet prediction table, re-serialised as compact records per row."""
-    pred = FX.predictions(spark, sf).where(F.col("model") == "m0")
-    responses = pred.select("id", record_json().alias("response"))
+    pred = FX.predictions(spark, sf).select("id", "model", record_json().alias("response"))
+    responses = T.last_response(pred, order_col="model")
     assembled = _prompt_parts(spark, sf)[2]
     rebuilt = assembled.select(F.col("doc_id").cast("string").alias("id"), "user_message")
     return T.training_prompts(responses, _stripped_cache(spark, sf), rebuilt)

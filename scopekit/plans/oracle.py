@@ -514,7 +514,8 @@ SELECT id, prompt, completion FROM (
   SELECT r.id, CASE WHEN c.content IS NOT NULL THEN (CASE WHEN NOT {_empty_prompt('c.content')} THEN c.content END)
                     WHEN coalesce(length(a.user_message), 0) > 0 THEN {INSTR} || {NL} || left(a.user_message, length(a.user_message) - 1)
                END AS prompt, r.response AS completion
-  FROM (SELECT id, response FROM raw_responses WHERE model = 'm0' AND response <> {STUB}) r
+  FROM (SELECT id, response FROM (SELECT id, arg_max(response, seq) AS response FROM raw_responses GROUP BY id)
+        WHERE response <> {STUB}) r
   LEFT JOIN stripped c ON r.id = c.id
   LEFT JOIN (SELECT CAST(doc_id AS VARCHAR) AS id, user_message FROM assembled) a ON r.id = a.id)
 WHERE prompt IS NOT NULL""")
@@ -523,8 +524,8 @@ SELECT id, prompt, completion FROM (
   SELECT r.id, CASE WHEN c.content IS NOT NULL THEN (CASE WHEN NOT {_empty_prompt('c.content')} THEN c.content END)
                     WHEN coalesce(length(a.user_message), 0) > 0 THEN {INSTR} || {NL} || left(a.user_message, length(a.user_message) - 1)
                END AS prompt, r.response AS completion
-  FROM (SELECT id, response FROM (SELECT id, {record_text('scope_1', 'scope_2', 'scope_3', 'sources')} AS response
-                                  FROM predictions WHERE model = 'm0') WHERE response <> {STUB}) r
+  FROM (SELECT id, response FROM (SELECT id, arg_max({record_text('scope_1', 'scope_2', 'scope_3', 'sources')}, model) AS response
+                                  FROM predictions GROUP BY id) WHERE response <> {STUB}) r
   LEFT JOIN stripped c ON r.id = c.id
   LEFT JOIN (SELECT CAST(doc_id AS VARCHAR) AS id, user_message FROM assembled) a ON r.id = a.id)
 WHERE prompt IS NOT NULL""")
