@@ -63,12 +63,27 @@ def document_budget(units: DataFrame, limit_chars: float | None = None) -> DataF
                       (before_last > F.lit(limit)).alias("over_budget"))
 
 
+def assemble_with_status(units: DataFrame, budget: DataFrame) -> DataFrame:
+    """(doc_id, over_budget, n_chunks, user_message) for every document with a relevant page.
+
+    Relevant pages meet their document's budget row in one join; the ordered
+    concatenation only takes pages of documents within budget (the others add
+    nothing to the aggregation buffer), so a group never holds more than the
+    limit plus one page. ``user_message`` is null for over-budget documents.
+    """
+    b = budget.select("doc_id", "over_budget")
+    rel = relevant_pages(units).join(b, "doc_id", "inner")
+    keep = ~F.col("over_budget")
+    return rel.groupBy("doc_id").agg(
+        F.max("over_budget").alias("over_budget"),
+        F.count_if(keep).alias("n_chunks"),
+        F.expr("listagg(CASE WHEN NOT over_budget THEN unit END, '') WITHIN GROUP (ORDER BY page_no)")
+         .alias("user_message"),
+    )
+
+
 def assemble_documents(units: DataFrame, budget: DataFrame) -> DataFrame:
     """(doc_id, n_chunks, user_message): ordered concatenation of the relevant pages of
     every document that has some and is within budget."""
-    within = budget.where(~F.col("over_budget") & (F.col("n_relevant") > 0)).select("doc_id")
-    rel = relevant_pages(units).join(within, "doc_id", "left_semi")
-    return rel.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_chunks"),
-        F.expr("listagg(unit, '') WITHIN GROUP (ORDER BY page_no)").alias("user_message"),
-    )
+    return (assemble_with_status(units, budget).where(~F.col("over_budget"))
+            .select("doc_id", "n_chunks", "user_message"))

@@ -33,19 +33,19 @@ def _wrap(content: F.Column, family: F.Column | None) -> F.Column:
     return expr.otherwise(one("mistral"))
 
 
-def build_prompts(doc_ids: DataFrame, budget: DataFrame, assembled: DataFrame,
+def build_prompts(doc_ids: DataFrame, assembled: DataFrame,
                   instruction: str = FV.INSTRUCTION, family: F.Column | None = None,
                   answer_start: str = FV.ANSWER_START) -> DataFrame:
     """(doc_id, status, prompt) for every document.
 
-    status 'ok': chat-wrapped ``instruction + "\\n" + pages`` plus the answer start;
-    'no_relevant_pages': no prompt (the record is all null with no sources);
-    'over_budget': no prompt (the record becomes the failure stub).
-    ``doc_ids`` may carry extra columns (e.g. the model) used by ``family``.
+    ``assembled`` is ``pages.assemble_with_status``. status 'ok': chat-wrapped
+    ``instruction + "\\n" + pages`` plus the answer start; 'no_relevant_pages':
+    no prompt (the record is all null with no sources); 'over_budget': no
+    prompt (the record becomes the failure stub). ``doc_ids`` may carry extra
+    columns (e.g. the model) used by ``family``.
     """
-    b = budget.select("doc_id", "over_budget", "n_relevant")
-    a = assembled.select("doc_id", "user_message")
-    j = doc_ids.join(b, "doc_id", "left").join(a, "doc_id", "left")
+    a = assembled.select("doc_id", "over_budget", "user_message")
+    j = doc_ids.join(a, "doc_id", "left")
     status = (F.when(F.coalesce(F.col("over_budget"), F.lit(False)), F.lit(STATUS_OVER))
                .when(F.col("user_message").isNull(), F.lit(STATUS_EMPTY))
                .otherwise(F.lit(STATUS_OK)))

@@ -47,9 +47,11 @@ def _units(spark, sf, mode="text"):
 
 
 def _prompt_parts(spark, sf, mode="text", limit_chars=None):
+    """(units, assembled with budget status, assembled within budget)."""
     units = _units(spark, sf, mode)
-    budget = P.document_budget(units, limit_chars)
-    return units, budget, P.assemble_documents(units, budget)
+    status = P.assemble_with_status(units, P.document_budget(units, limit_chars))
+    within = status.where(~F.col("over_budget")).select("doc_id", "n_chunks", "user_message")
+    return units, status, within
 
 
 def q_page_split(spark, sf):
@@ -86,10 +88,10 @@ def q_over_budget(spark, sf):
 
 
 def _prompts(spark, sf, family=None, with_model=False):
-    _, budget, assembled = _prompt_parts(spark, sf)
+    _, status, _ = _prompt_parts(spark, sf)
     ids = FX.document_models(spark, sf) if with_model else FX.documents(spark, sf, "doc_id")
     fam = PR.chat_family("model") if with_model else None
-    return PR.build_prompts(ids, budget, assembled, family=fam)
+    return PR.build_prompts(ids, status, family=fam)
 
 
 def q_build_prompt(spark, sf):
@@ -189,8 +191,8 @@ def q_resume_pending(spark, sf):
 
 def q_batch_score(spark, sf):
     todo = q_resume_pending(spark, sf)
-    _, budget, assembled = _prompt_parts(spark, sf)
-    prompts = PR.build_prompts(todo, budget, assembled)
+    _, status, _ = _prompt_parts(spark, sf)
+    prompts = PR.build_prompts(todo, status)
     return B.batch_records(prompts, B.chunk_echo_scorer)
 
 

@@ -30,7 +30,7 @@ def build_prompt_table(pages: DataFrame, doc_ids: DataFrame, prompt_dir: str, mo
     """Pages -> relevant pages -> budget -> assembly -> prompts, written as the prompt table."""
     units = P.page_units(pages, mode)
     budget = P.document_budget(units, P.budget_chars(max_tokens))
-    prompts = PR.build_prompts(doc_ids, budget, P.assemble_documents(units, budget), instruction=instruction)
+    prompts = PR.build_prompts(doc_ids, P.assemble_with_status(units, budget), instruction=instruction)
     prompts.write.mode("overwrite").parquet(prompt_dir)
 
 

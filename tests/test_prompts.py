@@ -36,10 +36,9 @@ def test_model_config_literal(spark):
 
 def test_build_prompts_statuses(spark):
     ids = spark.createDataFrame([(1,), (2,), (3,)], "doc_id bigint")
-    budget = spark.createDataFrame([(1, False, 2), (2, True, 9), (3, False, 0)],
-                                   "doc_id bigint, over_budget boolean, n_relevant bigint")
-    assembled = spark.createDataFrame([(1, "PAGES")], "doc_id bigint, user_message string")
-    got = {r.doc_id: (r.status, r.prompt) for r in PR.build_prompts(ids, budget, assembled).collect()}
+    assembled = spark.createDataFrame([(1, False, "PAGES"), (2, True, None)],
+                                      "doc_id bigint, over_budget boolean, user_message string")
+    got = {r.doc_id: (r.status, r.prompt) for r in PR.build_prompts(ids, assembled).collect()}
     assert got[1] == ("ok", "[INST] " + FV.INSTRUCTION + "\nPAGES [/INST]" + FV.ANSWER_START)
     assert got[2] == ("over_budget", None)
     assert got[3] == ("no_relevant_pages", None)
