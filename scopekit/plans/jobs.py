@@ -18,11 +18,13 @@ from scopekit.operators import training as T
 from scopekit.sources import sinks
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
+def _stored_records(spark: SparkSession, path: str) -> DataFrame | None:
+    """The record table, or None before the first run wrote it."""
+    from pyspark.errors import AnalysisException
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
 
 
 def build_prompt_table(pages: DataFrame, doc_ids: DataFrame, prompt_dir: str, mode: str = "text",
@@ -43,9 +45,9 @@ def run_extraction(spark: SparkSession, prompt_dir: str, output_dir: str, run_na
     """
     prompts = spark.read.parquet(prompt_dir)
     id_type = dict(prompts.dtypes)["doc_id"]
-    if _exists(spark, output_dir):
-        done = spark.read.parquet(output_dir).where(F.col("model") == run_name).select(
-            F.col("id").cast(id_type).alias("id"))
+    stored = _stored_records(spark, output_dir)
+    if stored is not None:
+        done = stored.where(F.col("model") == run_name).select(F.col("id").cast(id_type).alias("id"))
         todo = B.pending(prompts, done)
     else:
         todo = prompts

@@ -48,3 +48,15 @@ def test_verify_manifest_statuses(spark):
     got = {r.id: r.status for r in M.verify_manifest(man, dig).collect()}
     assert got == {"a": "ok", "b": "conflict", "c": "unchecked", "d": "missing"}
     assert sorted(r.id for r in M.failed_ids(M.verify_manifest(man, dig)).collect()) == ["b", "d"]
+
+
+def test_external_predictions_model_from_file_stem(spark):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    d = local_dir(spark, "preds")
+    for name in ("Mixtral-8x7B-Instruct-v0.1", "m"):
+        t = pa.table({"id": ["1", "2"], "scope_1": [1, None], "scope_2": [2, 3], "scope_3": [None, None],
+                      "sources": [[1], []]})
+        pq.write_table(t, os.path.join(d, f"{name}.parquet"))
+    got = sorted({r.model for r in SO.read_external_predictions(spark, d + "/*.parquet").collect()})
+    assert got == ["Mixtral-8x7B-Instruct-v0.1", "m"]
