@@ -87,14 +87,16 @@ def cached_prompt_text(prompt_col="prompt") -> F.Column:
     return F.concat(p, F.lit("\n"))
 
 
-def prompt_stats(prompts: DataFrame, text_col: str = "prompt") -> DataFrame:
+def prompt_stats(prompts: DataFrame, text_col: str = "prompt", approx: bool = False) -> DataFrame:
     """max, min, mean, median of the token estimate over all prompts.
 
     The exact median keeps a count per distinct value; token counts are bounded
     by the prompt budget, so that state stays small at any number of prompts.
+    ``approx=True`` uses a quantile sketch instead (fixed-size state per task).
     """
     t = token_estimate(text_col)
+    med = F.percentile_approx("t", 0.5) if approx else F.median("t")
     return prompts.where(F.col(text_col).isNotNull()).select(t.alias("t")).agg(
         F.max("t").alias("max_tokens"), F.min("t").alias("min_tokens"),
-        F.round(F.avg("t"), 6).alias("mean_tokens"), F.median("t").cast("double").alias("median_tokens"),
+        F.round(F.avg("t"), 6).alias("mean_tokens"), med.cast("double").alias("median_tokens"),
         F.count(F.lit(1)).alias("n_prompts"))

@@ -49,3 +49,10 @@ def test_prompt_stats_median_interpolates(spark):
     r = PR.prompt_stats(df).first()
     assert (r.max_tokens, r.min_tokens, r.median_tokens, r.n_prompts) == (20, 2, 7.0, 4)
     assert abs(r.mean_tokens - 9.0) < 1e-9
+
+
+def test_prompt_stats_approx_median(spark):
+    df = spark.createDataFrame([("x" * (7 * k),) for k in range(1, 102)], "prompt string")
+    exact = PR.prompt_stats(df).first().median_tokens
+    approx = PR.prompt_stats(df, approx=True).first().median_tokens
+    assert exact == 102.0 and abs(approx - exact) <= 2
