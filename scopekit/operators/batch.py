@@ -2,8 +2,11 @@
 
 Pending documents are an anti join against the finished ids; prompts go to a
 user scorer through ``mapInPandas`` (Arrow batches, one Python worker per
-task); outputs are trimmed and validated on the JVM, and every failure becomes
-the stub record with a status, so one bad document never stops the job.
+task; a batch is capped by ``spark.sql.execution.arrow.maxRecordsPerBatch`` and
+``spark.sql.execution.arrow.maxBytesPerBatch``, so budget-sized prompts never
+build an unbounded batch); outputs are trimmed and validated on the JVM, and
+every failure becomes the stub record with a status, so one bad document never
+stops the job.
 """
 
 from __future__ import annotations

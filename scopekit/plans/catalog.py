@@ -219,7 +219,7 @@ def q_record_json(spark, sf):
 
 def q_collect_outputs(spark, sf):
     path = shared_dir(spark, "outputs")
-    K.write_jsonl(FX.predictions(spark, sf), path)
+    K.write_jsonl(FX.predictions(spark, sf), path, order_by="id")
     back = spark.read.schema("model string, id string, scope_1 bigint, scope_2 bigint, scope_3 bigint, "
                              "sources array<bigint>").json(path)
     return O.clip_records(back.select("model", "id", "scope_1", "scope_2", "scope_3", "sources"))

@@ -6,14 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_predictions(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def _ordered(df: DataFrame, order_by: str | None) -> DataFrame:
+    # Order inside each output file only: no global sort (a range shuffle) at the sink,
+    # and no result depends on it.
+    return df.sortWithinPartitions(order_by) if order_by else df
+
+
+def write_predictions(df: DataFrame, path: str, mode: str = "overwrite", order_by: str | None = None) -> None:
     """Predictions partitioned by ``model``: evaluating one model prunes the others."""
-    df.write.mode(mode).partitionBy("model").parquet(path)
+    _ordered(df, order_by).write.mode(mode).partitionBy("model").parquet(path)
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", order_by: str | None = None) -> None:
     """JSON lines with explicit nulls."""
-    df.write.mode(mode).option("ignoreNullFields", False).json(path)
+    _ordered(df, order_by).write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
 def append_records(df: DataFrame, path: str) -> None:
