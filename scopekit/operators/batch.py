@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from scopekit import fixed_values as FV
 from scopekit.functions.records import SCOPES, empty_struct, stub_struct
 from scopekit.operators.outputs import records_or_stub
-from scopekit.operators.prompts import STATUS_EMPTY, STATUS_OK, STATUS_OVER
+from scopekit.operators.prompts import STATUS_OK, STATUS_OVER
 
 Scorer = Callable[[pd.Series], pd.Series]
 

@@ -1,7 +1,4 @@
-import math
-
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
 
 from scopekit.functions.metrics import graceful_correct, pages_overlap, strict_correct, tolerant_correct
 

@@ -1,6 +1,5 @@
 """Every named query against its DuckDB SQL on the smallest data set."""
 
-import math
 from collections import Counter
 
 import duckdb

@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from scopekit.operators import pages as P
 from scopekit.sources.pages import check_mode, split_pages

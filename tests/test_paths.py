@@ -1,7 +1,5 @@
 import os
 
-import pytest
-
 from scopekit.functions import paths as PF
 
 SHAPES = ["pdfs/12.pdf", "outputs/Mixtral-8x7B-Instruct-v0.1/5.json", "/a/b/c.tar.gz", "runs/7/", "plain",

@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from scopekit import fixed_values as FV
 from scopekit.operators import prompts as PR

@@ -1,7 +1,6 @@
 import json
 import os
 
-from pyspark.sql import functions as F
 
 from scopekit.session import shared_dir
 from scopekit.sources import manifest as SM
