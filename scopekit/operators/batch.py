@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scopekit import fixed_values as FV
-from scopekit.functions.records import SCOPES, empty_struct, stub_struct
-from scopekit.operators.outputs import records_or_stub
+from scopekit.functions.records import SCOPES, empty_struct, stub_struct, trim_marker
+from scopekit.operators.outputs import validate_responses
 from scopekit.operators.prompts import STATUS_OK, STATUS_OVER
 
 Scorer = Callable[[pd.Series], pd.Series]
@@ -31,22 +31,29 @@ def pending(docs: DataFrame, done: DataFrame, id_col: str = "doc_id") -> DataFra
 
 
 def _score_batches(scorer: Scorer) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def call(prompts: pd.Series) -> pd.Series:
+        if prompts.empty:
+            return pd.Series([], index=prompts.index, dtype=object)
+        try:
+            out = scorer(prompts)
+            if len(out) != len(prompts):
+                raise ValueError("scorer returned a different number of outputs")
+            return pd.Series(list(out), index=prompts.index, dtype=object)
+        except Exception:  # a failing batch is retried row by row
+            vals = []
+            for prompt in prompts:
+                try:
+                    vals.append(scorer(pd.Series([prompt])).iloc[0])
+                except Exception:
+                    vals.append(None)
+            return pd.Series(vals, index=prompts.index, dtype=object)
+
     def run(batches):
         for pdf in batches:
-            try:
-                out = scorer(pdf["prompt"])
-                if len(out) != len(pdf):
-                    raise ValueError("scorer returned a different number of outputs")
-                out = pd.Series(out, index=pdf.index, dtype=object)
-            except Exception:  # a failing batch is retried row by row
-                vals = []
-                for prompt in pdf["prompt"]:
-                    try:
-                        vals.append(scorer(pd.Series([prompt])).iloc[0])
-                    except Exception:
-                        vals.append(None)
-                out = pd.Series(vals, index=pdf.index, dtype=object)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "response": out})
+            todo = pdf["status"] == STATUS_OK
+            response = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
+            response[todo] = call(pdf.loc[todo, "prompt"])
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "status": pdf["status"], "response": response})
     return run
 
 
@@ -61,29 +68,32 @@ def ship_by_value() -> None:
 
 
 def score(prompts: DataFrame, scorer: Scorer, id_type: str = "bigint") -> DataFrame:
-    """(doc_id, response): the scorer's raw text for every prompt; a scorer error gives null."""
+    """(doc_id, status, response): the scorer's raw text for every 'ok' prompt; other rows
+    pass through unscored (null response), and a scorer error gives null."""
     ship_by_value()
-    return prompts.select("doc_id", "prompt").mapInPandas(
-        _score_batches(scorer), f"doc_id {id_type}, response string")
+    return prompts.select("doc_id", "status", "prompt").mapInPandas(
+        _score_batches(scorer), f"doc_id {id_type}, status string, response string")
 
 
 def batch_records(prompts: DataFrame, scorer: Scorer, marker: str = FV.EOS_MARKER,
                   id_type: str = "bigint") -> DataFrame:
-    """(doc_id, status, scope_1, scope_2, scope_3, sources) for every prompt row.
+    """(doc_id, status, scope_1, scope_2, scope_3, sources) for every prompt row, in one pass.
 
     'ok' prompts are scored; an invalid or missing output becomes the stub with
     status 'failed'. 'over_budget' documents get the stub, documents without
     relevant pages the all-null record; neither is scored.
     """
-    to_score = prompts.where(F.col("status") == STATUS_OK)
-    scored = records_or_stub(score(to_score, scorer, id_type), "response", marker)
-    rec_scored = scored.select("doc_id", "status", F.struct(*SCOPES, "sources").alias("r"))
-    skipped = prompts.where(F.col("status") != STATUS_OK).select(
-        "doc_id", "status",
-        F.when(F.col("status") == STATUS_OVER, stub_struct()).otherwise(empty_struct()).alias("r"))
-    both = rec_scored.unionByName(skipped)
-    return both.select("doc_id", "status", *[F.col(f"r.{k}").alias(k) for k in SCOPES],
-                       F.col("r.sources").alias("sources"))
+    scored = score(prompts, scorer, id_type)
+    trimmed = scored.select("doc_id", "status", trim_marker("response", marker).alias("response"))
+    v = validate_responses(trimmed, "response")
+    ok, valid = F.col("status") == STATUS_OK, F.col("valid")
+    parsed = F.struct(*[F.col(k) for k in SCOPES], F.col("sources"))
+    rec = (F.when(ok & valid, parsed).when(ok | (F.col("status") == STATUS_OVER), stub_struct())
+            .otherwise(empty_struct()))
+    status = F.when(ok & ~valid, F.lit("failed")).otherwise(F.col("status"))
+    out = v.select("doc_id", status.alias("status"), rec.alias("r"))
+    return out.select("doc_id", "status", *[F.col(f"r.{k}").alias(k) for k in SCOPES],
+                      F.col("r.sources").alias("sources"))
 
 
 def chunk_echo_scorer(prompts: pd.Series) -> pd.Series:
