@@ -1,6 +1,10 @@
 """Tables in the shape the extraction pipeline reads and writes, derived from
 the driver's generic tables by fixed rules (the same rules are written in SQL
 for the oracle, see ``oracle.py``). Every table grows with its source table.
+
+The modulo rules below define these tables (which documents already have an
+output, which prompts are cached, which digests are altered, which outputs are
+malformed); they are data, not filters: every query reads its tables whole.
 """
 
 from __future__ import annotations

@@ -38,6 +38,7 @@ VALIDATION = [
     ('not json', False, None),
     ('', False, None),
     ('{"scope_1":1,"scope_2":null,"scope_3":3,"sources":[1,2]', False, None),
+    ('{"scope_1":1,"scope_1":2,"scope_2":null,"scope_3":3,"sources":[7]}', True, [7]),
 ]
 
 
@@ -48,6 +49,12 @@ def test_strict_validation_table(spark):
         assert got[i] == (valid, sources), text
 
 
+def test_repeated_key_keeps_last_value(spark):
+    df = spark.createDataFrame([('{"scope_1":1,"scope_1":2,"scope_2":null,"scope_3":3,"sources":[7]}',)],
+                               "response string")
+    assert validate_responses(df).first().scope_1 == 2
+
+
 def test_invalid_output_becomes_stub(spark):
     df = spark.createDataFrame([(1, j() + "</s>"), (2, "garbage")], "i int, response string")
     got = {r.i: (r.status, r.scope_1, r.sources) for r in records_or_stub(df).collect()}
