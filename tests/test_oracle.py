@@ -11,6 +11,10 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "benchmark labels conversations").split()
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+                 "boolean": "BOOLEAN", "array<bigint>": "BIGINT[]"}
+
+
 def _norm(v):
     if isinstance(v, float):
         return f"{v:.9g}"
@@ -41,6 +45,8 @@ def test_query_matches_oracle(spark, con, name):
     sql = oracle_sql()[name]
     rel = con.sql(sql)
     assert sorted(rel.columns) == cols
+    duck_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert {c: SPARK_TO_DUCK.get(t, t) for c, t in df.dtypes} == duck_types
     idx = [rel.columns.index(c) for c in cols]
     want = Counter(tuple(_norm(r[i]) for i in idx) for r in rel.fetchall())
     assert got == want
