@@ -55,3 +55,14 @@ def test_prompt_stats_approx_median(spark):
     exact = PR.prompt_stats(df).first().median_tokens
     approx = PR.prompt_stats(df, approx=True).first().median_tokens
     assert exact == 102.0 and abs(approx - exact) <= 2
+
+
+def test_run_settings_by_name_or_explicit(spark):
+    import pytest
+    from scopekit.sources.config import run_settings
+    assert tuple(run_settings(spark, "openchat").first()) == ("openchat", 8192, "models/openchat-3.5-0106")
+    assert tuple(run_settings(spark, model_path="models/x/", context_size=4096).first()) == ("x", 4096, "models/x/")
+    with pytest.raises(KeyError):
+        run_settings(spark, "nope")
+    with pytest.raises(ValueError):
+        run_settings(spark)
