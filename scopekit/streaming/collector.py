@@ -42,8 +42,8 @@ def collect_outputs_incrementally(spark: SparkSession, source_dir: str, table_di
                                   max_files_per_trigger: int | None = None) -> int:
     """Process every output file not yet collected, then stop (``availableNow``).
 
-    Returns the number of micro-batches run. Rerunning with the same
-    checkpoint collects only new files.
+    Returns the number of micro-batches that read new files. Rerunning with
+    the same checkpoint collects only new files.
     """
     ckpt = checkpoint_dir or shared_dir(spark, "collect-checkpoint")
     q = (output_stream(spark, source_dir, max_files_per_trigger).writeStream

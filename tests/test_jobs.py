@@ -62,3 +62,21 @@ def test_streaming_collector_is_incremental(spark):
     collect_outputs_incrementally(spark, src, table, "m", ckpt)
     got = {r.id: (r.status, r.scope_1, r.scope_2) for r in read_collected(spark, table).collect()}
     assert len(got) == 4 and got["doc3"] == ("ok", 1000000000, -1)
+
+
+def test_streaming_extraction_is_incremental(spark):
+    from scopekit.streaming.extraction import extract_incrementally
+    src = _local(shared_dir(spark, "docs-src"))
+    os.makedirs(src)
+    docs = {"a": "intro\fOur Scope 1 total\fend", "b": "nothing here", "c": "scope two\fscope 3"}
+    for k, v in docs.items():
+        with open(os.path.join(src, f"{k}.txt"), "w") as f:
+            f.write(v)
+    out, ckpt = shared_dir(spark, "extract-out"), shared_dir(spark, "extract-ckpt")
+    assert extract_incrementally(spark, src, out, "echo", B.chunk_echo_scorer, ckpt) == 3
+    got = {r.id: (r.status, r.scope_1, r.sources) for r in spark.read.parquet(out).collect()}
+    assert got == {"a": ("ok", 1, [1]), "b": ("no_relevant_pages", None, []), "c": ("ok", 2, [0, 1])}
+    with open(os.path.join(src, "d.txt"), "w") as f:
+        f.write("SCOPES one")
+    assert extract_incrementally(spark, src, out, "echo", B.chunk_echo_scorer, ckpt) == 1
+    assert spark.read.parquet(out).count() == 4
