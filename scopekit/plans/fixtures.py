@@ -30,16 +30,20 @@ def materialized(name: str):
     """
     def wrap(build):
         def get(spark: SparkSession, sf: str) -> DataFrame:
-            from scopekit.session import shared_dir
-            key = (spark.sparkContext.applicationId, sf.rstrip("/"), name)
+            from scopekit.session import app_id, default_parallelism, shared_dir
+            key = (app_id(spark), sf.rstrip("/"), name)
             path = _WRITTEN.get(key)
             if path is None:
                 path = shared_dir(spark, f"table-{name}")
                 df = build(spark, sf)
                 # Written as at least one file per core, as a table on a cluster would be
                 # (the driver's source files are single row groups, i.e. single tasks).
-                n = spark.sparkContext.defaultParallelism
-                if df.rdd.getNumPartitions() < n:
+                n = default_parallelism(spark)
+                try:
+                    few = df.rdd.getNumPartitions() < n
+                except Exception:  # no RDD view under Spark Connect
+                    few = True
+                if few:
                     df = df.repartition(n)
                 df.write.mode("overwrite").parquet(path)
                 _WRITTEN[key] = path

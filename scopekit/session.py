@@ -39,6 +39,25 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session; None under Spark Connect."""
+    try:
+        return spark.sparkContext
+    except Exception:  # Spark Connect sessions have no context
+        return None
+
+
+def app_id(spark: SparkSession) -> str:
+    return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
+def default_parallelism(spark: SparkSession) -> int:
+    sc = _context(spark)
+    if sc is not None:
+        return sc.defaultParallelism
+    return int(spark.conf.get("spark.default.parallelism", None) or 8)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh directory below the cluster's shared checkpoint folder.
 
@@ -46,12 +65,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     the context). Only when neither is set -- local tests -- is a private
     temporary folder created and registered as checkpoint dir.
     """
-    base = spark.sparkContext.getCheckpointDir()
+    sc = _context(spark)
+    base = sc.getCheckpointDir() if sc is not None else None
     if not base:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             base = tempfile.mkdtemp(prefix="scopekit-ckpt-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir() or base
+        if sc is not None:
+            sc.setCheckpointDir(base)
+            base = sc.getCheckpointDir() or base
     base = base.rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
