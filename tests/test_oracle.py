@@ -17,7 +17,7 @@ SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "dou
 
 def _norm(v):
     if isinstance(v, float):
-        return f"{v:.9g}"
+        return repr(v)
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
     return v
