@@ -65,7 +65,7 @@ def test_streaming_collector_is_incremental(spark):
 
 
 def test_streaming_extraction_is_incremental(spark):
-    from scopekit.streaming.extraction import extract_incrementally
+    from scopekit.streaming.scoring import extract_incrementally
     src = _local(shared_dir(spark, "docs-src"))
     os.makedirs(src)
     docs = {"a": "intro\fOur Scope 1 total\fend", "b": "nothing here", "c": "scope two\fscope 3"}
