@@ -26,3 +26,19 @@ def verify_manifest(manifest: DataFrame, digests: DataFrame) -> DataFrame:
 def failed_ids(verified: DataFrame) -> DataFrame:
     """Rows that need attention (conflicting or missing content), as a table, not a driver list."""
     return verified.where(F.col("status").isin(CONFLICT, MISSING)).select("id", "status")
+
+
+def classify_locations(locations: DataFrame, stored: DataFrame, location_col: str = "location") -> DataFrame:
+    """Adds ``kind``: 'file' when the location is a stored document path, else 'remote' for an
+    http/https/ftp URL, else 'error' (the document can be neither read nor fetched).
+
+    ``stored`` is the document store's listing (column ``path``, e.g. from the ``binaryFile``
+    source); the check is an equi-join, never a per-row file-system call.
+    """
+    from scopekit.functions.paths import REMOTE_SCHEMES, url_scheme
+    listing = stored.select(F.col("path").alias("_stored")).distinct()
+    j = locations.join(listing, F.col(location_col) == F.col("_stored"), "left")
+    kind = (F.when(F.col("_stored").isNotNull(), F.lit("file"))
+             .when(url_scheme(location_col).isin(*REMOTE_SCHEMES), F.lit("remote"))
+             .otherwise(F.lit("error")))
+    return j.select(*locations.columns, kind.alias("kind"))

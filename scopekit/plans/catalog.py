@@ -154,6 +154,18 @@ def q_location_kind(spark, sf):
     return p.select("page_id", PF.url_scheme("url").alias("scheme"), PF.location_kind("url").alias("kind"))
 
 
+def q_location_check(spark, sf):
+    """Every manifest URL and every document's expected local path, checked against a store
+    that holds the documents with doc_id % 4 != 0."""
+    docs = FX.documents(spark, sf, "doc_id")
+    local = docs.select(F.col("doc_id").cast("string").alias("id"),
+                        F.concat(F.lit("pdfs/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("location"))
+    remote = FX.manifest(spark, sf).select("id", F.col("url").alias("location"))
+    stored = docs.where(F.col("doc_id") % 4 != 0).select(
+        F.concat(F.lit("pdfs/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"))
+    return M.classify_locations(local.unionByName(remote), stored)
+
+
 def q_scan_file_stem(spark, sf):
     d = spark.read.parquet(f"{sf.rstrip('/')}/documents.parquet")
     return d.select("doc_id", PF.file_stem_of_metadata().alias("stem"))
@@ -378,6 +390,7 @@ QUERIES: dict[str, Query] = {
     "run_name": q_run_name,
     "id_from_path": q_id_from_path,
     "location_kind": q_location_kind,
+    "location_check": q_location_check,
     "scan_file_stem": q_scan_file_stem,
     # manifest
     "scan_manifest": q_scan_manifest,

@@ -445,6 +445,15 @@ SELECT page_id, scheme, CASE WHEN scheme IN ('http', 'https', 'ftp') THEN 'remot
                              ELSE 'unsupported' END AS kind
 FROM (SELECT page_id, lower(regexp_extract(url, {lit(PF.SCHEME_PATTERN)}, 1)) AS scheme FROM pages)"""
     q["scan_file_stem"] = "SELECT doc_id, 'documents' AS stem FROM documents"
+    q["location_check"] = _with([_manifest()], f"""
+SELECT l.id, l.location,
+       CASE WHEN s.path IS NOT NULL THEN 'file'
+            WHEN lower(regexp_extract(l.location, {lit(PF.SCHEME_PATTERN)}, 1)) IN ('http', 'https', 'ftp') THEN 'remote'
+            ELSE 'error' END AS kind
+FROM (SELECT CAST(doc_id AS VARCHAR) AS id, 'pdfs/' || CAST(doc_id AS VARCHAR) || '.pdf' AS location FROM documents
+      UNION ALL SELECT id, url AS location FROM manifest) l
+LEFT JOIN (SELECT DISTINCT 'pdfs/' || CAST(doc_id AS VARCHAR) || '.pdf' AS path FROM documents WHERE doc_id % 4 <> 0) s
+ON l.location = s.path""")
     man = [_manifest()]
     q["scan_manifest"] = _with(man, "SELECT id, url, sha256 FROM manifest")
     q["verify_manifest"] = _with(man + [_verified()], "SELECT id, url, status FROM verified")

@@ -59,3 +59,11 @@ def test_external_predictions_model_from_file_stem(spark):
         pq.write_table(t, os.path.join(d, f"{name}.parquet"))
     got = sorted({r.model for r in SO.read_external_predictions(spark, d + "/*.parquet").collect()})
     assert got == ["Mixtral-8x7B-Instruct-v0.1", "m"]
+
+
+def test_classify_locations(spark):
+    locs = spark.createDataFrame([("a", "pdfs/a.pdf"), ("b", "pdfs/b.pdf"), ("c", "https://x/c.pdf"), ("d", "s3://b/d")],
+                                 "id string, location string")
+    stored = spark.createDataFrame([("pdfs/a.pdf",)], "path string")
+    got = {r.id: r.kind for r in M.classify_locations(locs, stored).collect()}
+    assert got == {"a": "file", "b": "error", "c": "remote", "d": "error"}
