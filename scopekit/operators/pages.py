@@ -2,9 +2,10 @@
 
 Plan shape: the budget is a plain aggregation by ``doc_id`` (partial
 aggregation map-side, so a document holding a large share of all pages is
-combined before the shuffle). Only documents within budget are assembled, so
-the ordered concatenation never holds more than ``limit`` characters plus one
-page for any document.
+combined before the shuffle). Assembly is salted by page block, so one
+document's pages are joined and concatenated by many tasks; only documents
+within budget are assembled, so the ordered concatenation never holds more
+than ``limit`` characters plus one page for any document.
 """
 
 from __future__ import annotations
@@ -53,6 +54,7 @@ def document_budget(units: DataFrame, limit_chars: float | None = None) -> DataF
     rel_len = F.when(F.col("relevant"), F.length("unit")).otherwise(F.lit(0)).cast("bigint")
     agg = (units.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_pages"),
+        F.max("page_no").alias("last_page"),
         F.count_if(F.col("relevant")).alias("n_relevant"),
         F.sum(rel_len).alias("relevant_chars"),
         F.max_by(rel_len, F.col("page_no")).alias("last_page_chars"),
@@ -60,25 +62,43 @@ def document_budget(units: DataFrame, limit_chars: float | None = None) -> DataF
     before_last = F.col("relevant_chars") - F.col("last_page_chars")
     return agg.select("doc_id", "n_pages", "n_relevant", "relevant_chars",
                       before_last.alias("chars_before_last_page"),
-                      (before_last > F.lit(limit)).alias("over_budget"))
+                      (before_last > F.lit(limit)).alias("over_budget"), "last_page")
 
 
-def assemble_with_status(units: DataFrame, budget: DataFrame) -> DataFrame:
+# Pages per block of the two-level assembly; the block is the salt that spreads one
+# document's pages over many tasks while keeping page order recoverable.
+PAGE_BLOCK = 256
+
+
+def assemble_with_status(units: DataFrame, budget: DataFrame, block_pages: int = PAGE_BLOCK) -> DataFrame:
     """(doc_id, over_budget, n_chunks, user_message) for every document with a relevant page.
 
-    Relevant pages meet their document's budget row in one join; the ordered
-    concatenation only takes pages of documents within budget (the others add
-    nothing to the aggregation buffer), so a group never holds more than the
-    limit plus one page. ``user_message`` is null for over-budget documents.
+    Two-level ordered concatenation. Relevant pages are keyed by (doc_id, block)
+    with block = page_no div ``block_pages``; each budget row is repeated once per
+    block of its document. The join and the first ``listagg`` (ordered by page)
+    run per (doc_id, block), so a document holding a large share of all pages is
+    spread over many tasks; the second ``listagg`` joins a document's blocks in
+    block order. Only pages of documents within budget are concatenated (others
+    add nothing), so no group holds more than the limit plus one page.
+    ``user_message`` is null for over-budget documents.
     """
-    b = budget.select("doc_id", "over_budget")
-    rel = relevant_pages(units).join(b, "doc_id", "inner")
+    n = int(block_pages)
+    rel = relevant_pages(units).withColumn("block", F.expr(f"CAST(page_no DIV {n} AS INT)"))
+    b = budget.select("doc_id", "over_budget",
+                      F.explode(F.sequence(F.lit(0), F.expr(f"CAST(last_page DIV {n} AS INT)"))).alias("block"))
+    j = rel.join(b, ["doc_id", "block"], "inner")
     keep = ~F.col("over_budget")
-    return rel.groupBy("doc_id").agg(
+    parts = j.groupBy("doc_id", "block").agg(
         F.max("over_budget").alias("over_budget"),
         F.count_if(keep).alias("n_chunks"),
         F.expr("listagg(CASE WHEN NOT over_budget THEN unit END, '') WITHIN GROUP (ORDER BY page_no)")
-         .alias("user_message"),
+         .alias("part"),
+    )
+    return parts.groupBy("doc_id").agg(
+        F.max("over_budget").alias("over_budget"),
+        F.sum("n_chunks").alias("n_chunks"),
+        F.expr("CASE WHEN max(over_budget) THEN NULL "
+               "ELSE listagg(part, '') WITHIN GROUP (ORDER BY block) END").alias("user_message"),
     )
 
 

@@ -84,7 +84,8 @@ def q_assemble_documents(spark, sf):
 
 def q_over_budget(spark, sf):
     units = _units(spark, sf, "xhtml")
-    return P.document_budget(units, P.budget_chars(OVER_BUDGET_TOKENS))
+    return P.document_budget(units, P.budget_chars(OVER_BUDGET_TOKENS)).select(
+        "doc_id", "n_pages", "n_relevant", "relevant_chars", "chars_before_last_page", "over_budget")
 
 
 def _prompts(spark, sf, family=None, with_model=False):

@@ -27,6 +27,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # split a skewed join partition even when the aggregation after it then needs its own
+        # shuffle (e.g. one document holding a large share of all pages before per-document assembly)
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": os.environ.get("SCOPEKIT_DRIVER_MEMORY", "8g"),
     }

@@ -76,3 +76,18 @@ def test_assembly_independent_of_partitioning(spark):
         a = P.assemble_documents(units, P.document_budget(units))
         results.append(sorted((r.doc_id, r.user_message) for r in a.collect()))
     assert results[0] == results[1] == results[2]
+
+
+@pytest.mark.parametrize("limit", [60, 10 ** 6])
+def test_block_salted_assembly_keeps_page_order(spark, limit):
+    docs = make_docs(seed=3)
+    rows = [(d, i, t) for d, pages in docs.items() for i, t in enumerate(pages)]
+    pages = spark.createDataFrame(rows, "doc_id bigint, page_no int, page_text string").repartition(4)
+    units = P.page_units(pages, "text")
+    got = {r.doc_id: (r.over_budget, r.user_message)
+           for r in P.assemble_with_status(units, P.document_budget(units, limit), block_pages=3).collect()}
+    for d, (over, msg) in brute_force(docs, limit).items():
+        if over:
+            assert got[d] == (True, None)
+        elif msg:
+            assert got[d] == (False, msg)
