@@ -75,3 +75,12 @@ def write_training_set(records: DataFrame, out_dir: str, kind: str = "sft", id_c
     else:
         raise ValueError("dataset type must be sft or dpo")
     sinks.write_jsonl(out, out_dir)
+
+
+def verify_documents(spark: SparkSession, manifest_path: str, store_glob: str) -> DataFrame:
+    """Manifest (Parquet: id, url, sha256; other columns are not read) checked against the
+    stored document files: (id, url, status) with 'ok', 'conflict', 'missing' or 'unchecked'."""
+    from scopekit.operators import manifest as M
+    from scopekit.sources.manifest import binary_digests
+    manifest = spark.read.parquet(manifest_path).select("id", "url", "sha256")
+    return M.verify_manifest(manifest, binary_digests(spark, store_glob))

@@ -80,3 +80,19 @@ def test_streaming_extraction_is_incremental(spark):
         f.write("SCOPES one")
     assert extract_incrementally(spark, src, out, "echo", B.chunk_echo_scorer, ckpt) == 1
     assert spark.read.parquet(out).count() == 4
+
+
+def test_verify_documents_from_files(spark):
+    import hashlib
+    store = _local(shared_dir(spark, "store"))
+    os.makedirs(store)
+    contents = {"a": b"first", "b": b"second"}
+    for k, v in contents.items():
+        with open(os.path.join(store, f"{k}.pdf"), "wb") as f:
+            f.write(v)
+    man = shared_dir(spark, "manifest-in")
+    spark.createDataFrame([("a", "u", hashlib.sha256(b"first").hexdigest(), 1), ("b", "u", "00", 2),
+                           ("c", "u", "11", 3), ("d", "u", None, 4)],
+                          "id string, url string, sha256 string, extra int").write.parquet(man)
+    got = {r.id: r.status for r in jobs.verify_documents(spark, man, store + "/*.pdf").collect()}
+    assert got == {"a": "ok", "b": "conflict", "c": "missing", "d": "missing"}
