@@ -84,3 +84,14 @@ def verify_documents(spark: SparkSession, manifest_path: str, store_glob: str) -
     from scopekit.sources.manifest import binary_digests
     manifest = spark.read.parquet(manifest_path).select("id", "url", "sha256")
     return M.verify_manifest(manifest, binary_digests(spark, store_glob))
+
+
+def collect_output_dir(spark: SparkSession, json_dir: str, model: str, table_path: str) -> None:
+    """One output file per document (file stem = id) -> validated, clipped records appended to the
+    prediction table under ``model``; an invalid output is stored as the stub with status 'failed'."""
+    from scopekit.operators.outputs import clip_records, records_or_stub
+    from scopekit.sources.outputs import read_text_files
+    raw = read_text_files(spark, json_dir.rstrip("/") + "/*.json", "response")
+    recs = clip_records(records_or_stub(raw, "response", marker=""))
+    out = recs.select(F.lit(model).alias("model"), "id", "status", *FV.SCOPE_KEYS, "sources")
+    sinks.write_predictions(out, table_path, mode="append", order_by="id")

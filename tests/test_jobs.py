@@ -96,3 +96,18 @@ def test_verify_documents_from_files(spark):
                           "id string, url string, sha256 string, extra int").write.parquet(man)
     got = {r.id: r.status for r in jobs.verify_documents(spark, man, store + "/*.pdf").collect()}
     assert got == {"a": "ok", "b": "conflict", "c": "missing", "d": "missing"}
+
+
+def test_collect_output_dir(spark):
+    src = _local(shared_dir(spark, "json-outputs"))
+    os.makedirs(src)
+    files = {"r1": '{"scope_1": 5, "scope_2": null, "scope_3": 2000000000, "sources": [3, 3]}',
+             "r2": '{"scope_1":-1,"scope_2":-1,"scope_3":-1,"sources":[-1]}', "r3": "not json"}
+    for k, v in files.items():
+        with open(os.path.join(src, f"{k}.json"), "w") as f:
+            f.write(v)
+    table = shared_dir(spark, "pred-table")
+    jobs.collect_output_dir(spark, src, "m-x", table)
+    got = {r.id: (r.model, r.status, r.scope_1, r.scope_3, r.sources) for r in spark.read.parquet(table).collect()}
+    assert got == {"r1": ("m-x", "ok", 5, 1000000000, [3]), "r2": ("m-x", "ok", -1, -1, [-1]),
+                   "r3": ("m-x", "failed", -1, -1, [-1])}
