@@ -95,3 +95,25 @@ def collect_output_dir(spark: SparkSession, json_dir: str, model: str, table_pat
     recs = clip_records(records_or_stub(raw, "response", marker=""))
     out = recs.select(F.lit(model).alias("model"), "id", "status", *FV.SCOPE_KEYS, "sources")
     sinks.write_predictions(out, table_path, mode="append", order_by="id")
+
+
+def prompt_statistics(spark: SparkSession, prompt_dir: str, approx: bool = False) -> DataFrame:
+    """max, min, mean, median token estimate over the cached prompt files (``*.txt``)."""
+    from scopekit.sources.outputs import read_text_files
+    return PR.prompt_stats(read_text_files(spark, prompt_dir.rstrip("/") + "/*.txt", "prompt"), "prompt", approx)
+
+
+def training_set_from_files(spark: SparkSession, responses_dir: str, prompt_dir: str, pages: DataFrame,
+                            out_dir: str, kind: str = "sft", mode: str = "text",
+                            wrapper: tuple[str, str] = FV.CHAT_WRAPPERS["mistral"]) -> None:
+    """Training records from a directory of raw responses (``*.json``, stem = id) and a prompt
+    cache (``*.txt``); documents without a cached prompt are rebuilt from ``pages``."""
+    from scopekit.sources.outputs import read_text_files
+    responses = read_text_files(spark, responses_dir.rstrip("/") + "/*.json", "response")
+    suffix = wrapper[1] + FV.ANSWER_START + "\n"
+    cached = read_text_files(spark, prompt_dir.rstrip("/") + "/*.txt", "text").select(
+        "id", T.strip_wrapper("text", wrapper[0], suffix).alias("content"))
+    units = P.page_units(pages, mode)
+    within = P.assemble_documents(units, P.document_budget(units))
+    rebuilt = within.select(F.col("doc_id").cast("string").alias("id"), "user_message")
+    write_training_set(T.training_prompts(responses, cached, rebuilt), out_dir, kind)

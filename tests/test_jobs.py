@@ -111,3 +111,31 @@ def test_collect_output_dir(spark):
     got = {r.id: (r.model, r.status, r.scope_1, r.scope_3, r.sources) for r in spark.read.parquet(table).collect()}
     assert got == {"r1": ("m-x", "ok", 5, 1000000000, [3]), "r2": ("m-x", "ok", -1, -1, [-1]),
                    "r3": ("m-x", "failed", -1, -1, [-1])}
+
+
+def test_prompt_statistics_and_training_set_from_files(spark):
+    from scopekit import fixed_values as FV
+    pdir, rdir = _local(shared_dir(spark, "prompt-cache")), _local(shared_dir(spark, "responses"))
+    os.makedirs(pdir)
+    os.makedirs(rdir)
+    pre, suf = FV.CHAT_WRAPPERS["mistral"]
+    cached = {"1": FV.INSTRUCTION + "\n" + "<CHUNK>cached pages</CHUNK>\n", "2": FV.INSTRUCTION + "\n"}
+    for k, v in cached.items():
+        with open(os.path.join(pdir, f"{k}.txt"), "w") as f:
+            f.write(pre + v + suf + FV.ANSWER_START + "\n")
+    resp = {"1": '{"scope_1":1,"scope_2":null,"scope_3":null,"sources":[0]}', "2": '{"a":1}', "3": '{"b":2}',
+            "4": FV.STUB_JSON}
+    for k, v in resp.items():
+        with open(os.path.join(rdir, f"{k}.json"), "w") as f:
+            f.write(v)
+    stats = jobs.prompt_statistics(spark, pdir).first()
+    assert stats.n_prompts == 2 and stats.max_tokens >= stats.min_tokens
+    pages = spark.createDataFrame([(3, 0, "Scope 1 here"), (3, 1, "x"), (4, 0, "Scope 2")],
+                                  "doc_id bigint, page_no int, page_text string")
+    out = shared_dir(spark, "sft-out")
+    jobs.training_set_from_files(spark, rdir, pdir, pages, out)
+    got = {r.completion: r.prompt for r in spark.read.schema("prompt string, completion string").json(out).collect()}
+    # 1: cached prompt; 2: cached but empty -> dropped; 3: rebuilt from pages; 4: stub -> dropped
+    assert set(got) == {resp["1"], resp["3"]}
+    assert got[resp["1"]] == cached["1"]
+    assert got[resp["3"]] == FV.INSTRUCTION + "\n" + '<CHUNK id="0">\nScope 1 here\n</CHUNK>'
