@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from scopekit.llm import decontamination
+from scopekit.llm import decontamination, packing
 from scopekit.llm.common import table
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op3_packing(spark, sf_dir):
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 def op4_benchmark_decontamination(spark, sf_dir):
     return decontamination.digest(
         decontamination.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op4_benchmark_decontamination,)}
+QUERIES = {f.__name__: f for f in (op3_packing, op4_benchmark_decontamination,)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
