@@ -35,57 +35,68 @@ TAIL = (128, 64, 32, 16, 8, 4, 2, 1)
 STEP_TOKENS = 8 * 2048
 UNIT_TOKENS = 1 << 20
 END_ID = 1
-WORDS_KEPT, PIECES_KEPT = 200_000, 700_000
+WORDS_KEPT = 1_500_000
 
 SCHEMA = ("doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, "
           "offset bigint, tier int, step_group bigint")
 
-# Lower-cased text of these characters alone has one code point per letter and no composing marks,
-# so the tokenizer's split can be made here; any other word is given to the tokenizer as it is.
-_PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+# Text of these characters alone has one code point per letter and no composing marks, so it can be
+# lower-cased and split here; any other word is given to the tokenizer as it is.
+_PLAIN = re.compile("[\t-\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it is visible,
+    else the next one from U+0100."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(0x100, 0x200))
+    return [chr(b if b in shown else next(spare)) for b in range(256)]
+
+
 class WordTokenizer:
-    """Token ids (little-endian uint32 bytes) of whole texts by a tokenizer that drops white space.
+    """Token ids (little-endian uint32 bytes) of whole texts by a byte-level BPE tokenizer that
+    lower-cases and drops white space.
 
-    Its tokens never cross white space, so a text's ids are those of its words one after the other;
-    the ids of words and of their pieces are remembered.
+    Its tokens never cross white space, so a text's ids are those of its words one after the other.
+    The ids of words and of the pieces they split into are remembered, up to WORDS_KEPT of them.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.letters = dict(enumerate(_byte_letters()))
+        self.known: dict[bytes, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _keep(self, key: bytes, ids: bytes) -> bytes:
+        if len(self.known) >= WORDS_KEPT:
+            self.known.clear()
+        if len(key) <= 64:
+            self.known[key] = ids
+        return ids
+
     def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
+        key = piece.encode()
+        ids = self.known.get(key)
         if ids is None:
-            ids = self._encode(piece)
-            if len(self.pieces) >= PIECES_KEPT:
-                self.pieces.clear()
-            if len(piece) <= 64:
-                self.pieces[piece] = ids
+            tokens = self.model.tokenize(key.decode("latin-1").translate(self.letters))
+            ids = self._keep(key, b"".join([t.id.to_bytes(4, "little") for t in tokens]))
         return ids
 
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if len(text) > 256 or "<|" in text or not _PLAIN.fullmatch(text):
-            return self._encode(text)
-        ids = b"".join(map(self._piece, _SPLIT.findall(text.lower())))
-        if len(self.words) >= WORDS_KEPT:
-            self.words.clear()
-        if len(word) <= 64:
-            self.words[word] = ids
-        return ids
+    def _plain_word(self, word: bytes) -> bytes:
+        pieces = _SPLIT.findall(word.decode().lower())
+        ids = b"".join(map(self._piece, pieces))
+        return ids if len(pieces) == 1 and word.isalpha() else self._keep(word, ids)
 
     def ids(self, text: bytes) -> bytes:
-        get, make = self.words.get, self._word
-        return b"".join([get(w) or make(w) for w in text.split()])
+        if b"<|" in text or not _PLAIN.fullmatch(text.decode()):
+            return b"".join([self._encode(w.decode()) for w in text.split()])
+        get, make = self.known.get, self._plain_word
+        return b"".join([get(w) or make(w) for w in text.lower().split()])
 
 
 class Packer:
