@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scopekit.llm import decontamination, packing
+from scopekit.llm import decontamination, packing, simhash
 from scopekit.llm.common import table
 
 
@@ -20,7 +20,12 @@ def op4_benchmark_decontamination(spark, sf_dir):
         decontamination.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_benchmark_decontamination,)}
+def op5_simhash_near_dedup(spark, sf_dir):
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op3_packing, op4_benchmark_decontamination,
+                                   op5_simhash_near_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
