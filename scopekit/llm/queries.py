@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scopekit.llm import decontamination, packing, simhash
+from scopekit.llm import decontamination, packing, simhash, suffix_dedup
 from scopekit.llm.common import table
 
 
@@ -24,8 +24,12 @@ def op5_simhash_near_dedup(spark, sf_dir):
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op7_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.report(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True))
+
+
 QUERIES = {f.__name__: f for f in (op3_packing, op4_benchmark_decontamination,
-                                   op5_simhash_near_dedup)}
+                                   op5_simhash_near_dedup, op7_suffix_array_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
