@@ -81,7 +81,8 @@ def anchors(text: np.ndarray):
             low = np.minimum(low[:len(low) - (want - span)], low[want - span:])
         at = (low & _U((1 << 20) - 1)).astype(np.int64)
         first = np.flatnonzero(np.diff(at, prepend=-1))
-        parts.append((h[at[first]], at[first] + a, first + a, np.diff(first, append=len(at))))
+        mixed = h[at[first]] * _U(0xD6E8FEB86659FD93)       # minima are small: spread them over all buckets
+        parts.append((mixed ^ (mixed >> _U(32)), at[first] + a, first + a, np.diff(first, append=len(at))))
     if not parts:
         return np.zeros(0, _U), *(np.zeros(0, np.int64),) * 3
     return tuple(np.concatenate(c) for c in zip(*parts))
@@ -119,6 +120,13 @@ def _key(h: np.ndarray) -> np.ndarray:
     return h & _U((1 << 48) - 2)
 
 
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values occur in an ordered array."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 class BlindTrie:
     """Orders strings of one length by the characters at which they part; equal strings share a leaf."""
 
@@ -208,12 +216,18 @@ def sort_suffixes(buf: np.ndarray, starts: np.ndarray, length: int = LENGTH, sha
     return order, np.cumsum(new) - 1
 
 
+def _rows(table: pa.Table) -> tuple[list, list[bytes]]:
+    """Ids and texts of a group in an order that doesn't depend on how the shuffle delivered them."""
+    pairs = zip(table.column("doc_id").to_pylist(), text_bytes(table.column("text")))
+    pairs = sorted(pairs, key=lambda p: (p[0] is None, p[0] or 0, p[1]))
+    return [i for i, _ in pairs], [t for _, t in pairs]
+
+
 class _Group:
     """The documents of a group and their anchors."""
 
     def __init__(self, table: pa.Table):
-        self.ids = table.column("doc_id").to_pylist()
-        self.texts = text_bytes(table.column("text").combine_chunks() if table.num_rows else table.column("text"))
+        self.ids, self.texts = _rows(table)
         cols = []
         for row, (doc_id, text) in enumerate(zip(self.ids, self.texts)):
             if doc_id is not None and len(text) >= LENGTH:
@@ -254,7 +268,7 @@ def _shared_hashes(key, table):
     rows = []
     for grp, own in zip(table.column("grp").to_pylist(), lists):
         own = own & ~_U(1)
-        own = own[np.isin(own, shared)]
+        own = own[_among(own, shared)]
         if len(own):
             rows.append((grp, key[0].as_py(), _short(own)))
     return _table(rows, (("grp", pa.int64()), ("bucket", pa.int64()), ("blob", pa.binary())))
@@ -265,9 +279,9 @@ def _send_slices(bits: int):
         g = _Group(table)
         rows = []
         if shared.num_rows and len(g.hash):
-            known = np.concatenate([_long(b) | (_U(k) << _U(48)) for k, b in zip(
-                shared.column("bucket").to_pylist(), shared.column("blob").to_pylist())])
-            mine = np.flatnonzero(np.isin(_key(g.hash) | ((g.hash >> _U(64 - bits)) << _U(48)), known))
+            known = np.sort(np.concatenate([_long(b) | (_U(k) << _U(48)) for k, b in zip(
+                shared.column("bucket").to_pylist(), shared.column("blob").to_pylist())]))
+            mine = np.flatnonzero(_among(_key(g.hash) | ((g.hash >> _U(64 - bits)) << _U(48)), known))
             bucket = (g.hash[mine] >> _U(64 - bits)).astype(np.int64)
             mine = mine[np.argsort(bucket, kind="stable")]
             bucket = np.sort(bucket)
@@ -369,7 +383,7 @@ RESULT_COLS = (("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa
 
 def _cut(digest: bool):
     def run(key, table, replies):
-        ids, texts = table.column("doc_id").to_pylist(), text_bytes(table.column("text").combine_chunks())
+        ids, texts = _rows(table)
         sizes = np.array([len(t) for t in texts], np.int64)
         begin = np.cumsum(sizes) - sizes
         mark = np.zeros(int(sizes.sum()) + 1, np.int32)
