@@ -68,5 +68,10 @@ def slices(batch: pa.RecordBatch, text_col: str, max_bytes: int) -> Iterator[pa.
         yield batch.slice(start)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """All columns in one struct ``row``, so that an operator's own columns clash with none of them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
 def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name), F.lit(""))
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scopekit.llm import decontamination, packing, simhash, suffix_dedup
+from scopekit.llm import decontamination, line_dedup, packing, simhash, suffix_dedup
 from scopekit.llm.common import table
 
 
@@ -24,12 +24,16 @@ def op5_simhash_near_dedup(spark, sf_dir):
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op6_line_dedup(spark, sf_dir):
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_array_dedup(spark, sf_dir):
     return suffix_dedup.report(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True))
 
 
 QUERIES = {f.__name__: f for f in (op3_packing, op4_benchmark_decontamination,
-                                   op5_simhash_near_dedup, op7_suffix_array_dedup)}
+                                   op5_simhash_near_dedup, op6_line_dedup, op7_suffix_array_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -50,4 +54,26 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0)
 FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
 """
 
-ORACLE: dict[str, str] = {"op4_benchmark_decontamination": _OP4}
+_OP6 = r"""
+WITH raw AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, i, s, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j
+          FROM (SELECT doc_id, i, trim(ls[i], ' ' || chr(9) || chr(13)) AS s FROM raw, unnest(range(1, len(ls) + 1)) t(i))
+          WHERE s <> ''),
+wins AS (SELECT doc_id, j, 3 AS n, s || chr(10) || lead(s) OVER w || chr(10) || lead(s, 2) OVER w AS key
+         FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY j)
+         UNION ALL SELECT doc_id, j, 1, s FROM lines WHERE length(s) >= 200),
+later AS (SELECT doc_id, j, n FROM (SELECT *, row_number() OVER (PARTITION BY n, key ORDER BY doc_id, j) AS r FROM wins WHERE key IS NOT NULL)
+          WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, g AS j FROM later, unnest(range(j, j + n)) t(g)),
+cut AS (SELECT raw.doc_id, string_agg(raw.ls[i], chr(10) ORDER BY i) AS kept
+        FROM raw, unnest(range(1, len(ls) + 1)) t(i)
+        WHERE NOT EXISTS (SELECT 1 FROM gone JOIN lines ON gone.doc_id = lines.doc_id AND gone.j = lines.j
+                          WHERE lines.doc_id = raw.doc_id AND lines.i = t.i) GROUP BY raw.doc_id),
+counts AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE before IS NULL OR j - before > 1) AS runs
+           FROM (SELECT doc_id, j, lag(j) OVER (PARTITION BY doc_id ORDER BY j) AS before FROM gone) GROUP BY doc_id)
+SELECT raw.doc_id, CAST(len(raw.ls) AS BIGINT) AS n_lines, CAST(coalesce(counts.n, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(counts.runs, 0) AS BIGINT) AS n_runs, sha256(coalesce(cut.kept, '')) AS kept_sha256
+FROM raw LEFT JOIN cut ON raw.doc_id = cut.doc_id LEFT JOIN counts ON raw.doc_id = counts.doc_id
+"""
+
+ORACLE: dict[str, str] = {"op6_line_dedup": _OP6, "op4_benchmark_decontamination": _OP4}

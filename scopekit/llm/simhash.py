@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scopekit.llm.common import map_batches, slices, text_bytes, written
+from scopekit.llm.common import map_batches, packed, slices, text_bytes, written
 from scopekit.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -245,11 +245,11 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BI
     found = near_duplicates(docs, words, max_bits)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("s")
     keep = written(found.groupBy("component").agg(first).select(F.col("s.doc_id").alias("keep_id"), F.col("s.text_hash").alias("keep_hash")), "kept")
-    text = F.xxhash64(F.col("text").cast("string"))
-    rows = docs.withColumns({"_row_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "_row_null": F.col("doc_id").isNull(), "_row_hash": text})
-    keep = keep.select(F.coalesce("keep_id", F.lit(0)).alias("_row_id"), F.col("keep_id").isNull().alias("_row_null"), F.col("keep_hash").alias("_row_hash"))
-    on = ["_row_id", "_row_null", "_row_hash"]
-    return rows.join(keep, on, "left_semi").dropDuplicates(on).drop(*on)
+    rows = packed(docs).withColumns({"_id": F.coalesce(F.col("row.doc_id").cast("bigint"), F.lit(0)), "_null": F.col("row.doc_id").isNull(),
+                                     "_hash": F.xxhash64(F.col("row.text").cast("string"))})
+    keep = keep.select(F.coalesce("keep_id", F.lit(0)).alias("_id"), F.col("keep_id").isNull().alias("_null"), F.col("keep_hash").alias("_hash"))
+    on = ["_id", "_null", "_hash"]
+    return rows.join(keep, on, "left_semi").dropDuplicates(on).select("row.*")
 
 
 def digest(found: DataFrame) -> DataFrame:
