@@ -9,7 +9,8 @@ document id, or earlier in the same document) has its lines deleted. Overlapping
 any length. Blank lines stay.
 
 Smallest places are combined before each shuffle and written, so a line of a third of all documents is one row
-on the side that is looked up; the other side is a plain table whose hot share can be split.
+on the side that is looked up; the other side is a plain table whose hot share can be split. The joins
+are sort-merge joins at every size.
 
 Edge cases: a null text is empty (one blank line); rows of the same id and text are one document for
 the order and get the same result; different texts of one id are ordered by their hash; documents without id
@@ -76,12 +77,12 @@ def repeated_lines(docs: DataFrame, run_lines: int = RUN_LINES, long_chars: int
     # fingerprints at more than one place
     prints = written(found.groupBy("anchor").agg(F.min(_place("at")).alias("lo"), F.max(_place("at")).alias("hi"))
                      .where("lo <> hi").select("anchor"), "line-fingerprints")
-    near = found.join(prints, "anchor", "left_semi").select("_id", "_hash", "line", "n", "k1", "k2")
+    near = found.join(prints.hint("merge"), "anchor", "left_semi").select("_id", "_hash", "line", "n", "k1", "k2")
     near = written(near, "line-candidates")
     # extended to the whole window on both sides of the fingerprint: the first place of each
     first = written(near.groupBy("n", "k1", "k2").agg(F.min(_place("line")).alias("first"), F.max(_place("line")).alias("last"))
                     .where("first <> last").select("n", "k1", "k2", "first"), "line-first")
-    later = near.join(first, ["n", "k1", "k2"]).where(_place("line") > F.col("first"))
+    later = near.join(first.hint("merge"), ["n", "k1", "k2"]).where(_place("line") > F.col("first"))
     lines = later.select("_id", "_hash", F.explode(F.sequence("line", F.col("line") + F.col("n") - 1)).alias("line"))
     return lines.groupBy("_id", "_hash").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
@@ -91,7 +92,7 @@ def with_repeats(docs: DataFrame, run_lines: int = RUN_LINES, long_chars: int =
     gone = written(repeated_lines(docs, run_lines, long_chars), "line-deletions").select(
         F.coalesce("_id", F.lit(0)).alias("_id0"), F.col("_id").isNull().alias("_null"), "_hash", F.col("gone").alias("_gone"))
     keyed = _key(docs).withColumns({"_id0": F.coalesce("_id", F.lit(0)), "_null": F.col("_id").isNull()})
-    return keyed.join(gone, ["_id0", "_null", "_hash"], "left").drop("_id0", "_null", "_hash", "_id")
+    return keyed.join(gone.hint("merge"), ["_id0", "_null", "_hash"], "left").drop("_id0", "_null", "_hash", "_id")
 
 
 def _kept_text():

@@ -249,7 +249,7 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BI
                                      "_hash": F.xxhash64(F.col("row.text").cast("string"))})
     keep = keep.select(F.coalesce("keep_id", F.lit(0)).alias("_id"), F.col("keep_id").isNull().alias("_null"), F.col("keep_hash").alias("_hash"))
     on = ["_id", "_null", "_hash"]
-    return rows.join(keep, on, "left_semi").dropDuplicates(on).select("row.*")
+    return rows.join(keep.hint("merge"), on, "left_semi").dropDuplicates(on).select("row.*")
 
 
 def digest(found: DataFrame) -> DataFrame:
