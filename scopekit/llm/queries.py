@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scopekit.llm import decontamination, line_dedup, packing, simhash, suffix_dedup
+from scopekit.llm import decontamination, line_dedup, packing, repetition, simhash, suffix_dedup
 from scopekit.llm.common import table
 
 
@@ -11,6 +11,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality_repetition(spark, sf_dir):
+    return repetition.judged(repetition.profiles(table(spark, sf_dir, "documents")))
+
+
 def op3_packing(spark, sf_dir):
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -32,7 +36,7 @@ def op7_suffix_array_dedup(spark, sf_dir):
     return suffix_dedup.report(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_benchmark_decontamination,
+QUERIES = {f.__name__: f for f in (op2_quality_repetition, op3_packing, op4_benchmark_decontamination,
                                    op5_simhash_near_dedup, op6_line_dedup, op7_suffix_array_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
