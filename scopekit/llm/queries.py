@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scopekit.llm import decontamination, line_dedup, packing, repetition, simhash, suffix_dedup
+from scopekit.llm import decontamination, language, licences, line_dedup, packing, repetition, simhash, suffix_dedup
 from scopekit.llm.common import table
 
 
@@ -36,8 +36,19 @@ def op7_suffix_array_dedup(spark, sf_dir):
     return suffix_dedup.report(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True))
 
 
+def op9_language_id(spark, sf_dir):
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    items = language.document_items(docs).unionByName(language.page_items(pages))
+    return language.identify(items, language.fit(docs))
+
+
+def op10_licence_scan(spark, sf_dir):
+    return licences.report(licences.recognise(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (op2_quality_repetition, op3_packing, op4_benchmark_decontamination,
-                                   op5_simhash_near_dedup, op6_line_dedup, op7_suffix_array_dedup)}
+                                   op5_simhash_near_dedup, op6_line_dedup, op7_suffix_array_dedup,
+                                   op9_language_id, op10_licence_scan)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -80,4 +91,29 @@ SELECT raw.doc_id, CAST(len(raw.ls) AS BIGINT) AS n_lines, CAST(coalesce(counts.
 FROM raw LEFT JOIN cut ON raw.doc_id = cut.doc_id LEFT JOIN counts ON raw.doc_id = counts.doc_id
 """
 
-ORACLE: dict[str, str] = {"op6_line_dedup": _OP6, "op4_benchmark_decontamination": _OP4}
+
+def _licence_sql() -> str:
+    known = ", ".join(f"('{k}', '{v}')" for k, v in licences.known_sentences().items())
+    rules = sorted(licences.RULES, key=lambda r: -len(r[1]))
+    seq, hits = ["seq AS s0"], []
+    for i, (licence, ids) in enumerate(rules):
+        pattern = "".join(f"|{x}|" for x in ids)
+        hits.append(f"CASE WHEN contains(s{i}, '{pattern}') THEN '{licence}' END")
+        seq.append(f"replace(s{i}, '{pattern}', '||') AS s{i + 1}")
+    return rf"""
+WITH known(s, id) AS (VALUES {known}),
+cut AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\n([a-z])', ' \1', 'g'),
+               '[.!?;]+[ \t\r\n]+', chr(10), 'g'), chr(10)) AS ls FROM documents),
+parts AS (SELECT doc_id, i, trim(regexp_replace(translate(ls[i], '{licences.UPPER}', '{licences.LOWER}'), '[^a-z0-9]+', ' ', 'g')) AS s
+          FROM cut, unnest(range(1, len(ls) + 1)) t(i)),
+ids AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY i) AS sentence_ids, string_agg('|' || id || '|', '' ORDER BY i) AS seq
+        FROM parts JOIN known ON parts.s = known.s GROUP BY doc_id),
+every AS (SELECT d.doc_id, coalesce(n, 0) AS n, coalesce(sentence_ids, '') AS sentence_ids, coalesce(seq, '') AS seq
+          FROM documents d LEFT JOIN ids ON d.doc_id = ids.doc_id),
+steps AS (SELECT doc_id, n, sentence_ids, {", ".join(seq)} FROM every),
+hit AS (SELECT doc_id, n, sentence_ids, list_sort(list_distinct(list_filter([{", ".join(hits)}], x -> x IS NOT NULL))) AS l FROM steps)
+SELECT doc_id, CAST(n AS BIGINT) AS n_sentences, sentence_ids, CAST(len(l) AS BIGINT) AS n_licences, array_to_string(l, ',') AS licences FROM hit
+"""
+
+
+ORACLE: dict[str, str] = {"op10_licence_scan": _licence_sql(), "op6_line_dedup": _OP6, "op4_benchmark_decontamination": _OP4}
