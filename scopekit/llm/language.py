@@ -71,10 +71,11 @@ class TextModel:
 
 def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> TextModel:
     """A model from rows (doc_id, text, lang): at most train_docs of them, by id hash."""
-    rows = (labelled.where("text is not null and lang is not null")
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs).select("text", "lang").toLocalIterator())
+    labelled = labelled.select("doc_id", "text", "lang").where("text is not null and lang is not null").withColumn("_order", F.xxhash64("doc_id"))
+    first = labelled.select("_order").orderBy("_order").limit(train_docs).agg(F.max("_order").alias("last")).first()["last"]
     counts: dict[str, np.ndarray] = {}
-    for r in rows:
+    rows = labelled.where(F.col("_order") <= F.lit(first)).select("_order", "text", "lang").orderBy("_order", "text").limit(train_docs)
+    for r in rows.toLocalIterator():
         gram, lettered, first, end = _trigrams([r["text"].encode()])
         mine = counts.setdefault(r["lang"], np.zeros(BUCKETS))
         mine += np.bincount(gram[first[0]:end[0]][lettered[first[0]:end[0]]], minlength=BUCKETS)
