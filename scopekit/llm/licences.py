@@ -70,12 +70,12 @@ def normalised(sentence: str) -> str:
 
 
 def known_sentences(sentences: dict[str, str] = SENTENCES) -> dict[str, str]:
-    """Normalised sentence -> identifier; of a sentence with an end mark inside, the last part stands for it."""
+    """Normalised sentence -> identifier; of a sentence with an end mark inside, the longest part stands for it."""
     import re
     out = {}
     for name, sentence in sentences.items():
         parts = [p for p in re.split(BOUNDARY, sentence) if normalised(p)]
-        out[normalised(parts[-1])] = name
+        out[max(map(normalised, parts), key=len)] = name
     return out
 
 

@@ -111,7 +111,7 @@ ids AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY i) AS sentence
 every AS (SELECT d.doc_id, coalesce(n, 0) AS n, coalesce(sentence_ids, '') AS sentence_ids, coalesce(seq, '') AS seq
           FROM documents d LEFT JOIN ids ON d.doc_id = ids.doc_id),
 steps AS (SELECT doc_id, n, sentence_ids, {", ".join(seq)} FROM every),
-hit AS (SELECT doc_id, n, sentence_ids, list_sort(list_distinct(list_filter([{", ".join(hits)}], x -> x IS NOT NULL))) AS l FROM steps)
+hit AS (SELECT doc_id, n, sentence_ids, list_sort(list_distinct([x FOR x IN [{", ".join(hits)}] IF x IS NOT NULL])) AS l FROM steps)
 SELECT doc_id, CAST(n AS BIGINT) AS n_sentences, sentence_ids, CAST(len(l) AS BIGINT) AS n_licences, array_to_string(l, ',') AS licences FROM hit
 """
 
