@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scopekit.llm import decontamination, language, licences, line_dedup, packing, repetition, simhash, suffix_dedup
+from scopekit.llm import chat, decontamination, language, licences, line_dedup, packing, repetition, simhash, suffix_dedup
 from scopekit.llm.common import table
 
 
@@ -36,6 +36,16 @@ def op7_suffix_array_dedup(spark, sf_dir):
     return suffix_dedup.report(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True))
 
 
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op8_chat_formatting(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.sql("SELECT -1L AS conv_id, t.turn, t.role, :text AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)",
+                        args={"text": CONTROL_TEXT})
+    return chat.report(chat.canonical_turns(chat.records_of(rows.unionByName(control))))
+
+
 def op9_language_id(spark, sf_dir):
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
     items = language.document_items(docs).unionByName(language.page_items(pages))
@@ -47,7 +57,7 @@ def op10_licence_scan(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op2_quality_repetition, op3_packing, op4_benchmark_decontamination,
-                                   op5_simhash_near_dedup, op6_line_dedup, op7_suffix_array_dedup,
+                                   op5_simhash_near_dedup, op6_line_dedup, op7_suffix_array_dedup, op8_chat_formatting,
                                    op9_language_id, op10_licence_scan)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -116,4 +126,16 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_sentences, sentence_ids, CAST(len(l) AS BI
 """
 
 
-ORACLE: dict[str, str] = {"op10_licence_scan": _licence_sql(), "op6_line_dedup": _OP6, "op4_benchmark_decontamination": _OP4}
+_OP8 = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '{CONTROL_TEXT}'), (-1, 1, 'assistant', '{CONTROL_TEXT}')),
+e AS (SELECT *, length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')) AS n,
+             length(replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'), ']', '&#93;')) AS rn FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 5 WHEN 'system' THEN 13 ELSE 16 + rn END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+ORACLE: dict[str, str] = {"op8_chat_formatting": _OP8, "op10_licence_scan": _licence_sql(), "op6_line_dedup": _OP6, "op4_benchmark_decontamination": _OP4}
