@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scopekit.llm import chat, decontamination, language, licences, line_dedup, packing, repetition, simhash, suffix_dedup
+from scopekit.llm import chat, decontamination, language, licences, line_dedup, packing, repetition, secrets, simhash, suffix_dedup
 from scopekit.llm.common import table
 
 
@@ -11,6 +11,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scan(spark, sf_dir):
+    return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op2_quality_repetition(spark, sf_dir):
     return repetition.judged(repetition.profiles(table(spark, sf_dir, "documents")))
 
@@ -56,7 +60,7 @@ def op10_licence_scan(spark, sf_dir):
     return licences.report(licences.recognise(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_repetition, op3_packing, op4_benchmark_decontamination,
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_repetition, op3_packing, op4_benchmark_decontamination,
                                    op5_simhash_near_dedup, op6_line_dedup, op7_suffix_array_dedup, op8_chat_formatting,
                                    op9_language_id, op10_licence_scan)}
 
