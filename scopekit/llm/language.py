@@ -8,8 +8,8 @@ normalised.
 
 The trigram model is fitted on at most TRAIN_DOCS labelled rows (those of the smallest id hashes); everything
 else covers all rows. Overlapping trigrams count each character three times, so their sum is divided by three.
-A row is rejected if it has no letters, if its best language explains the text worse than
-unrelated bytes would, or if no language reaches MIN_POSTERIOR.
+A row is rejected if it has no letters, if its best language explains the text clearly worse than
+unrelated bytes would (by MARGIN), or if no language reaches MIN_POSTERIOR.
 
 Edge cases: null and empty texts are rejected with language 'und'; null or unknown declarations, addresses and
 hosts give no evidence (a null host shares one prior with other null hosts); repeated rows are judged
@@ -28,7 +28,8 @@ from scopekit.llm.common import map_batches, packed, slices, text_bytes, text_or
 
 TRAIN_DOCS = 2000
 BUCKETS = 1 << 16
-ALPHA = 0.01                 # added to each trigram count
+KNOWN = 0.8                  # share of the counted trigrams in the model, the rest is uniform
+MARGIN = 0.5                 # nats a trigram by which a text may be worse explained than unrelated bytes
 MIN_POSTERIOR = 0.5
 MARKUP_RELIABILITY, SUFFIX_RELIABILITY = 0.9, 0.8
 PRIOR_STRENGTH = 20.0        # rows' worth of the level above in a host's prior
@@ -59,7 +60,7 @@ class TextModel:
 
     def __init__(self, counts: dict[str, np.ndarray]):
         self.languages = sorted(counts)
-        logs = [np.log(counts[c] + ALPHA) - np.log(counts[c].sum() + ALPHA * BUCKETS) for c in self.languages]
+        logs = [np.log(KNOWN * counts[c] / max(1.0, counts[c].sum()) + (1 - KNOWN) / BUCKETS) for c in self.languages]
         self.table = np.stack(logs, 1).astype(np.float32) if logs else np.zeros((BUCKETS, 0), np.float32)
 
     def score(self, texts: list[bytes]):
@@ -90,7 +91,7 @@ def text_scores(items: DataFrame, model: TextModel) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 19):
                 loglik, n = shared.value.score(text_bytes(part.column("text")))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * loglik.shape[1], pa.int32()), pa.array(loglik.ravel()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), flat, pa.array(n)],
@@ -149,7 +150,7 @@ def identify(items: DataFrame, model: TextModel) -> DataFrame:
     if not k:
         return scored.select(*ids, F.lit("und").alias("lang"), F.lit(0.0).alias("posterior"), F.lit("und").alias("text_lang"), F.lit(False).alias("kept"))
     third = F.transform("loglik", lambda x: x / 3)
-    fits = (F.col("trigrams") > 0) & (F.array_max("loglik") > -float(np.log(BUCKETS)) * F.col("trigrams"))
+    fits = (F.col("trigrams") > 0) & (F.array_max("loglik") > -float(np.log(BUCKETS) + MARGIN) * F.col("trigrams"))
     own = scored.select("host", "domain", F.when(fits, _softmax(third)).otherwise(F.array(*[F.lit(0.0)] * k)).alias("p"))
 
     def counts(by):
