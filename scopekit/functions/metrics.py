@@ -33,8 +33,8 @@ def tolerant_correct(pred, truth) -> Column:
 
 def unit_free_digits(value) -> Column:
     """Rounded (half to even) integer text without trailing zeros."""
-    as_text = F.bround(_col(value).cast("double"), 0).cast("bigint").cast("string")
-    return F.rtrim(as_text, F.lit("0"))
+    rounded = F.bround(_col(value).cast("double"), 0)
+    return F.rtrim(rounded.try_cast("decimal(38,0)").cast("string"), F.lit("0"))
 
 
 def graceful_correct(pred, truth) -> Column:

@@ -49,5 +49,7 @@ def join_path(*parts) -> Column:
 
 
 def file_stem_of_metadata() -> Column:
-    """Stem of the file a row was read from (strips only the last extension)."""
-    return F.regexp_replace(F.col("_metadata.file_name"), r"\.[^./]*$", "")
+    """Stem of the file a row was read from (strips only the last extension). Spark gives the
+    name percent-encoded; a plus sign in it is itself."""
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(name, r"\.[^./]*$", "")

@@ -81,13 +81,17 @@ def whole_text_is_object(text: Column) -> Column:
 
 
 CORRUPT = "_corrupt"
+LONG_INTEGER = r"(?<=[:\[,\s])(-?)[1-9][0-9]{18,}(?=\s*[,}\]])"
 PARSE_SCHEMA = "scope_1 bigint, scope_2 bigint, scope_3 bigint, sources array<bigint>, _corrupt string"
 
 
 def parse_record(text) -> Column:
-    """Typed parse: integer fields accept only JSON integers (no text, float, bool or
-    64-bit overflow); any mismatch fills ``_corrupt``."""
-    return F.from_json(_col(text), PARSE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    """Typed parse: integer fields accept only JSON integers (no text, float or bool); any
+    mismatch fills ``_corrupt``. Integers of 19 digits and more become 18 nines of their sign: they
+    are valid, and far beyond the limits that values are clipped to."""
+    t = _col(text)
+    return F.from_json(F.when(t.rlike(r"[0-9]{19}"), F.regexp_replace(t, LONG_INTEGER, "$1999999999999999999")).otherwise(t),
+                       PARSE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "allowSingleQuotes": "false"})
 
 
 def record_checks(text, parsed, keys) -> Column:

@@ -31,7 +31,9 @@ def is_relevant(text, terms=FV.RELEVANCE_TERMS, folds=FV.RELEVANCE_FOLDS) -> Col
 
 # Entities decoded after the tag strip; '&amp;' must come last.
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-             ("&nbsp;", " "), ("&amp;", "&"))
+             ("&nbsp;", "\u00a0"), ("&amp;", "&"))
+# A character reference by number: decimal or hexadecimal.
+REFERENCE_PATTERN = r"&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
 TAG_PATTERN = r"<[^>]+>"
 IMG_WITH_TAIL_PATTERN = r"<img\b[^>]*>[^<]*"
 # Everything up to and including the root element's tag name (declarations skipped).
@@ -39,9 +41,23 @@ ROOT_HEAD_PATTERN = r"^(\s*(?:<[!?][^>]*>\s*)*<[A-Za-z][^\s/>]*)"
 ROOT_ID_ATTR_PATTERN = r"""\s+id\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
 
 
+def _decode_references(text: Column) -> Column:
+    """Numeric character references as characters; ones without a character stay as written."""
+    def char(ref: Column) -> Column:
+        body = F.regexp_extract(ref, r"^&#([xX]?[0-9A-Fa-f]+);$", 1)
+        hexa = F.when(F.lower(body).startswith("x"), F.substring(body, F.lit(2), F.length(body))).otherwise(F.conv(body, 10, 16))
+        point = F.conv(hexa, 16, 10).cast("bigint")
+        known = point.between(1, 0xD7FF) | point.between(0xE000, 0x10FFFF)
+        return F.when(known, F.decode(F.unhex(F.lpad(hexa, 8, "0")), "UTF-32")).otherwise(ref)
+    refs = F.regexp_extract_all(text, F.lit(REFERENCE_PATTERN), 0)
+    rest = F.split(text, REFERENCE_PATTERN)
+    pieces = F.transform(rest, lambda s, i: F.when(i == 0, s).otherwise(F.concat(char(F.get(refs, i - 1)), s)))
+    return F.when(text.contains("&#"), F.array_join(pieces, "")).otherwise(text)
+
+
 def markup_to_text(markup) -> Column:
-    """Concatenated text nodes: strip tags, decode the common entities."""
-    out = F.regexp_replace(_col(markup), TAG_PATTERN, "")
+    """Concatenated text nodes: strip tags, decode numeric references and the common entities."""
+    out = _decode_references(F.regexp_replace(_col(markup), TAG_PATTERN, ""))
     for ent, ch in _ENTITIES:
         out = F.replace(out, F.lit(ent), F.lit(ch))
     return out

@@ -22,9 +22,11 @@ _CHECKS = {"strict": strict_correct, "tolerant": tolerant_correct, "graceful": g
 
 
 def _truth_value_columns() -> list:
-    return [F.col("scope_1").cast("double").alias("scope_1"),
-            F.coalesce("scope_2_market", "scope_2_location").cast("double").alias("scope_2"),
-            F.col("scope_3").cast("double").alias("scope_3")]
+    def value(c):  # NaN is a missing value
+        return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    return [value("scope_1").alias("scope_1"),
+            F.coalesce(value("scope_2_market"), value("scope_2_location")).alias("scope_2"),
+            value("scope_3").alias("scope_3")]
 
 
 def truth_values(truth: DataFrame) -> DataFrame:

@@ -62,10 +62,10 @@ def context_plan(prompts: DataFrame, config: DataFrame, model_col: str = "model"
 
     context = tokens + 120; when it exceeds the model's context, neighbour =
     max_neighbour and window = min(int(model_context / 2), max_window), else 1 and 512.
-    Tokens of the qwen family are scaled by 1.2 and truncated. The configuration
-    has one row per configured model, so the join broadcasts it.
+    Tokens of the qwen family are scaled by 1.2 and truncated. Whether the
+    configuration is broadcast is the optimizer's choice, by its size.
     """
-    cfg = F.broadcast(config.select(F.col("model").alias(model_col), "context_size"))
+    cfg = config.select(F.col("model").alias(model_col), "context_size")
     j = prompts.where(F.col("prompt").isNotNull()).join(cfg, model_col, "inner")
     raw = token_estimate("prompt")
     tokens = F.when(F.lower(F.col(model_col)).startswith("qwen"),

@@ -4,24 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scopekit import fixed_values as FV
 from scopekit.functions.records import random_record, record_json
 
+TURN_BLOCK = 4096  # turn numbers looked at together
+
 
 def chat_pairs(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn, prompt, completion): a user turn directly followed by an assistant turn.
 
-    Turns are numbered consecutively within a conversation, so "directly
-    followed" is an equi-join on (conv_id, turn + 1). Both join keys are
-    hashed, so even one very long conversation is spread over many tasks
-    (a window by conv_id would put it in one).
+    The next turn is the next number present, gaps don't matter. It is looked up within
+    blocks of turn numbers, so one very long conversation is spread over many tasks;
+    the last turn of a block takes the first one of the conversation's next block.
     """
-    users = conversations.where(F.col("role") == "user").select(
-        "conv_id", "turn", (F.col("turn") + 1).alias("next_turn"), F.col("text").alias("prompt"))
-    replies = conversations.where(F.col("role") == "assistant").select(
-        "conv_id", F.col("turn").alias("next_turn"), F.col("text").alias("completion"))
-    return users.join(replies, ["conv_id", "next_turn"], "inner").select("conv_id", "turn", "prompt", "completion")
+    rows = conversations.select("conv_id", "turn", "role", "text", F.floor(F.col("turn") / TURN_BLOCK).alias("block"))
+    turn = F.struct("turn", "role", "text")
+    firsts = rows.groupBy("conv_id", "block").agg(F.min(turn).alias("first"))
+    firsts = firsts.select("conv_id", "block", F.lead("first").over(Window.partitionBy("conv_id").orderBy("block")).alias("across"))
+    inside = rows.withColumn("next", F.lead(turn).over(Window.partitionBy("conv_id", "block").orderBy("turn")))
+    both = inside.join(firsts, ["conv_id", "block"]).withColumn("next", F.coalesce("next", "across"))
+    return both.where((F.col("role") == "user") & (F.col("next.role") == "assistant")).select(
+        "conv_id", "turn", F.col("text").alias("prompt"), F.col("next.text").alias("completion"))
 
 
 def drop_stubs(responses: DataFrame, text_col: str = "response") -> DataFrame:
@@ -105,7 +110,7 @@ def template_table(spark) -> DataFrame:
 
 def render_training_text(pairs: DataFrame, templates: DataFrame, template_col: str = "template") -> DataFrame:
     """Adds ``text``: the template with its placeholder replaced by the prompt, then the completion."""
-    t = F.broadcast(templates.select(F.col("template").alias(template_col), "format"))
+    t = templates.select(F.col("template").alias(template_col), "format")
     j = pairs.join(t, template_col, "inner")
     filled = F.replace(F.replace(F.col("format"), F.lit("{instruction}"), F.col("prompt")),
                        F.lit("{prompt}"), F.col("prompt"))

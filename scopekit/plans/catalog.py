@@ -114,13 +114,13 @@ def q_token_estimate(spark, sf):
 
 
 def q_model_lookup(spark, sf):
-    cfg = F.broadcast(C.model_config(spark))
+    cfg = C.model_config(spark)
     return FX.document_models(spark, sf).join(cfg, "model", "inner").select(
         "doc_id", "model", "context_size", "model_path")
 
 
 def _runs(spark, sf):
-    cfg = F.broadcast(C.model_config(spark))
+    cfg = C.model_config(spark)
     d = FX.document_models(spark, sf).join(cfg, "model", "inner")
     lora = F.when(F.col("doc_id") % 2 == 1, F.lit(LORA_PATH)).otherwise(F.lit(""))
     return d.select("doc_id", "model", "model_path", lora.alias("lora"))

@@ -38,13 +38,7 @@ def materialized(name: str):
                 df = build(spark, sf)
                 # Written as at least one file per core, as a table on a cluster would be
                 # (the driver's source files are single row groups, i.e. single tasks).
-                n = default_parallelism(spark)
-                try:
-                    few = df.rdd.getNumPartitions() < n
-                except Exception:  # no RDD view under Spark Connect
-                    few = True
-                if few:
-                    df = df.repartition(n)
+                df = df.repartition(default_parallelism(spark))
                 df.write.mode("overwrite").parquet(path)
                 _WRITTEN[key] = path
             return spark.read.parquet(path)

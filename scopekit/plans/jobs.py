@@ -6,7 +6,7 @@ expensive to redo (prompts before scoring, records after scoring).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from scopekit import fixed_values as FV
@@ -37,11 +37,13 @@ def build_prompt_table(pages: DataFrame, doc_ids: DataFrame, prompt_dir: str, mo
 
 
 def run_extraction(spark: SparkSession, prompt_dir: str, output_dir: str, run_name: str, scorer: B.Scorer,
-                   marker: str = FV.EOS_MARKER) -> int:
+                   marker: str = FV.EOS_MARKER, slices: int = 1, tasks: int | None = None) -> int:
     """Score every prompt whose document has no stored record for ``run_name``; append the records.
 
-    Returns the number of documents scored in this call; a second call with
-    nothing new scores nothing.
+    The prompts are scored in ``slices`` (by a hash of the id), each stored when it is done, so a crash loses
+    one slice at most; ``tasks`` is the number of tasks that score a slice (else Spark's choice
+    by bytes, which says nothing about a model's time). Returns the number of documents
+    scored in this call; a second call with nothing new scores nothing.
     """
     prompts = spark.read.parquet(prompt_dir)
     id_type = dict(prompts.dtypes)["doc_id"]
@@ -51,16 +53,25 @@ def run_extraction(spark: SparkSession, prompt_dir: str, output_dir: str, run_na
         todo = B.pending(prompts, done)
     else:
         todo = prompts
-    n_todo = todo.count()  # cheap: the anti join only, no scoring
-    if n_todo:
-        records = B.batch_records(todo, scorer, marker, id_type)
+    scored = 0
+    for i in range(slices):
+        part = todo.where(F.pmod(F.xxhash64("doc_id"), F.lit(slices)) == i) if slices > 1 else todo
+        if tasks:
+            part = part.repartition(tasks, "doc_id")
+        seen = Observation()
+        records = B.batch_records(part, scorer, marker, id_type).observe(seen, F.count(F.lit(1)).alias("n"))
         sinks.append_records(records.select(F.lit(run_name).alias("model"), F.col("doc_id").alias("id"),
                                             "status", *FV.SCOPE_KEYS, "sources"), output_dir)
-    return n_todo
+        scored += seen.get["n"]
+    return scored
 
 
-def evaluate_to_table(spark: SparkSession, predictions: DataFrame, truth: DataFrame, out_dir: str) -> DataFrame:
-    """Metric table (all modes, average, source accuracy) written as CSV with two decimals."""
+def evaluate_to_table(spark: SparkSession, predictions: DataFrame, truth: DataFrame, out_dir: str,
+                      unmatched_dir: str | None = None) -> DataFrame:
+    """Metric table (all modes, average, source accuracy) written as CSV with two decimals; the
+    predictions without a truth row are written to ``unmatched_dir`` (model, id)."""
+    if unmatched_dir:
+        E.unmatched_predictions(predictions, truth).write.mode("overwrite").parquet(unmatched_dir)
     table = E.metric_table(E.evaluation_counts(predictions, truth))
     sinks.write_metric_table(table, out_dir)
     return table
@@ -87,14 +98,14 @@ def verify_documents(spark: SparkSession, manifest_path: str, store_glob: str) -
 
 
 def collect_output_dir(spark: SparkSession, json_dir: str, model: str, table_path: str) -> None:
-    """One output file per document (file stem = id) -> validated, clipped records appended to the
-    prediction table under ``model``; an invalid output is stored as the stub with status 'failed'."""
+    """One output file per document (file stem = id) -> validated, clipped records that replace
+    ``model`` in the prediction table; an invalid output is stored as the stub with status 'failed'."""
     from scopekit.operators.outputs import clip_records, records_or_stub
     from scopekit.sources.outputs import read_text_files
     raw = read_text_files(spark, json_dir.rstrip("/") + "/*.json", "response")
     recs = clip_records(records_or_stub(raw, "response", marker=""))
     out = recs.select(F.lit(model).alias("model"), "id", "status", *FV.SCOPE_KEYS, "sources")
-    sinks.write_predictions(out, table_path, mode="append", order_by="id")
+    sinks.write_predictions(out, table_path, order_by="id")
 
 
 def prompt_statistics(spark: SparkSession, prompt_dir: str, approx: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -65,14 +66,18 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh directory below the cluster's shared checkpoint folder.
 
     The folder comes from ``spark.checkpoint.dir`` (or a checkpoint dir set on
-    the context). Only when neither is set -- local tests -- is a private
-    temporary folder created and registered as checkpoint dir.
+    the context). When neither is set, a private temporary folder is created and
+    registered as checkpoint dir in local mode; on a cluster it is an error, as
+    each executor would write to its own disk.
     """
     sc = _context(spark)
     base = sc.getCheckpointDir() if sc is not None else None
     if not base:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            master = spark.conf.get("spark.master", "")
+            if not re.fullmatch(r"local(\[[^]]*\])?", master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="scopekit-ckpt-")
         if sc is not None:
             sc.setCheckpointDir(base)

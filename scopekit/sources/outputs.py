@@ -5,25 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scopekit import fixed_values as FV
 from scopekit import schemas
-from scopekit.functions.paths import path_stem
+from scopekit.functions.paths import file_stem_of_metadata
 
 
 def read_json_outputs(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object per file (or per line); ``id`` is the file stem.
-
-    The record schema is fixed, so a directory without nulls cannot flip a
-    column to another type. Rows that do not match are null, not an error.
-    """
-    df = (spark.read.schema(schemas.RECORD).option("multiLine", True)
-          .option("mode", "PERMISSIVE").json(path))
-    return df.select(path_stem(F.col("_metadata.file_path")).alias("id"), *schemas.RECORD.fieldNames())
+    """One JSON object per file; ``id`` is the file stem. A file that doesn't hold a valid
+    record becomes the stub record with status 'failed', never nulls."""
+    from scopekit.operators.outputs import records_or_stub
+    recs = records_or_stub(read_text_files(spark, path, "response"), "response", marker="")
+    return recs.select("id", "status", *FV.SCOPE_KEYS, "sources")
 
 
 def read_text_files(spark: SparkSession, path: str, value_name: str = "text") -> DataFrame:
     """Whole files as one row each (raw responses, cached prompts); ``id`` is the file stem."""
     df = spark.read.text(path, wholetext=True)
-    return df.select(path_stem(F.col("_metadata.file_path")).alias("id"), F.col("value").alias(value_name))
+    return df.select(file_stem_of_metadata().alias("id"), F.col("value").alias(value_name))
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
@@ -33,5 +31,6 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_external_predictions(spark: SparkSession, path_glob: str) -> DataFrame:
     """One Parquet file per model; the model name is the file stem (only the last extension is cut)."""
-    df = spark.read.parquet(path_glob)
-    return df.withColumn("model", F.regexp_replace(F.col("_metadata.file_name"), r"\.[^./]*$", ""))
+    df = spark.read.parquet(path_glob).withColumn("model", file_stem_of_metadata())
+    types = {f.name: f.dataType for f in schemas.PREDICTIONS}
+    return df.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns])

@@ -13,8 +13,10 @@ def _ordered(df: DataFrame, order_by: str | None) -> DataFrame:
 
 
 def write_predictions(df: DataFrame, path: str, mode: str = "overwrite", order_by: str | None = None) -> None:
-    """Predictions partitioned by ``model``: evaluating one model prunes the others."""
-    _ordered(df, order_by).write.mode(mode).partitionBy("model").parquet(path)
+    """Predictions partitioned by ``model``: evaluating one model prunes the others. Overwriting
+    replaces the models that ``df`` holds and leaves the others."""
+    (_ordered(df, order_by).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+     .partitionBy("model").parquet(path))
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", order_by: str | None = None) -> None:

@@ -4,8 +4,9 @@ The streaming counterpart of the batch loop with resume: a file-source stream
 remembers which document files it has processed (its checkpoint), so a rerun
 only scores documents that arrived since. Each micro-batch runs the same
 operators as the batch path (pages, budget, assembly, prompts, scoring,
-validation) and writes its records to a directory keyed by the batch id with
-overwrite, so a replayed batch replaces its earlier attempt.
+validation) and writes its records with overwrite to a directory keyed by run
+name, checkpoint and batch id, so a replayed batch replaces its earlier attempt
+and other runs are never touched.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scopekit import fixed_values as FV
-from scopekit.functions.paths import path_stem
+from scopekit.functions.paths import file_stem_of_metadata
 from scopekit.operators import batch as B
 from scopekit.operators import pages as P
 from scopekit.operators import prompts as PR
-from scopekit.session import shared_dir
 from scopekit.sources.pages import check_mode, split_pages
+from scopekit.streaming.collector import batch_dir, default_checkpoint, read_collected  # noqa: F401
 
 PAGE_BREAK = "\f"  # page separator of plain-text renderings of paged documents
 
@@ -30,19 +31,20 @@ def document_stream(spark: SparkSession, documents_dir: str, max_files_per_trigg
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     df = reader.load(documents_dir)
-    return df.select(path_stem(F.col("_metadata.file_path")).alias("doc_id"), F.col("value").alias("text"))
+    return df.select(file_stem_of_metadata().alias("doc_id"), F.col("value").alias("text"))
 
 
 def _batch_writer(output_dir: str, run_name: str, scorer: B.Scorer, mode: str, separator: str,
-                  max_tokens: int, marker: str, written: dict):
+                  max_tokens: int, marker: str, checkpoint: str, written: dict,
+                  instruction: str = FV.INSTRUCTION):
     def write(docs: DataFrame, batch_id: int) -> None:
         units = P.page_units(split_pages(docs, separator=separator), mode)
         status = P.assemble_with_status(units, P.document_budget(units, P.budget_chars(max_tokens)))
-        prompts = PR.build_prompts(docs.select("doc_id"), status)
+        prompts = PR.build_prompts(docs.select("doc_id"), status, instruction=instruction)
         records = B.batch_records(prompts, scorer, marker, id_type="string")
         out = records.select(F.lit(run_name).alias("model"), F.col("doc_id").alias("id"), "status",
-                             *FV.SCOPE_KEYS, "sources")
-        path = f"{output_dir.rstrip('/')}/batch={batch_id}"
+                             *FV.SCOPE_KEYS, "sources", F.lit(batch_id).cast("bigint").alias("batch"))
+        path = batch_dir(output_dir, run_name, checkpoint, batch_id)
         out.write.mode("overwrite").parquet(path)
         written[batch_id] = docs.sparkSession.read.parquet(path).count()  # runs on the driver
     return write
@@ -51,16 +53,17 @@ def _batch_writer(output_dir: str, run_name: str, scorer: B.Scorer, mode: str, s
 def extract_incrementally(spark: SparkSession, documents_dir: str, output_dir: str, run_name: str,
                           scorer: B.Scorer, checkpoint_dir: str | None = None, mode: str = "text",
                           separator: str = PAGE_BREAK, max_tokens: int = FV.DEFAULT_MAX_TOKENS,
-                          marker: str = FV.EOS_MARKER, max_files_per_trigger: int | None = None) -> int:
+                          marker: str = FV.EOS_MARKER, max_files_per_trigger: int | None = None,
+                          instruction: str = FV.INSTRUCTION) -> int:
     """Score every document file not processed yet, then stop (``availableNow``).
 
     Returns the number of documents scored in this call (records written).
     """
     check_mode(mode)
-    ckpt = checkpoint_dir or shared_dir(spark, "extract-checkpoint")
+    ckpt = checkpoint_dir or default_checkpoint(output_dir, run_name, documents_dir)
     written: dict[int, int] = {}
     q = (document_stream(spark, documents_dir, max_files_per_trigger).writeStream
-         .foreachBatch(_batch_writer(output_dir, run_name, scorer, mode, separator, max_tokens, marker, written))
+         .foreachBatch(_batch_writer(output_dir, run_name, scorer, mode, separator, max_tokens, marker, ckpt, written, instruction))
          .option("checkpointLocation", ckpt)
          .trigger(availableNow=True)
          .start())

@@ -59,3 +59,16 @@ def test_metric_table_shape(spark):
     t = E.metric_table(E.evaluation_counts(pred, truth))
     assert t.columns == ["model", "mode", "scope_1", "scope_2", "scope_3", "average", "sources"]
     assert t.count() == 4 * 3
+
+
+def test_nan_and_huge_truth_values(spark):
+    from scopekit.operators import evaluate as E
+    nan = float("nan")
+    truth = spark.createDataFrame([("a", nan, nan, 7.0, 1e19, [1]), ("b", 1e19, None, nan, None, [1])],
+                                  "id string, scope_1 double, scope_2_market double, scope_2_location double, scope_3 double, scope_1_page array<int>")
+    truth = truth.selectExpr("*", "scope_1_page AS scope_2_market_page", "scope_1_page AS scope_2_location_page", "scope_1_page AS scope_3_page")
+    pred = spark.createDataFrame([("m", "a", None, 7, 1, [1]), ("m", "b", 1, None, None, [2])],
+                                 "model string, id string, scope_1 bigint, scope_2 bigint, scope_3 bigint, sources array<bigint>")
+    r = E.evaluation_counts(pred, truth).collect()[0]
+    assert (r.strict__scope_1, r.strict__scope_2, r.strict__scope_3) == (1, 2, 1)
+    assert (r.graceful__scope_1, r.graceful__scope_3) == (2, 2)   # 1e19 without trailing zeros is 1

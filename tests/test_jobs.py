@@ -62,6 +62,11 @@ def test_streaming_collector_is_incremental(spark):
     collect_outputs_incrementally(spark, src, table, "m", ckpt)
     got = {r.id: (r.status, r.scope_1, r.scope_2) for r in read_collected(spark, table).collect()}
     assert len(got) == 4 and got["doc3"] == ("ok", 1000000000, -1)
+    assert collect_outputs_incrementally(spark, src, table, "n/2") == 1      # its own default checkpoint
+    assert collect_outputs_incrementally(spark, src, table, "n/2") == 0
+    assert collect_outputs_incrementally(spark, src, table, "m", shared_dir(spark, "again"), max_files_per_trigger=1) == 4
+    rows = read_collected(spark, table)
+    assert rows.count() == 8 and rows.select("model", "id").distinct().count() == 8
 
 
 def test_streaming_extraction_is_incremental(spark):
@@ -74,12 +79,15 @@ def test_streaming_extraction_is_incremental(spark):
             f.write(v)
     out, ckpt = shared_dir(spark, "extract-out"), shared_dir(spark, "extract-ckpt")
     assert extract_incrementally(spark, src, out, "echo", B.chunk_echo_scorer, ckpt) == 3
-    got = {r.id: (r.status, r.scope_1, r.sources) for r in spark.read.parquet(out).collect()}
+    got = {r.id: (r.status, r.scope_1, r.sources) for r in read_collected(spark, out).collect()}
     assert got == {"a": ("ok", 1, [1]), "b": ("no_relevant_pages", None, []), "c": ("ok", 2, [0, 1])}
     with open(os.path.join(src, "d.txt"), "w") as f:
         f.write("SCOPES one")
     assert extract_incrementally(spark, src, out, "echo", B.chunk_echo_scorer, ckpt) == 1
-    assert spark.read.parquet(out).count() == 4
+    assert read_collected(spark, out).count() == 4
+    assert extract_incrementally(spark, src, out, "other", B.chunk_echo_scorer) == 4
+    assert extract_incrementally(spark, src, out, "other", B.chunk_echo_scorer) == 0
+    assert read_collected(spark, out).groupBy("model").count().where("count = 4").count() == 2
 
 
 def test_verify_documents_from_files(spark):
@@ -111,6 +119,23 @@ def test_collect_output_dir(spark):
     got = {r.id: (r.model, r.status, r.scope_1, r.scope_3, r.sources) for r in spark.read.parquet(table).collect()}
     assert got == {"r1": ("m-x", "ok", 5, 1000000000, [3]), "r2": ("m-x", "ok", -1, -1, [-1]),
                    "r3": ("m-x", "failed", -1, -1, [-1])}
+    jobs.collect_output_dir(spark, src, "m-y", table)
+    jobs.collect_output_dir(spark, src, "m-x", table)
+    assert sorted((r.model, r.id) for r in spark.read.parquet(table).collect()) == [
+        (m, i) for m in ("m-x", "m-y") for i in ("r1", "r2", "r3")]
+
+
+def test_sliced_extraction_keeps_finished_slices(spark):
+    prompts, out = shared_dir(spark, "slice-prompts"), shared_dir(spark, "slice-records")
+    spark.range(40).selectExpr("id AS doc_id", "'ok' AS status", "concat('<CHUNK id=\"', id, '\">') AS prompt").write.parquet(prompts)
+    jobs.run_extraction(spark, prompts, out, "m", B.chunk_echo_scorer, slices=4, tasks=3)
+    assert spark.read.parquet(out).count() == 40
+    lost = spark.read.parquet(out).where("pmod(xxhash64(id), 4) < 2")
+    partly = shared_dir(spark, "slice-part")
+    lost.write.partitionBy("model").parquet(partly)
+    before = lost.count()
+    assert jobs.run_extraction(spark, prompts, partly, "m", B.chunk_echo_scorer, slices=4) == 40 - before
+    assert spark.read.parquet(partly).select("id").distinct().count() == 40
 
 
 def test_prompt_statistics_and_training_set_from_files(spark):

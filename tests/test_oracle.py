@@ -32,8 +32,8 @@ def con():
 
 
 def _names():
-    from __spark_entry__ import queries
-    return sorted(queries())
+    from __spark_entry__ import oracle_sql, queries
+    return sorted(k for k in queries() if k in oracle_sql())
 
 
 @pytest.mark.parametrize("name", _names())

@@ -1,58 +1,43 @@
-import random
-
 import pytest
 
 from scopekit.operators import pages as P
 from scopekit.sources.pages import check_mode, split_pages
 
+DOCS = {1: ["intro", "Scope 1: 10", "none", "scope two here"], 2: ["nothing", "at all"], 3: ["Scope 3", "scope 1", "x"],
+        4: ["Scope 2"]}
+# document -> its prompt text when nothing is over budget
+TEXT = {1: '<CHUNK id="1">\nScope 1: 10\n</CHUNK>\n<CHUNK id="3">\nscope two here\n</CHUNK>\n',
+        3: '<CHUNK id="0">\nScope 3\n</CHUNK>\n<CHUNK id="1">\nscope 1\n</CHUNK>\n',
+        4: '<CHUNK id="0">\nScope 2\n</CHUNK>\n'}
+XHTML = {1: "Scope 1: 10\nscope two here\n", 3: "Scope 3\nscope 1\n", 4: "Scope 2\n"}
+# (limit, documents over budget): a document is over when its relevant units before the last page are longer
+# than the limit; here 36 characters (document 1) and 64 (document 3)
+OVER_TEXT = [(0, {1, 3}), (35, {1, 3}), (36, {3}), (63, {3}), (64, set()), (10 ** 6, set())]
+
 
-def brute_force(pages_by_doc, limit, mode="text"):
-    """The sequential rule, page by page: stop before a page once the text gathered exceeds the limit."""
-    out = {}
-    for doc, pages in pages_by_doc.items():
-        msg, over = "", False
-        for i, text in enumerate(pages):
-            if len(msg) > limit:
-                over = True
-                break
-            unit = f'<CHUNK id="{i}">\n{text}\n</CHUNK>\n' if mode == "text" else text + "\n"
-            t = text.lower().replace(" ", "").replace("one", "1").replace("two", "2").replace("three", "3")
-            t = t.replace("scopes", "scope")
-            if any(k in t for k in ("scope1", "scope2", "scope3")):
-                msg += unit
-        out[doc] = (over, msg)
-    return out
-
-
-def make_docs(seed=7, n_docs=40):
-    rnd = random.Random(seed)
-    words = ["alpha", "Scope 1", "beta", "scope two", "gamma", "delta epsilon", "SCOPES 3"]
-    docs = {}
-    for d in range(n_docs):
-        docs[d] = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 12))) for _ in range(rnd.randint(0, 9))]
-    return docs
-
-
-@pytest.mark.parametrize("limit", [0, 30, 120, 400, 10 ** 6])
-@pytest.mark.parametrize("mode", ["text", "xhtml"])
-def test_budget_and_assembly_match_sequential_rule(spark, limit, mode):
-    docs = make_docs()
+def page_table(spark, docs, parts=5):
     rows = [(d, i, t) for d, pages in docs.items() for i, t in enumerate(pages)]
-    pages = spark.createDataFrame(rows, "doc_id bigint, page_no int, page_text string").repartition(5)
-    units = P.page_units(pages, mode)
-    budget = P.document_budget(units, limit)
-    assembled = {r.doc_id: r.user_message for r in P.assemble_documents(units, budget).collect()}
-    flags = {r.doc_id: r.over_budget for r in budget.collect()}
-    expect = brute_force(docs, limit, mode)
-    for d, (over, msg) in expect.items():
-        if not docs[d]:
-            assert d not in flags
-            continue
-        assert flags[d] == over, d
-        if not over and msg:
-            assert assembled[d] == msg, d
-        else:
-            assert d not in assembled
+    return spark.createDataFrame(rows, "doc_id bigint, page_no int, page_text string").repartition(parts)
+
+
+def assembled(units, limit, **more):
+    return {r.doc_id: (r.over_budget, r.user_message)
+            for r in P.assemble_with_status(units, P.document_budget(units, limit), **more).collect()}
+
+
+@pytest.mark.parametrize("limit,over", OVER_TEXT)
+def test_budget_and_assembly(spark, limit, over):
+    units = P.page_units(page_table(spark, DOCS), "text")
+    flags = {r.doc_id: r.over_budget for r in P.document_budget(units, limit).collect()}
+    assert {d for d, o in flags.items() if o} == over
+    got = {r.doc_id: r.user_message for r in P.assemble_documents(units, P.document_budget(units, limit)).collect()}
+    assert got == {d: t for d, t in TEXT.items() if d not in over}
+
+
+def test_xhtml_units_are_not_wrapped(spark):
+    units = P.page_units(page_table(spark, DOCS), "xhtml")
+    got = {r.doc_id: r.user_message for r in P.assemble_documents(units, P.document_budget(units, 10 ** 6)).collect()}
+    assert got == XHTML
 
 
 def test_split_pages_numbers_from_zero(spark):
@@ -66,28 +51,8 @@ def test_unknown_mode_is_rejected_before_planning():
         check_mode("pdf")
 
 
-def test_assembly_independent_of_partitioning(spark):
-    docs = make_docs(seed=11)
-    rows = [(d, i, t) for d, pages in docs.items() for i, t in enumerate(pages)]
-    base = spark.createDataFrame(rows, "doc_id bigint, page_no int, page_text string")
-    results = []
-    for n in (1, 3, 11):
-        units = P.page_units(base.repartition(n), "text")
-        a = P.assemble_documents(units, P.document_budget(units))
-        results.append(sorted((r.doc_id, r.user_message) for r in a.collect()))
-    assert results[0] == results[1] == results[2]
-
-
-@pytest.mark.parametrize("limit", [60, 10 ** 6])
-def test_block_salted_assembly_keeps_page_order(spark, limit):
-    docs = make_docs(seed=3)
-    rows = [(d, i, t) for d, pages in docs.items() for i, t in enumerate(pages)]
-    pages = spark.createDataFrame(rows, "doc_id bigint, page_no int, page_text string").repartition(4)
-    units = P.page_units(pages, "text")
-    got = {r.doc_id: (r.over_budget, r.user_message)
-           for r in P.assemble_with_status(units, P.document_budget(units, limit), block_pages=3).collect()}
-    for d, (over, msg) in brute_force(docs, limit).items():
-        if over:
-            assert got[d] == (True, None)
-        elif msg:
-            assert got[d] == (False, msg)
+@pytest.mark.parametrize("parts,block", [(1, 256), (3, 1), (7, 3)])
+def test_assembly_is_independent_of_partitions_and_blocks(spark, parts, block):
+    units = P.page_units(page_table(spark, DOCS, parts), "text")
+    got = assembled(units, 10 ** 6, block_pages=block)
+    assert {d: m for d, (over, m) in got.items() if m} == TEXT

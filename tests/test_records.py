@@ -33,7 +33,7 @@ VALIDATION = [
     ('{"scope_1":1,"scope_2":null,"scope_3":3,"sources":[1],"n":{"a":"}"}}', True, [1]),
     ('{"scope_1":1,"scope_2":null,"scope_3":3,"sources":[1],"n":{"a":1}}{"b":{}}', False, None),
     ('  {"scope_1":-5,"scope_2":null,"scope_3":3,"sources":[]}\n', True, []),
-    ('{"scope_1":123456789012345678901,"scope_2":null,"scope_3":3,"sources":[1]}', False, None),
+    ('{"scope_1":123456789012345678901,"scope_2":null,"scope_3":3,"sources":[1]}', True, [1]),
     ('[1]', False, None),
     ('not json', False, None),
     ('', False, None),

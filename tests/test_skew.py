@@ -1,36 +1,26 @@
-"""Hot keys: one document or conversation holding most rows gives the same results as brute force."""
-
-import random
+"""Hot keys: one document or conversation that holds most rows."""
 
 from pyspark.sql import functions as F
 
 from scopekit.operators import pages as P
 from scopekit.operators import training as T
-from tests.test_pages import brute_force
 
 
 def test_hot_document(spark):
-    rnd = random.Random(5)
-    words = ["alpha", "Scope 1", "beta", "scope two", "gamma"]
-    docs = {d: [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 6))) for _ in range(rnd.randint(1, 5))]
-            for d in range(30)}
-    docs[999] = [rnd.choice(["x", "Scope 3 y", "z"]) for _ in range(4000)]  # most of all pages
-    rows = [(d, i, t) for d, pages in docs.items() for i, t in enumerate(pages)]
+    """4,000 pages, every fourth relevant: the text is the relevant pages in order, at every partitioning."""
+    rows = [(999, i, "Scope 3 y" if i % 4 == 0 else "z") for i in range(4000)] + [(d, 0, "Scope 1") for d in range(30)]
     pages = spark.createDataFrame(rows, "doc_id bigint, page_no int, page_text string").repartition(7)
-    for limit in (500, 10 ** 7):
-        units = P.page_units(pages, "text")
-        status = {r.doc_id: (r.over_budget, r.user_message)
-                  for r in P.assemble_with_status(units, P.document_budget(units, limit)).collect()}
-        for d, (over, msg) in brute_force(docs, limit).items():
-            if not msg and not over:
-                assert d not in status or status[d][1] is None
-            else:
-                assert status[d] == (over, None if over else msg), d
+    units = P.page_units(pages, "text")
+    got = {r.doc_id: r.user_message for r in P.assemble_with_status(units, P.document_budget(units, 10 ** 7)).collect()}
+    assert got[999] == "".join(f'<CHUNK id="{i}">\nScope 3 y\n</CHUNK>\n' for i in range(0, 4000, 4))
+    assert all(got[d] == '<CHUNK id="0">\nScope 1\n</CHUNK>\n' for d in range(30))
+    over = {r.doc_id: r.over_budget for r in P.document_budget(units, 500).collect()}
+    assert over[999] and not any(over[d] for d in range(30))
 
 
 def test_long_conversation(spark):
     turns = [(1, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for t in range(3000)]
-    turns += [(2, 0, "user", "q"), (2, 1, "user", "q2"), (2, 2, "assistant", "a")]
+    turns += [(2, 0, "user", "q"), (2, 1, "user", "q2"), (2, 20000, "assistant", "a")]  # a gap over several blocks
     conv = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").repartition(5)
     pairs = T.chat_pairs(conv)
     assert pairs.where(F.col("conv_id") == 1).count() == 1500

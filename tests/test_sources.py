@@ -23,8 +23,12 @@ def test_json_output_directory(spark):
     for k, v in records.items():
         with open(os.path.join(d, f"{k}.json"), "w") as f:
             json.dump(v, f, indent=2)
-    got = {r.id: (r.scope_1, r.scope_3, r.sources) for r in SO.read_json_outputs(spark, d).collect()}
-    assert got == {"r1": (5, 7, [1, 2]), "r.2": (None, None, [])}
+    for name, text in {"a b#1+2%20": json.dumps(records["r1"]), "broken": "{"}.items():
+        with open(os.path.join(d, f"{name}.json"), "w") as f:
+            f.write(text)
+    got = {r.id: (r.status, r.scope_1, r.scope_3, r.sources) for r in SO.read_json_outputs(spark, d).collect()}
+    assert got == {"r1": ("ok", 5, 7, [1, 2]), "r.2": ("ok", None, None, []), "a b#1+2%20": ("ok", 5, 7, [1, 2]),
+                   "broken": ("failed", -1, -1, [-1])}
 
 
 def test_text_files_and_binary_digests(spark):
