@@ -35,7 +35,7 @@ TAIL = (128, 64, 32, 16, 8, 4, 2, 1)
 STEP_TOKENS = 8 * 2048
 UNIT_TOKENS = 1 << 20
 END_ID = 1
-WORDS_KEPT = 1_500_000
+WORDS_KEPT = 1_200_000
 
 SCHEMA = ("doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, "
           "offset bigint, tier int, step_group bigint")
