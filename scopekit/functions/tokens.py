@@ -9,4 +9,10 @@ from scopekit import fixed_values as FV
 def token_estimate(text, chars_per_token: float = FV.CHARACTERS_PER_TOKEN) -> Column:
     """ceil(characters / chars_per_token) as bigint."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.ceil(F.length(t) / F.lit(float(chars_per_token))).cast("bigint")
+    return tokens_of_length(F.length(t), chars_per_token)
+
+
+def tokens_of_length(n_chars, chars_per_token: float = FV.CHARACTERS_PER_TOKEN) -> Column:
+    """The estimate for a text of so many characters."""
+    n = F.col(n_chars) if isinstance(n_chars, str) else n_chars
+    return F.ceil(n / F.lit(float(chars_per_token))).cast("bigint")

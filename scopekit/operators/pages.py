@@ -23,7 +23,7 @@ def budget_chars(max_tokens: int = FV.DEFAULT_MAX_TOKENS,
     return float(max_tokens) * float(chars_per_token)
 
 
-def page_units(pages: DataFrame, mode: str = "text") -> DataFrame:
+def page_units(pages: DataFrame, mode: str = "xhtml") -> DataFrame:
     """Adds ``unit`` (the page as appended to the prompt) and ``relevant``.
 
     mode 'text': relevance on the page text, unit = CHUNK-wrapped text.

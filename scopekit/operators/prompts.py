@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scopekit import fixed_values as FV
-from scopekit.functions.tokens import token_estimate
+from scopekit.functions.tokens import token_estimate, tokens_of_length
 
 STATUS_OK = "ok"
 STATUS_EMPTY = "no_relevant_pages"
@@ -55,6 +55,21 @@ def build_prompts(doc_ids: DataFrame, assembled: DataFrame,
     return j.select("doc_id", *keep, status.alias("status"), prompt.alias("prompt"))
 
 
+def prompt_lengths(doc_ids: DataFrame, budget: DataFrame, instruction: str = FV.INSTRUCTION,
+                   family: F.Column | None = None, answer_start: str = FV.ANSWER_START) -> DataFrame:
+    """(doc_id, status, prompt_chars): the length of the prompt that ``build_prompts`` would make (null where
+    it makes none), from the page budget (``pages.document_budget``) alone: no page text is assembled."""
+    b = budget.select("doc_id", "over_budget", "n_relevant", "relevant_chars")
+    j = doc_ids.join(b, "doc_id", "left")
+    relevant = F.coalesce(F.col("n_relevant"), F.lit(0)) > 0
+    status = (F.when(relevant & F.col("over_budget"), F.lit(STATUS_OVER)).when(relevant, F.lit(STATUS_OK))
+               .otherwise(F.lit(STATUS_EMPTY)))
+    constant = F.length(F.concat(_wrap(F.lit(instruction + "\n"), family), F.lit(answer_start)))
+    keep = [c for c in doc_ids.columns if c != "doc_id"]
+    return j.select("doc_id", *keep, status.alias("status"),
+                    F.when(status == STATUS_OK, F.col("relevant_chars") + constant).alias("prompt_chars"))
+
+
 def context_plan(prompts: DataFrame, config: DataFrame, model_col: str = "model",
                  max_neighbour: int = FV.DEFAULT_MAX_NEIGHBOUR,
                  max_window: int = FV.DEFAULT_MAX_WINDOW) -> DataFrame:
@@ -63,11 +78,13 @@ def context_plan(prompts: DataFrame, config: DataFrame, model_col: str = "model"
     context = tokens + 120; when it exceeds the model's context, neighbour =
     max_neighbour and window = min(int(model_context / 2), max_window), else 1 and 512.
     Tokens of the qwen family are scaled by 1.2 and truncated. Whether the
-    configuration is broadcast is the optimizer's choice, by its size.
+    configuration is broadcast is the optimizer's choice, by its size. ``prompts`` holds the
+    prompts, or only their lengths (``prompt_lengths``).
     """
     cfg = config.select(F.col("model").alias(model_col), "context_size")
-    j = prompts.where(F.col("prompt").isNotNull()).join(cfg, model_col, "inner")
-    raw = token_estimate("prompt")
+    size = "prompt_chars" if "prompt_chars" in prompts.columns else "prompt"
+    j = prompts.where(F.col(size).isNotNull()).join(cfg, model_col, "inner")
+    raw = tokens_of_length(size) if size == "prompt_chars" else token_estimate(size)
     tokens = F.when(F.lower(F.col(model_col)).startswith("qwen"),
                     F.floor(raw * F.lit(FV.QWEN_TOKEN_SCALE)).cast("bigint")).otherwise(raw)
     ctx = tokens + F.lit(FV.CONTEXT_MARGIN)
@@ -87,16 +104,17 @@ def cached_prompt_text(prompt_col="prompt") -> F.Column:
     return F.concat(p, F.lit("\n"))
 
 
-def prompt_stats(prompts: DataFrame, text_col: str = "prompt", approx: bool = False) -> DataFrame:
-    """max, min, mean, median of the token estimate over all prompts.
+def prompt_stats(prompts: DataFrame, text_col: str = "prompt", approx: bool = False,
+                 chars_col: str | None = None) -> DataFrame:
+    """max, min, mean, median of the token estimate over all prompts (texts, or lengths in ``chars_col``).
 
     The exact median keeps a count per distinct value; token counts are bounded
     by the prompt budget, so that state stays small at any number of prompts.
     ``approx=True`` uses a quantile sketch instead (fixed-size state per task).
     """
-    t = token_estimate(text_col)
+    t = tokens_of_length(chars_col) if chars_col else token_estimate(text_col)
     med = F.percentile_approx("t", 0.5) if approx else F.median("t")
-    return prompts.where(F.col(text_col).isNotNull()).select(t.alias("t")).agg(
+    return prompts.where(F.col(chars_col or text_col).isNotNull()).select(t.alias("t")).agg(
         F.max("t").alias("max_tokens"), F.min("t").alias("min_tokens"),
         F.round(F.avg("t"), 6).alias("mean_tokens"), med.cast("double").alias("median_tokens"),
         F.count(F.lit(1)).alias("n_prompts"))

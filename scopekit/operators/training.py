@@ -54,22 +54,32 @@ def is_empty_prompt(content) -> F.Column:
     return F.coalesce(c.rlike(FV.FORMAT_END + r"\s*$"), F.lit(False))
 
 
-def training_prompts(responses: DataFrame, cached: DataFrame, rebuilt: DataFrame) -> DataFrame:
+def prompts_to_rebuild(responses: DataFrame, cached: DataFrame | None = None) -> DataFrame:
+    """(id): documents with a response that is kept and no cached prompt; only their pages need reading."""
+    ids = drop_stubs(responses).select("id").distinct()
+    return ids if cached is None else ids.join(cached.select("id"), "id", "left_anti")
+
+
+def training_prompts(responses: DataFrame, cached: DataFrame | None, rebuilt: DataFrame,
+                     instruction: str = FV.INSTRUCTION) -> DataFrame:
     """(id, prompt, completion) with the prompt taken from the cache when present, else rebuilt.
 
     ``cached``: (id, content) with the chat wrapper already removed; an empty
     cached prompt drops the row (no fallback). ``rebuilt``: (id, user_message)
     from the documents; a missing document or one without relevant pages drops
     the row. The rebuilt prompt is ``instruction + "\\n" + pages`` without the
-    last newline.
+    last newline. Without ``cached`` (None) every prompt is rebuilt.
     """
     r = drop_stubs(responses).select("id", F.col("response").alias("completion"))
-    c = cached.select("id", F.col("content").alias("cached"))
     b = rebuilt.select("id", F.col("user_message").alias("pages"))
-    j = r.join(c, "id", "left").join(b, "id", "left")
+    if cached is None:
+        r = r.withColumn("cached", F.lit(None).cast("string"))
+    else:
+        r = r.join(cached.select("id", F.col("content").alias("cached")), "id", "left")
+    j = r.join(b, "id", "left")
     rebuilt_prompt = F.when(
         F.coalesce(F.length("pages"), F.lit(0)) > 0,
-        F.concat(F.lit(FV.INSTRUCTION + "\n"), F.col("pages").substr(F.lit(1), F.length("pages") - F.lit(1))))
+        F.concat(F.lit(instruction + "\n"), F.col("pages").substr(F.lit(1), F.length("pages") - F.lit(1))))
     prompt = (F.when(F.col("cached").isNotNull(),
                      F.when(~is_empty_prompt("cached"), F.col("cached")))
                .otherwise(rebuilt_prompt))

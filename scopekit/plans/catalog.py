@@ -46,9 +46,12 @@ def _units(spark, sf, mode="text"):
     return P.page_units(FX.report_pages(spark, sf), mode)
 
 
-def _prompt_parts(spark, sf, mode="text", limit_chars=None):
-    """(units, assembled with budget status, assembled within budget)."""
-    units = _units(spark, sf, mode)
+def _prompt_parts(spark, sf, mode="text", limit_chars=None, only=None):
+    """(units, assembled with budget status, assembled within budget), of the documents in ``only`` (doc_id)."""
+    pages = FX.report_pages(spark, sf)
+    if only is not None:
+        pages = pages.join(only.select("doc_id"), "doc_id", "left_semi")
+    units = P.page_units(pages, mode)
     status = P.assemble_with_status(units, P.document_budget(units, limit_chars))
     within = status.where(~F.col("over_budget")).select("doc_id", "n_chunks", "user_message")
     return units, status, within
@@ -99,14 +102,46 @@ def q_build_prompt(spark, sf):
     return _prompts(spark, sf)
 
 
+def q_build_prompt_limited(spark, sf):
+    """Prompts under a budget that some documents exceed."""
+    _, status, _ = _prompt_parts(spark, sf, limit_chars=P.budget_chars(OVER_BUDGET_TOKENS))
+    return PR.build_prompts(FX.documents(spark, sf, "doc_id"), status)
+
+
+def _markup_parts(spark, sf):
+    units = P.page_units(FX.markup_pages(spark, sf), "xhtml")
+    return P.assemble_with_status(units, P.document_budget(units))
+
+
+def q_assemble_xhtml(spark, sf):
+    return _markup_parts(spark, sf).where(~F.col("over_budget")).select("doc_id", "n_chunks", "user_message")
+
+
+def q_build_prompt_xhtml(spark, sf):
+    ids = FX.markup_pages(spark, sf).select("doc_id").distinct()
+    return PR.build_prompts(ids, _markup_parts(spark, sf))
+
+
+def _lengths(spark, sf, ids, family=None):
+    return PR.prompt_lengths(ids, P.document_budget(_units(spark, sf)), family=family)
+
+
 def q_context_plan(spark, sf):
-    prompts = _prompts(spark, sf, with_model=True)
-    return PR.context_plan(prompts, C.model_config(spark))
+    lengths = _lengths(spark, sf, FX.document_models(spark, sf), PR.chat_family("model"))
+    return PR.context_plan(lengths, C.model_config(spark))
+
+
+def q_context_plan_extended(spark, sf):
+    """The plan for models of a 32nd of the context, which many prompts exceed."""
+    lengths = _lengths(spark, sf, FX.document_models(spark, sf), PR.chat_family("model"))
+    small = C.model_config(spark).select("model", F.expr("CAST(context_size DIV 32 AS INT)").alias("context_size"))
+    return PR.context_plan(lengths, small)
 
 
 def q_prompt_stats(spark, sf):
-    p = _prompts(spark, sf)
-    return PR.prompt_stats(p.select(PR.cached_prompt_text("prompt").alias("prompt")))
+    lengths = _lengths(spark, sf, FX.documents(spark, sf, "doc_id"))
+    cached = lengths.select((F.col("prompt_chars") + 1).alias("n"))   # the cache file ends with a line break
+    return PR.prompt_stats(cached, chars_col="n")
 
 
 def q_token_estimate(spark, sf):
@@ -204,11 +239,18 @@ def q_resume_pending(spark, sf):
 
 def q_batch_score(spark, sf):
     todo = q_resume_pending(spark, sf)
-    _, status, _ = _prompt_parts(spark, sf)
+    _, status, _ = _prompt_parts(spark, sf, only=todo)
     prompts = PR.build_prompts(todo, status)
     return B.batch_records(prompts, B.chunk_echo_scorer)
 
 
+def q_batch_score_limited(spark, sf):
+    """Batch scoring under a budget that some documents exceed."""
+    todo = q_resume_pending(spark, sf)
+    _, status, _ = _prompt_parts(spark, sf, limit_chars=P.budget_chars(OVER_BUDGET_TOKENS), only=todo)
+    return B.batch_records(PR.build_prompts(todo, status), B.chunk_echo_scorer)
+
+
 # ---------------------------------------------------------------- outputs
 
 def q_trim_eos(spark, sf):
@@ -244,6 +286,14 @@ def q_scan_predictions(spark, sf):
     return SO.read_predictions(spark, path).select("model", "id", "scope_1", "scope_2", "scope_3", "sources")
 
 
+def q_collect_two_models(spark, sf):
+    """Models stored one after the other, the first one twice: each row once."""
+    path, p = shared_dir(spark, "two-models"), FX.predictions(spark, sf)
+    for part in (p.where("model = 'm0'"), p.where("model <> 'm0'"), p.where("model = 'm0'")):
+        K.write_predictions(part, path)
+    return SO.read_predictions(spark, path).select("model", "id", "scope_1", "scope_2", "scope_3", "sources")
+
+
 def q_drop_stubs(spark, sf):
     return T.drop_stubs(FX.raw_responses(spark, sf)).select("model", "id", "response")
 
@@ -327,19 +377,25 @@ def q_drop_empty_prompts(spark, sf):
 
 def q_training_prompts(spark, sf):
     # responses keyed by id, the one loaded last wins (then stubs are dropped)
-    responses = T.last_response(FX.raw_responses(spark, sf))
-    assembled = _prompt_parts(spark, sf)[2]
-    rebuilt = assembled.select(F.col("doc_id").cast("string").alias("id"), "user_message")
-    return T.training_prompts(responses, _stripped_cache(spark, sf), rebuilt)
+    return _training(spark, sf, T.last_response(FX.raw_responses(spark, sf)), _stripped_cache(spark, sf))
+
+
+def _training(spark, sf, responses, cached):
+    needed = T.prompts_to_rebuild(responses, cached)
+    only = needed.select(F.col("id").cast("bigint").alias("doc_id"))
+    rebuilt = _prompt_parts(spark, sf, only=only)[2].select(F.col("doc_id").cast("string").alias("id"), "user_message")
+    return T.training_prompts(responses, cached, rebuilt)
+
+
+def q_training_prompts_rebuilt(spark, sf):
+    """All prompts made again, whatever the cache holds."""
+    return _training(spark, sf, T.last_response(FX.raw_responses(spark, sf)), None)
 
 
 def q_training_prompts_from_parquet(spark, sf):
     """Responses from a Parquet prediction table, re-serialised as compact records per row."""
     pred = FX.predictions(spark, sf).select("id", "model", record_json().alias("response"))
-    responses = T.last_response(pred, order_col="model")
-    assembled = _prompt_parts(spark, sf)[2]
-    rebuilt = assembled.select(F.col("doc_id").cast("string").alias("id"), "user_message")
-    return T.training_prompts(responses, _stripped_cache(spark, sf), rebuilt)
+    return _training(spark, sf, T.last_response(pred, order_col="model"), _stripped_cache(spark, sf))
 
 
 def _pair_id():
@@ -384,7 +440,11 @@ QUERIES: dict[str, Query] = {
     "assemble_documents": q_assemble_documents,
     "over_budget": q_over_budget,
     "build_prompt": q_build_prompt,
+    "build_prompt_limited": q_build_prompt_limited,
+    "assemble_xhtml": q_assemble_xhtml,
+    "build_prompt_xhtml": q_build_prompt_xhtml,
     "context_plan": q_context_plan,
+    "context_plan_extended": q_context_plan_extended,
     "prompt_stats": q_prompt_stats,
     "token_estimate": q_token_estimate,
     "model_lookup": q_model_lookup,
@@ -400,6 +460,7 @@ QUERIES: dict[str, Query] = {
     # batch
     "resume_pending": q_resume_pending,
     "batch_score": q_batch_score,
+    "batch_score_limited": q_batch_score_limited,
     # outputs
     "trim_eos": q_trim_eos,
     "validate_output": q_validate_output,
@@ -407,6 +468,7 @@ QUERIES: dict[str, Query] = {
     "record_json": q_record_json,
     "collect_outputs": q_collect_outputs,
     "scan_predictions": q_scan_predictions,
+    "collect_two_models": q_collect_two_models,
     "drop_stubs": q_drop_stubs,
     "last_response": q_last_response,
     # evaluation
@@ -425,6 +487,7 @@ QUERIES: dict[str, Query] = {
     "strip_wrapper": q_strip_wrapper,
     "drop_empty_prompts": q_drop_empty_prompts,
     "training_prompts": q_training_prompts,
+    "training_prompts_rebuilt": q_training_prompts_rebuilt,
     "training_prompts_from_parquet": q_training_prompts_from_parquet,
     "sft_records": q_sft_records,
     "dpo_records": q_dpo_records,

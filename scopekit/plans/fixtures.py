@@ -73,6 +73,19 @@ def html_pages(spark: SparkSession, sf: str) -> DataFrame:
     return pages.select("page_id", F.replace("html", F.lit("<br>"), F.lit('<img src="x">tail')).alias("html"))
 
 
+@materialized("markup_pages")
+def markup_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, page_no, page_text): four web pages make a document; each body ends with a paragraph of
+    references, by page_id: a term (every third), an escaped and a quoted term, empty elements and an image."""
+    pages = read_table(spark, sf, "pages", "page_id", "html")
+    k = F.col("page_id")
+    extra = (F.when(k % 3 == 0, F.lit("<p>S&#99;ope&#x20;&#49; &#38; &#x3C;b&#62;</p>"))
+              .when(k % 5 == 0, F.lit("<p>&quot;SCOPES&quot; CO&#x2082;<br/>scope&#32;two</p><i />"))
+              .otherwise(F.lit('<p>none&#160;<img src="x"/>scope 3</p>')))
+    return pages.select(F.expr("page_id DIV 4").alias("doc_id"), (k % 4).cast("int").alias("page_no"),
+                        F.concat("html", extra).alias("page_text"))
+
+
 @materialized("ground_truth")
 def ground_truth(spark: SparkSession, sf: str) -> DataFrame:
     o = read_table(spark, sf, "orders", "o_orderkey", "o_totalprice")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from scopekit import fixed_values as FV
+from scopekit.functions.records import record_json
 from scopekit.operators import batch as B
 from scopekit.operators import evaluate as E
 from scopekit.operators import pages as P
@@ -27,12 +28,20 @@ def _stored_records(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def build_prompt_table(pages: DataFrame, doc_ids: DataFrame, prompt_dir: str, mode: str = "text",
-                       max_tokens: int = FV.DEFAULT_MAX_TOKENS, instruction: str = FV.INSTRUCTION) -> None:
-    """Pages -> relevant pages -> budget -> assembly -> prompts, written as the prompt table."""
+def build_prompt_table(pages: DataFrame, doc_ids: DataFrame, prompt_dir: str, mode: str = "xhtml",
+                       max_tokens: int = FV.DEFAULT_MAX_TOKENS, instruction: str = FV.INSTRUCTION,
+                       chat: str = "mistral", done: DataFrame | None = None) -> None:
+    """Pages -> relevant pages -> budget -> assembly -> prompts, written as the prompt table.
+
+    ``chat`` is the chat family of the prompts (``prompts.chat_family``); the pages of documents in ``done``
+    (id) are not read further than their id."""
+    if done is not None:
+        doc_ids = B.pending(doc_ids, done)
+        pages = pages.join(doc_ids.select("doc_id"), "doc_id", "left_semi")
     units = P.page_units(pages, mode)
     budget = P.document_budget(units, P.budget_chars(max_tokens))
-    prompts = PR.build_prompts(doc_ids, P.assemble_with_status(units, budget), instruction=instruction)
+    prompts = PR.build_prompts(doc_ids, P.assemble_with_status(units, budget), instruction=instruction,
+                               family=F.lit(chat))
     prompts.write.mode("overwrite").parquet(prompt_dir)
 
 
@@ -115,16 +124,23 @@ def prompt_statistics(spark: SparkSession, prompt_dir: str, approx: bool = False
 
 
 def training_set_from_files(spark: SparkSession, responses_dir: str, prompt_dir: str, pages: DataFrame,
-                            out_dir: str, kind: str = "sft", mode: str = "text",
-                            wrapper: tuple[str, str] = FV.CHAT_WRAPPERS["mistral"]) -> None:
-    """Training records from a directory of raw responses (``*.json``, stem = id) and a prompt
-    cache (``*.txt``); documents without a cached prompt are rebuilt from ``pages``."""
+                            out_dir: str, kind: str = "sft", mode: str = "xhtml",
+                            wrapper: tuple[str, str] = FV.CHAT_WRAPPERS["mistral"], rebuild: bool = False,
+                            instruction: str = FV.INSTRUCTION) -> None:
+    """Training records from a directory of raw responses (``*.json``, stem = id) or a prediction table
+    (``*.parquet``), and a prompt cache (``*.txt``); documents without a cached prompt, or all of
+    them with ``rebuild``, get a prompt made from ``pages`` with ``instruction``."""
     from scopekit.sources.outputs import read_text_files
-    responses = read_text_files(spark, responses_dir.rstrip("/") + "/*.json", "response")
+    if responses_dir.rstrip("/").endswith(".parquet"):
+        responses = spark.read.parquet(responses_dir).select("id", record_json().alias("response"))
+    else:
+        responses = read_text_files(spark, responses_dir.rstrip("/") + "/*.json", "response")
     suffix = wrapper[1] + FV.ANSWER_START + "\n"
-    cached = read_text_files(spark, prompt_dir.rstrip("/") + "/*.txt", "text").select(
+    cached = None if rebuild else read_text_files(spark, prompt_dir.rstrip("/") + "/*.txt", "text").select(
         "id", T.strip_wrapper("text", wrapper[0], suffix).alias("content"))
+    needed = T.prompts_to_rebuild(responses, cached)
+    pages = pages.withColumn("id", F.col("doc_id").cast("string")).join(needed, "id", "left_semi").drop("id")
     units = P.page_units(pages, mode)
     within = P.assemble_documents(units, P.document_budget(units))
     rebuilt = within.select(F.col("doc_id").cast("string").alias("id"), "user_message")
-    write_training_set(T.training_prompts(responses, cached, rebuilt), out_dir, kind)
+    write_training_set(T.training_prompts(responses, cached, rebuilt, instruction), out_dir, kind)

@@ -38,6 +38,14 @@ def markup_text(x: str) -> str:
     return out
 
 
+def quotes_outside_tags(x: str) -> str:
+    """Cut at every tag's start: what follows its end is text."""
+    def plain(s):
+        return f"""replace({s}, '&quot;', '"')"""
+    return (f"array_to_string(list_transform(string_split({x}, '<'), lambda s, i: CASE WHEN i = 1 THEN {plain('s')} "
+            f"WHEN contains(s, '>') THEN left(s, instr(s, '>')) || {plain("substr(s, instr(s, '>') + 1)")} ELSE s END), '<')")
+
+
 def wrap_chunk(page_no: str, text: str) -> str:
     return f"""('<CHUNK id="' || {_str(page_no)} || '">' || {NL} || coalesce({text}, '') || {NL} || '</CHUNK>' || {NL})"""
 
@@ -154,8 +162,9 @@ def _clean_markup(x: str, n: str) -> str:
      FROM (SELECT h, x2, nn, rest, regexp_extract(rest, '^([^>]*?)/?>', 1) AS attrs
            FROM (SELECT h, x2, nn, substr(x2, length(h) + 1) AS rest
                  FROM (SELECT regexp_extract(x2, {lit(TX.ROOT_HEAD_PATTERN)}, 1) AS h, x2, nn
-                       FROM (SELECT regexp_replace({x}, {lit(TX.IMG_WITH_TAIL_PATTERN)}, '', 'g') AS x2,
-                                    {n} AS nn)))))"""
+                       FROM (SELECT {quotes_outside_tags('x3')} AS x2, nn
+                             FROM (SELECT regexp_replace({x}, {lit(TX.IMG_WITH_TAIL_PATTERN)}, '', 'g') AS x3,
+                                          {n} AS nn))))))"""
 
 
 def _units_xhtml() -> str:
@@ -164,6 +173,17 @@ def _units_xhtml() -> str:
   FROM (SELECT doc_id, page_no, {_clean_markup('page_text', 'page_no')} || {NL} AS unit FROM report_pages))"""
 
 
+def _units_markup() -> str:
+    """The pages of ``fixtures.markup_pages``, their added paragraph as it should be written in the end."""
+    raw = """html || CASE WHEN page_id % 3 = 0 THEN '<p>Scope 1 &amp; &lt;b&gt;</p>'
+                          WHEN page_id % 5 = 0 THEN '<p>&quot;SCOPES&quot; CO\u2082<br>scope two</p><i></i>'
+                          ELSE '<p>none\u00a0</p>' END"""
+    return f"""units AS (
+  SELECT doc_id, page_no, unit, {relevant(markup_text('unit'))} AS relevant
+  FROM (SELECT page_id // 4 AS doc_id, CAST(page_id % 4 AS INTEGER) AS page_no, {_clean_markup('raw', '(page_id % 4)')} || {NL} AS unit
+        FROM (SELECT page_id, {raw} AS raw FROM pages)))"""
+
+
 def _budget(limit_chars: float) -> str:
     rel_len = "CAST(CASE WHEN relevant THEN length(unit) ELSE 0 END AS BIGINT)"
     return f"""budget AS (
@@ -405,6 +425,13 @@ def queries() -> dict[str, str]:
     q["over_budget"] = _with(rp + [_units_xhtml(), _budget(OVER_BUDGET_TOKENS * FV.CHARACTERS_PER_TOKEN)],
                              "SELECT doc_id, n_pages, n_relevant, relevant_chars, chars_before_last_page, over_budget FROM budget")
     q["build_prompt"] = _with(text + [_prompts()], "SELECT doc_id, status, prompt FROM prompts")
+    limited = rp + [_units_text(), _budget(OVER_BUDGET_TOKENS * FV.CHARACTERS_PER_TOKEN), _assembled()]
+    q["build_prompt_limited"] = _with(limited + [_prompts()], "SELECT doc_id, status, prompt FROM prompts")
+    markup = [_units_markup(), _budget(DEFAULT_LIMIT), _assembled()]
+    q["assemble_xhtml"] = _with(markup, "SELECT doc_id, n_chunks, user_message FROM assembled")
+    q["build_prompt_xhtml"] = _with(markup + [_prompts().replace("FROM (SELECT doc_id FROM documents) d",
+                                                                 "FROM (SELECT DISTINCT doc_id FROM units) d")],
+                                    "SELECT doc_id, status, prompt FROM prompts")
     tok = "CAST(ceil(length(prompt) / 3.5) AS BIGINT)"
     tokens = f"CASE WHEN starts_with(lower(model), 'qwen') THEN CAST(floor({tok} * 1.2) AS BIGINT) ELSE {tok} END"
     q["context_plan"] = _with(text + [_prompts(True), _model_config()], f"""
@@ -415,6 +442,8 @@ SELECT doc_id, model, context_size, prompt_tokens, context,
 FROM (SELECT doc_id, model, context_size, prompt_tokens, prompt_tokens + {FV.CONTEXT_MARGIN} AS context
       FROM (SELECT p.doc_id, p.model, c.context_size, {tokens.replace('model', 'p.model')} AS prompt_tokens
             FROM prompts p JOIN cfg c ON p.model = c.model WHERE p.prompt IS NOT NULL))""")
+    q["context_plan_extended"] = q["context_plan"].replace(
+        _model_config(), _model_config().replace("CAST(context_size AS INTEGER)", "CAST(context_size // 32 AS INTEGER)"))
     q["prompt_stats"] = _with(text + [_prompts()], f"""
 SELECT max(t) AS max_tokens, min(t) AS min_tokens, round(avg(t), 6) AS mean_tokens,
        CAST(median(t) AS DOUBLE) AS median_tokens, count(*) AS n_prompts
@@ -466,14 +495,16 @@ ON l.location = s.path""")
               f""" || ',"sources":[' || array_to_string({ids}, ',') || ']}}' || {lit(FV.EOS_MARKER)}""")
     pend_prompts = text + [_prompts().replace("FROM (SELECT doc_id FROM documents) d",
                                               f"FROM ({pending}) d")]
-    q["batch_score"] = _with(pend_prompts, f"""
+    scored_rows = f"""
 SELECT doc_id, {_stub_or('valid')}
 FROM {_validated(f"(SELECT doc_id, {trim_eos(scored)} AS t FROM prompts WHERE status = 'ok')", 'doc_id')}
 UNION ALL
 SELECT doc_id, status, CASE WHEN status = 'over_budget' THEN -1 END AS scope_1,
        CASE WHEN status = 'over_budget' THEN -1 END AS scope_2, CASE WHEN status = 'over_budget' THEN -1 END AS scope_3,
        CASE WHEN status = 'over_budget' THEN CAST([-1] AS BIGINT[]) ELSE CAST([] AS BIGINT[]) END AS sources
-FROM prompts WHERE status <> 'ok'""")
+FROM prompts WHERE status <> 'ok'"""
+    q["batch_score"] = _with(pend_prompts, scored_rows)
+    q["batch_score_limited"] = _with(limited + pend_prompts[len(text):], scored_rows)
     gt, pr = [_ground_truth()], [_ground_truth(), _predictions()]
     raw = pr + [_raw_responses()]
     q["trim_eos"] = _with(raw, f"SELECT model, id, {trim_eos('response')} AS response FROM raw_responses")
@@ -487,6 +518,7 @@ FROM {_validated(f"(SELECT model, id, seq, {trim_eos('response')} AS t FROM raw_
 SELECT model, id, {_clip('scope_1')} AS scope_1, {_clip('scope_2')} AS scope_2, {_clip('scope_3')} AS scope_3, sources
 FROM predictions""")
     q["scan_predictions"] = _with(pr, "SELECT model, id, scope_1, scope_2, scope_3, sources FROM predictions")
+    q["collect_two_models"] = q["scan_predictions"]
     q["drop_stubs"] = _with(raw, f"SELECT model, id, response FROM raw_responses WHERE response <> {STUB}")
     q["last_response"] = _with(raw, "SELECT id, arg_max(response, seq) AS response FROM raw_responses GROUP BY id")
     q["scope2_truth"] = _with(gt, "SELECT id, coalesce(scope_2_market, scope_2_location) AS scope_2 FROM ground_truth")
@@ -528,6 +560,10 @@ SELECT id, prompt, completion FROM (
   LEFT JOIN stripped c ON r.id = c.id
   LEFT JOIN (SELECT CAST(doc_id AS VARCHAR) AS id, user_message FROM assembled) a ON r.id = a.id)
 WHERE prompt IS NOT NULL""")
+    q["training_prompts_rebuilt"] = _with(text + [_ground_truth(), _predictions(), _raw_responses()], f"""
+SELECT r.id, {INSTR} || {NL} || left(a.user_message, length(a.user_message) - 1) AS prompt, r.response AS completion
+FROM (SELECT id, arg_max(response, seq) AS response FROM raw_responses GROUP BY id) r
+JOIN assembled a ON r.id = CAST(a.doc_id AS VARCHAR) WHERE r.response <> {STUB}""")
     q["training_prompts_from_parquet"] = _with(cache + [_ground_truth(), _predictions()], f"""
 SELECT id, prompt, completion FROM (
   SELECT r.id, CASE WHEN c.content IS NOT NULL THEN (CASE WHEN NOT {_empty_prompt('c.content')} THEN c.content END)

@@ -36,11 +36,11 @@ def document_stream(spark: SparkSession, documents_dir: str, max_files_per_trigg
 
 def _batch_writer(output_dir: str, run_name: str, scorer: B.Scorer, mode: str, separator: str,
                   max_tokens: int, marker: str, checkpoint: str, written: dict,
-                  instruction: str = FV.INSTRUCTION):
+                  instruction: str, chat: str):
     def write(docs: DataFrame, batch_id: int) -> None:
         units = P.page_units(split_pages(docs, separator=separator), mode)
         status = P.assemble_with_status(units, P.document_budget(units, P.budget_chars(max_tokens)))
-        prompts = PR.build_prompts(docs.select("doc_id"), status, instruction=instruction)
+        prompts = PR.build_prompts(docs.select("doc_id"), status, instruction=instruction, family=F.lit(chat))
         records = B.batch_records(prompts, scorer, marker, id_type="string")
         out = records.select(F.lit(run_name).alias("model"), F.col("doc_id").alias("id"), "status",
                              *FV.SCOPE_KEYS, "sources", F.lit(batch_id).cast("bigint").alias("batch"))
@@ -51,10 +51,10 @@ def _batch_writer(output_dir: str, run_name: str, scorer: B.Scorer, mode: str, s
 
 
 def extract_incrementally(spark: SparkSession, documents_dir: str, output_dir: str, run_name: str,
-                          scorer: B.Scorer, checkpoint_dir: str | None = None, mode: str = "text",
+                          scorer: B.Scorer, checkpoint_dir: str | None = None, mode: str = "xhtml",
                           separator: str = PAGE_BREAK, max_tokens: int = FV.DEFAULT_MAX_TOKENS,
                           marker: str = FV.EOS_MARKER, max_files_per_trigger: int | None = None,
-                          instruction: str = FV.INSTRUCTION) -> int:
+                          instruction: str = FV.INSTRUCTION, chat: str = "mistral") -> int:
     """Score every document file not processed yet, then stop (``availableNow``).
 
     Returns the number of documents scored in this call (records written).
@@ -63,7 +63,7 @@ def extract_incrementally(spark: SparkSession, documents_dir: str, output_dir: s
     ckpt = checkpoint_dir or default_checkpoint(output_dir, run_name, documents_dir)
     written: dict[int, int] = {}
     q = (document_stream(spark, documents_dir, max_files_per_trigger).writeStream
-         .foreachBatch(_batch_writer(output_dir, run_name, scorer, mode, separator, max_tokens, marker, ckpt, written, instruction))
+         .foreachBatch(_batch_writer(output_dir, run_name, scorer, mode, separator, max_tokens, marker, ckpt, written, instruction, chat))
          .option("checkpointLocation", ckpt)
          .trigger(availableNow=True)
          .start())

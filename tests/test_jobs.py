@@ -18,7 +18,7 @@ def test_extraction_resumes(spark):
     pages = FX.report_pages(spark, SF_SMALL)
     ids = FX.documents(spark, SF_SMALL, "doc_id")
     prompt_dir, out_dir = shared_dir(spark, "prompts"), shared_dir(spark, "records")
-    jobs.build_prompt_table(pages, ids, prompt_dir)
+    jobs.build_prompt_table(pages, ids, prompt_dir, mode="text")
     n_docs = ids.count()
     first = jobs.run_extraction(spark, prompt_dir, out_dir, "echo", B.chunk_echo_scorer)
     second = jobs.run_extraction(spark, prompt_dir, out_dir, "echo", B.chunk_echo_scorer)
@@ -78,15 +78,15 @@ def test_streaming_extraction_is_incremental(spark):
         with open(os.path.join(src, f"{k}.txt"), "w") as f:
             f.write(v)
     out, ckpt = shared_dir(spark, "extract-out"), shared_dir(spark, "extract-ckpt")
-    assert extract_incrementally(spark, src, out, "echo", B.chunk_echo_scorer, ckpt) == 3
+    assert extract_incrementally(spark, src, out, "echo", B.chunk_echo_scorer, ckpt, mode="text") == 3
     got = {r.id: (r.status, r.scope_1, r.sources) for r in read_collected(spark, out).collect()}
     assert got == {"a": ("ok", 1, [1]), "b": ("no_relevant_pages", None, []), "c": ("ok", 2, [0, 1])}
     with open(os.path.join(src, "d.txt"), "w") as f:
         f.write("SCOPES one")
-    assert extract_incrementally(spark, src, out, "echo", B.chunk_echo_scorer, ckpt) == 1
+    assert extract_incrementally(spark, src, out, "echo", B.chunk_echo_scorer, ckpt, mode="text") == 1
     assert read_collected(spark, out).count() == 4
-    assert extract_incrementally(spark, src, out, "other", B.chunk_echo_scorer) == 4
-    assert extract_incrementally(spark, src, out, "other", B.chunk_echo_scorer) == 0
+    assert extract_incrementally(spark, src, out, "other", B.chunk_echo_scorer, mode="text") == 4
+    assert extract_incrementally(spark, src, out, "other", B.chunk_echo_scorer, mode="text") == 0
     assert read_collected(spark, out).groupBy("model").count().where("count = 4").count() == 2
 
 
@@ -158,7 +158,7 @@ def test_prompt_statistics_and_training_set_from_files(spark):
     pages = spark.createDataFrame([(3, 0, "Scope 1 here"), (3, 1, "x"), (4, 0, "Scope 2")],
                                   "doc_id bigint, page_no int, page_text string")
     out = shared_dir(spark, "sft-out")
-    jobs.training_set_from_files(spark, rdir, pdir, pages, out)
+    jobs.training_set_from_files(spark, rdir, pdir, pages, out, mode="text")
     got = {r.completion: r.prompt for r in spark.read.schema("prompt string, completion string").json(out).collect()}
     # 1: cached prompt; 2: cached but empty -> dropped; 3: rebuilt from pages; 4: stub -> dropped
     assert set(got) == {resp["1"], resp["3"]}
