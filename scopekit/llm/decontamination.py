@@ -75,13 +75,14 @@ def _suffix_array(seq: np.ndarray, depth: int) -> np.ndarray:
     sa = np.flatnonzero(seq)
     rank = seq.astype(np.int64)
     h = 1
+    base = max(len(seq), int(seq.max(initial=0))) + 2   # above every rank: word numbers first, places later
     order = np.argsort(rank[sa], kind="stable")
     sa = sa[order]
     while True:
         nxt = np.zeros(len(sa), np.int64)
         inside = sa + h < len(seq)
         nxt[inside] = rank[sa[inside] + h]
-        key = rank[sa] * (len(seq) + 2) + nxt
+        key = rank[sa] * base + nxt
         order = np.argsort(key, kind="stable")
         sa, key = sa[order], key[order]
         step = np.ones(len(sa), bool)

@@ -1,0 +1,21 @@
+"""Cases in which an operator did less than its whole job."""
+
+import random
+
+from scopekit.llm import decontamination as D
+
+
+def test_decontamination_of_a_shard_smaller_than_the_vocabulary():
+    """One-document shards against a benchmark of thousands of distinct words find every planted window."""
+    rnd = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(30))) for i in range(400)]
+    q = D.Queries([(i, t.encode()) for i, t in items], 10)
+    for _ in range(100):
+        item, text = items[rnd.randrange(len(items))]
+        start = rnd.randrange(15)
+        words = ([rnd.choice(vocabulary) for _ in range(rnd.randrange(12, 40))] + text.split()[start:start + 14]
+                 + [rnd.choice(vocabulary) for _ in range(rnd.randrange(12, 40))])
+        counts, found = D.search_shard([" ".join(words).encode()], q)
+        spans, owners, longest = found[0]
+        assert counts.tolist() == [len(words)] and sum(s["length"] for s in spans) >= 14 and item in owners and longest[0] >= 14
