@@ -1,8 +1,8 @@
 """Secret scan with a random forest against false positives.
 
 Candidates are tokens of at least MIN_LENGTH characters of a key's alphabet that hold a digit or a known key prefix, and
-shorter values assigned to a name that means a secret. A random forest, trained on labelled findings, then
-keeps the likely secrets. Its features: length, character transitions (changes between lower case, upper
+shorter values assigned to a name that means a secret; a word (minified JSON, a URL) may hold several. A random
+forest, trained on labelled findings, then keeps the likely secrets. Its features: length, character transitions (changes between lower case, upper
 case, digits and other, and how usual the letter pairs are in the corpus' words), dictionary coverage, path
 (of the value and of the document) and neighbouring words. DataFrame and Spark ML functions only.
 
@@ -39,36 +39,66 @@ PLACEHOLDERS = "example|sample|dummy|test|placeholder|changeme|your|xxxx|fake|to
 TEST_PATHS = "test|example|sample|fixture|doc|mock"
 
 VALUE = r"[A-Za-z0-9+/_=.\-]+"
+KEY = r"A-Za-z0-9+/_.\-"     # a key's alphabet; = only pads its end
+# a key behind a slash or dot is a token of its own, and what follows it another
+_INNER = rf"(?:{PREFIXES.replace('|eyJ', '')})[A-Za-z0-9_\-]{{12}}"
+_RUN = rf"(?:(?!(?<=[/.]){_INNER})[{KEY}])"
+_LONG = rf"(?={_RUN}{{{MIN_LENGTH}}}|{_RUN}{{{MIN_LENGTH - 1}}}=|{_RUN}{{{MIN_LENGTH - 2}}}==)(?={_RUN}*[0-9]|{PREFIXES})"
+_TOKEN = rf"(?:(?<=[/.]){_INNER}[A-Za-z0-9_\-]*|(?:(?<![{KEY}])|\G){_LONG}{_RUN}+={{0,2}})"
+# a run with = inside that is long only as a whole
+_JOINED = rf"(?<![{KEY}=])(?=[{KEY}=]{{{MIN_LENGTH}}})(?=[{KEY}=]*[0-9]|{PREFIXES})(?![{KEY}=]*=(?:{_LONG}))(?![{KEY}=]*[/.]{_INNER})[{KEY}=]+"
+_NAME = rf"(?<![{KEY}])(?!{_TOKEN})[A-Za-z0-9_.\-]{{1,64}}[\"']?[:=]+"
+# a long token with the name it is assigned to and its quotes
+PIECE = rf"(?:{_NAME})?[\"'`]?({_TOKEN}|{_JOINED})[\"'`]?"
+# a name that means a secret and its value
+ASSIGNED = rf"(?i)[a-z0-9_.\-]*(?:{SECRET_NAMES})[a-z0-9_.\-\"']*[:=]([\"][^\s\"]{{8,}}[\"]?|['][^\s']{{8,}}[']?|[^\s\"'&,;]{{8,}})"
+# what holds neither has no candidates
+MAYBE = rf"(?<![{KEY}=])(?=[{KEY}=]{{{MIN_LENGTH}}})[{KEY}=]*(?:[0-9]|{PREFIXES})|(?i:{SECRET_NAMES})"
 FEATURES = ["length", "transitions", "pair_score", "digits", "distinct", "dictionary", "slashes", "test_path",
             "secret_name", "harmless_name", "assigned", "placeholder", "quoted"]
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, position, word, before, name, after, path): each candidate word of a text, its place among the words
-    (split at white space), and the words around it."""
-    has = rf"[A-Za-z0-9+/_=\-]*[0-9][A-Za-z0-9+/_=\-]*|(?:{PREFIXES})"
-    long = rf"(?=[A-Za-z0-9+/_=.\-]{{{MIN_LENGTH},}})(?:{has})"
-    named = rf"(?i)^[\"']?[a-z0-9_.\-]*(?:{SECRET_NAMES})[a-z0-9_.\-]*[\"']?\s*[:=]?$"
-    # a text without a long token that holds a digit or prefix, and without a secret's name, has no candidates
-    maybe = rf"(?<![A-Za-z0-9+/_=.\-]){long}|(?i:{SECRET_NAMES})"
+    """(doc_id, position, part, value, word, before, name, after, path): every candidate of a text, the place of its
+    word (split at white space) among the words, its number among the word's candidates, the piece of the word it
+    stands in (with the name it is assigned to and its quotes), and the words around it."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"),
-                       F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path")).where(F.rlike("text", F.lit(maybe)))
+                       F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path")).where(F.rlike("text", F.lit(MAYBE)))
     words = rows.select("doc_id", "path", F.split("text", r"\s+").alias("w"))
 
     def word(i):
         return F.coalesce(F.get("w", i), F.lit(""))
 
-    def wanted(i):
-        x = word(i)
-        after_name = F.rlike(word(i - 1), F.lit(r"[:=]$")) & F.rlike(F.concat_ws(" ", word(i - 2), word(i - 1)), F.lit(rf"(?i)(?:{SECRET_NAMES})[a-z0-9_.\-\"']*\s*[:=]$"))
-        in_word = F.rlike(x, F.lit(rf"(?i)(?:{SECRET_NAMES})[a-z0-9_.\-\"']*[:=][\"']?[^\s\"']{{8,}}"))
-        return F.rlike(x, F.lit(rf"(?<![A-Za-z0-9+/_=.\-]){long}")) | (after_name & (F.char_length(x) >= 8)) | in_word
-
-    places = F.filter(F.sequence(F.lit(0), F.size("w") - 1), wanted)
-    return words.select("doc_id", "path", "w", F.explode(places).alias("position")).select(
-        "doc_id", "position", word(F.col("position")).alias("word"),
-        F.concat_ws(" ", word(F.col("position") - 3), word(F.col("position") - 2)).alias("before"),
-        word(F.col("position") - 1).alias("name"), word(F.col("position") + 1).alias("after"), "path")
+    def after_name(i):
+        return (F.rlike(word(i - 1), F.lit(r"[:=]$")) & (F.char_length(word(i)) >= 8)
+                & F.rlike(F.concat_ws(" ", word(i - 2), word(i - 1)), F.lit(rf"(?i)(?:{SECRET_NAMES})[a-z0-9_.\-\"']*\s*[:=]$")))
+
+    places = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.rlike(word(i), F.lit(MAYBE)) | after_name(i))
+    i = F.col("position")
+    each = words.select("doc_id", "path", "w", F.explode(places).alias("position")).select(
+        "doc_id", "path", "position", word(i).alias("x"), after_name(i).alias("named"), F.concat_ws(" ", word(i - 3), word(i - 2)).alias("before"),
+        word(i - 1).alias("name"), word(i + 1).alias("after"))
+
+    def pair(piece, value):
+        return F.struct(piece.alias("word"), value.alias("value"))
+
+    # the value of a name in the word before, of names in the word, and the long tokens that are none of these
+    whole = F.regexp_extract("x", r"^[\"'`]([^\"'`]+)", 1)
+    bare = F.regexp_extract("x", r"^[(\[{]*([^\s\"'`,;]+)", 1)
+    first = F.when(F.col("named"), F.array(pair(F.col("x"), F.when(whole != "", whole).when(bare != "", bare).otherwise(F.col("x")))))
+    set_ = F.transform(F.regexp_extract_all("x", F.lit(ASSIGNED), 0), lambda s: pair(s, F.regexp_extract(s, ASSIGNED, 1)))
+    set_ = F.transform(set_, lambda p: pair(p["word"], F.regexp_replace(p["value"], r"^[\"']|[\"']$", "")))
+    named = F.concat(F.coalesce(first, F.array().cast("array<struct<word:string,value:string>>")), set_)
+    long = F.transform(F.regexp_extract_all("x", F.lit(PIECE), 0), lambda s: pair(s, F.regexp_extract(s, PIECE, 1)))
+    each = each.withColumn("named", named)
+    taken = F.transform("named", lambda p: p["value"])
+    found = each.select("*", F.posexplode(F.concat("named", F.filter(long, lambda p: ~F.array_contains(taken, p["value"])))).alias("part", "p"))
+    # the words before are next to the piece at the word's start only
+    lead = rf"^[^{KEY}]+"
+    starts = F.startswith(F.regexp_replace("x", lead, ""), F.regexp_replace("p.word", lead, ""))
+    return found.select("doc_id", "position", "part", F.col("p.value").alias("value"), F.col("p.word").alias("word"),
+                        F.when(starts, F.col("before")).otherwise("").alias("before"), F.when(starts, F.col("name")).otherwise("").alias("name"),
+                        "after", "path")
 
 
 def training_docs(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -89,11 +119,18 @@ def vocabulary(docs: DataFrame, size: int = DICTIONARY) -> tuple[list[str], dict
     return [r["w"] for r in top], {r["p"]: r["n"] / total for r in pairs}
 
 
-def features(findings: DataFrame, words: list[str], pairs: dict[str, float]) -> DataFrame:
-    """The findings with ``value`` and the numbers of FEATURES."""
+def _first_value():
+    """The value of a labelled word: the first run of key characters behind a secret's name, or the word."""
     stripped = F.regexp_replace("word", rf"(?i)^.*?(?:{SECRET_NAMES})[a-z0-9_.\-\"']*[:=]", "")
     value = F.regexp_extract(stripped, VALUE, 0)
-    f = findings.withColumn("value", F.when(value == "", F.col("word")).otherwise(value))
+    return F.when(value == "", F.col("word")).otherwise(value)
+
+
+def features(findings: DataFrame, words: list[str], pairs: dict[str, float]) -> DataFrame:
+    """The findings with ``value`` (kept if they have one) and the numbers of FEATURES."""
+    if "value" not in findings.columns:
+        findings = findings.withColumn("value", _first_value())
+    f = findings
     v, low, n = F.col("value"), F.lower("value"), F.greatest(F.char_length("value"), F.lit(1))
     changes = F.regexp_count(v, F.lit(r"(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]|(?<=[^A-Za-z0-9])[A-Za-z0-9]"))
     table = F.create_map(*[F.lit(x) for p in pairs.items() for x in p]) if pairs else F.create_map(F.lit(""), F.lit(0.0))
@@ -163,19 +200,19 @@ def train(labelled: DataFrame, words: list[str], pairs: dict[str, float]):
 
 
 def scan(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, position, value, score, is_secret) for every candidate of all documents."""
+    """(doc_id, position, part, value, score, is_secret) for every candidate of all documents."""
     some = written(training_docs(docs), "training-docs")
     if some.isEmpty():
-        return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(0).alias("position"), F.lit("").alias("value"),
+        return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(0).alias("position"), F.lit(0).alias("part"), F.lit("").alias("value"),
                            F.lit(0.0).alias("score"), F.lit(False).alias("is_secret")).where("false")
     words, pairs = vocabulary(some)
     model = train(labelled_findings(some), words, pairs)
     scored = model.transform(features(candidates(docs), words, pairs))
     score = F.round(vector_to_array("probability")[1], 6)
-    return scored.select("doc_id", "position", "value", score.alias("score"), (score >= threshold).alias("is_secret"))
+    return scored.select("doc_id", "position", "part", "value", score.alias("score"), (score >= threshold).alias("is_secret"))
 
 
 def report(found: DataFrame) -> DataFrame:
     """Findings without showing the values."""
-    return found.select("doc_id", F.col("position").cast("bigint").alias("position"), F.char_length("value").cast("bigint").alias("length"),
+    return found.select("doc_id", F.col("position").cast("bigint").alias("position"), F.col("part").cast("bigint").alias("part"), F.char_length("value").cast("bigint").alias("length"),
                         F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
