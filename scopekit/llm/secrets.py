@@ -9,7 +9,7 @@ case, digits and other, and how usual the letter pairs are in the corpus' words)
 Labelled findings are a table (word, before, name, after, path, label); ``labelled_findings`` derives them from
 documents: keys made of digests set behind a secret's name, against digests named as checksums, identifiers of
 corpus words, paths and placeholders. Training uses at most TRAIN_DOCS documents (those of the smallest id
-hashes), the dictionary and the letter pairs are counted on them too; the scan covers all text.
+hashes); the dictionary and the letter pairs are counted on all documents, and the scan covers all text.
 
 Edge cases: null and empty texts have no candidates; a document without candidates has no row; repeated
 documents are scanned one by one; null paths are empty; an empty table gives no rows.
@@ -28,7 +28,7 @@ from scopekit.llm.common import text_or_empty, written
 
 MIN_LENGTH = 16
 TRAIN_DOCS = 1000
-DICTIONARY = 500
+WORD_SHARE = 1e-5     # of all words: the dictionary has at most 1 / WORD_SHARE words
 TREES, DEPTH, SEED = 30, 8, 17
 
 # FIXED VALUES: public key prefixes, names of secrets, and words around harmless findings
@@ -108,17 +108,36 @@ def training_docs(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     return rows.where(F.col("o") <= F.lit(last)).select("doc_id", "text")
 
 
-def vocabulary(docs: DataFrame, size: int = DICTIONARY) -> tuple[list[str], dict[str, float]]:
-    """The most frequent words of at least four letters, and each letter pair's log10 share: both bounded."""
+def vocabulary(docs: DataFrame, share: float = WORD_SHARE) -> tuple[list[str], dict[str, float]]:
+    """The words of at least four letters that make up ``share`` of all words, and each letter pair's share: both bounded."""
     words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,30}"), 0)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     words = written(words, "words")
-    top = words.where(F.length("w") >= 4).orderBy(F.desc("n"), "w").limit(size).collect()
+    least = (words.agg(F.sum("n").alias("n")).first()["n"] or 0) * share
+    top = words.where((F.length("w") >= 4) & (F.col("n") >= least)).orderBy("w").select("w").collect()
     pairs = (words.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring("w", i, F.lit(2)))).alias("p"))
-             .groupBy("p").agg(F.sum("n").alias("n")).collect())     # at most 26 x 26
+             .groupBy("p").agg(F.sum("n").alias("n")).orderBy("p").collect())     # at most 26 x 26
     total = sum(r["n"] for r in pairs) or 1
     return [r["w"] for r in top], {r["p"]: r["n"] / total for r in pairs}
 
 
+def _any_of(words: list[str]) -> str:
+    """A pattern of the longest word at a place, as a tree of letters: its cost doesn't grow with the number of words."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        kids = [c + pattern(node[c]) for c in sorted(node) if c]
+        if not kids:
+            return ""
+        one = kids[0] if len(kids) == 1 and "" not in node else f"(?:{'|'.join(kids)})"
+        return one + "?" if "" in node else one
+    return pattern(tree) or "(?!)"
+
+
 def _first_value():
     """The value of a labelled word: the first run of key characters behind a secret's name, or the word."""
     stripped = F.regexp_replace("word", rf"(?i)^.*?(?:{SECRET_NAMES})[a-z0-9_.\-\"']*[:=]", "")
@@ -136,7 +155,7 @@ def features(findings: DataFrame, words: list[str], pairs: dict[str, float]) ->
     table = F.create_map(*[F.lit(x) for p in pairs.items() for x in p]) if pairs else F.create_map(F.lit(""), F.lit(0.0))
     places = F.sequence(F.lit(1), F.greatest(F.char_length(v) - 1, F.lit(1)))
     usual = F.aggregate(places, F.lit(0.0), lambda a, i: a + F.coalesce(F.try_element_at(table, F.substring(low, i, F.lit(2))), F.lit(0.0)))
-    known = F.regexp_replace(low, "|".join(sorted(words, key=lambda w: (-len(w), w))) or r"\z.", "")
+    known = F.regexp_replace(low, _any_of(words), "")
     around = F.lower(F.concat_ws(" ", "before", "name"))
     name = F.lower(F.concat_ws(" ", F.regexp_extract("before", r"(\S*)$", 1), "name", F.regexp_extract("word", r"^([^:=]*)[:=]", 1)))
 
@@ -205,7 +224,7 @@ def scan(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     if some.isEmpty():
         return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(0).alias("position"), F.lit(0).alias("part"), F.lit("").alias("value"),
                            F.lit(0.0).alias("score"), F.lit(False).alias("is_secret")).where("false")
-    words, pairs = vocabulary(some)
+    words, pairs = vocabulary(docs.select(F.col("text").cast("string").alias("text")))
     model = train(labelled_findings(some), words, pairs)
     scored = model.transform(features(candidates(docs), words, pairs))
     score = F.round(vector_to_array("probability")[1], 6)

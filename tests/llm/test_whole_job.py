@@ -36,3 +36,29 @@ def test_every_secret_of_a_word_is_judged(spark):
         assert want <= {r["value"] for r in out if r.doc_id == i}, (i, [r["value"] for r in out if r.doc_id == i])
     assert sum(r.doc_id == 8 for r in out) == 2 and not any(r.doc_id == 10 for r in out)
     assert len({(r.doc_id, r.position, r.part) for r in out}) == len(out)
+
+
+def test_dictionary_and_pairs_cover_all_documents(spark, monkeypatch):
+    """Words of documents that aren't trained on count; training stays on its sample."""
+    rows = [(i, f"zebra{chr(97 + i % 7)} quokka walks " * 20, "a") for i in range(60)]
+    df = spark.createDataFrame(rows + [(None, "wombatted " * 50, "a"), (99, None, "a")], "doc_id bigint, text string, source string")
+    seen = {}
+    monkeypatch.setattr(S, "training_docs", lambda docs: docs.where("doc_id = 3").select("doc_id", "text"))
+    monkeypatch.setattr(S, "train", lambda labelled, words, pairs: seen.update(words=words, pairs=pairs, ids={r.doc_id for r in labelled.collect()}))
+    try:
+        S.scan(df)
+    except AttributeError:      # no forest
+        pass
+    assert {"quokka", "walks", "wombatted", "zebraa", "zebrag"} <= set(seen["words"]) and seen["ids"] == {3}
+    assert "tt" in seen["pairs"] and abs(sum(seen["pairs"].values()) - 1) < 1e-9
+
+
+def test_dictionary_pattern_takes_the_longest_word():
+    import re
+    rnd = random.Random(2)
+    words = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randrange(4, 8))) for _ in range(800)})
+    plain = "|".join(sorted(words, key=lambda w: (-len(w), w)))
+    for _ in range(200):
+        text = "".join(rnd.choice("abcd") for _ in range(60))
+        assert re.sub(S._any_of(words), "_", text) == re.sub(plain, "_", text)
+    assert re.sub(S._any_of([]), "", "abc") == "abc"
