@@ -5,7 +5,7 @@ doubling; the ranks of every doubling step give the longest common prefix of nei
 longest-common-prefix interval around a suffix is the longest repeated substring that starts there;
 the union of all those of at least MIN_REPEAT words is the covered part. A document is rejected
 if that part is over MAX_COVERED of its words, or its longest repeat has over MAX_LONGEST
-words and over MAX_LONGEST_SHARE of all words, beside the base rules (too few words, or too many
+words or over MAX_LONGEST_SHARE of all words, beside the base rules (too few words, or too many
 words in repeated three-word windows).
 
 Edge cases: a null, empty or blank text has no words, fails the base rule and isn't kept; repeated rows
@@ -145,6 +145,6 @@ def judged(found: DataFrame, max_covered: float = MAX_COVERED, max_longest: int
     n = F.col("n_words")
     base = (n < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * n)
     repeated = ((F.col("n_covered") > max_covered * n)
-                | ((F.col("longest_repeat") > max_longest) & (F.col("longest_repeat") > max_longest_share * n)))
+                | (F.col("longest_repeat") > max_longest) | (F.col("longest_repeat") > max_longest_share * n))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                         base.alias("base_failed"), (~base & ~repeated).alias("kept"), "n_covered", "longest_repeat")

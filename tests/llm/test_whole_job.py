@@ -3,6 +3,7 @@
 import random
 
 from scopekit.llm import decontamination as D
+from scopekit.llm import repetition as R
 from scopekit.llm import secrets as S
 
 
@@ -62,3 +63,14 @@ def test_dictionary_pattern_takes_the_longest_word():
         text = "".join(rnd.choice("abcd") for _ in range(60))
         assert re.sub(S._any_of(words), "_", text) == re.sub(plain, "_", text)
     assert re.sub(S._any_of([]), "", "abc") == "abc"
+
+
+def test_longest_repeat_rejects_by_itself(spark):
+    """A long passage twice in a text that the coverage and base rules keep."""
+    def text(n, size, tag):
+        words = [f"{tag}{i}" for i in range(n - size)]
+        return " ".join(words[:size] + words[size:] + words[:size])
+    rows = [(1, text(1000, 240, "a")), (2, text(2000, 490, "b")), (3, text(1000, 51, "c")), (4, text(1000, 50, "d"))]
+    out = {r.doc_id: r for r in R.judged(R.profiles(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()}
+    assert not any(r.base_failed or r.n_covered > 0.5 * r.n_words for r in out.values())
+    assert {i: (r.longest_repeat, r.kept) for i, r in out.items()} == {1: (240, False), 2: (490, False), 3: (51, False), 4: (50, True)}
