@@ -1,13 +1,13 @@
 """Licence recognition by sentences.
 
-A text's sentences are normalised (lower case, runs of anything but a-z and 0-9 as one blank) and looked up in
-a table of known licence sentences. The identifiers found, in order, are matched against the rules,
+A text is normalised (lower case, runs of anything but a-z and 0-9 as one blank) and the known licence
+sentences are looked for in it as whole words, the longest at a place first. The identifiers found, in order, are matched against the rules,
 ordered sequences of identifiers, longest rules first; what a rule has matched no shorter rule sees.
 Identifiers of a rule must follow each other in the text's identifier sequence, other sentences between them
 don't matter.
 
-A sentence ends at .!?; before white space and at a line's end, unless the next line starts with a-z (a
-wrapped sentence goes on).
+So line breaks, indents, comment marks and words around a sentence don't matter. A sentence behind "not" or
+before "or (any) later" isn't taken.
 
 Edge cases: null and empty texts have no sentences; a sentence found twice is in the sequence twice, a licence
 found twice is listed once; repeated rows are read one by one; an empty table gives no rows.
@@ -61,7 +61,9 @@ RULES = [
 
 TRIGGERS = ("licens", "permission", "copyright", "free software", "this program", "redistribution", "warranty")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WRAPPED, BOUNDARY, OTHER = r"\n([a-z])", r"[.!?;]+[ \t\r\n]+", r"[^a-z0-9]+"
+BOUNDARY, OTHER = r"[.!?;]+[ \t\r\n]+", r"[^a-z0-9]+"
+# comment marks made of letters, and a "not" that ends its sentence
+SKIPPED = r"(?m)^[ \t]*(?:dnl|rem)[ \t]+|\bnot(?=[.!?;:])"
 
 
 def normalised(sentence: str) -> str:
@@ -81,14 +83,15 @@ def known_sentences(sentences: dict[str, str] = SENTENCES) -> dict[str, str]:
 
 def identifiers(text, known: dict[str, str]):
     """The known sentences of a text column, in order."""
-    lines = F.split(F.regexp_replace(F.regexp_replace(text, WRAPPED, " $1"), BOUNDARY, "\n"), "\n")
-    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    ids = F.transform(lines, lambda s: F.try_element_at(table, F.btrim(F.regexp_replace(F.translate(s, UPPER, LOWER), OTHER, " "))))
     low = F.translate(text, UPPER, LOWER)
+    words = F.regexp_replace(F.regexp_replace(low, SKIPPED, " "), OTHER, " ")
+    longest = "|".join(sorted(known, key=lambda s: (-len(s), s)))
+    found = F.regexp_extract_all(words, F.lit(rf"(?<![a-z0-9])(?<!not )(?:{longest})(?![a-z0-9])(?! or (?:at your option )?(?:any )?later)"), 0)
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     maybe = F.lit(False)
     for t in TRIGGERS:      # every known sentence holds one of them
         maybe = maybe | F.contains(low, F.lit(t))
-    return F.when(maybe, F.filter(ids, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    return F.when(maybe, F.transform(found, lambda s: F.try_element_at(table, s))).otherwise(F.array().cast("array<string>"))
 
 
 def recognise(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:

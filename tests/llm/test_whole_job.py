@@ -3,6 +3,7 @@
 import random
 
 from scopekit.llm import decontamination as D
+from scopekit.llm import licences as C
 from scopekit.llm import repetition as R
 from scopekit.llm import secrets as S
 
@@ -74,3 +75,22 @@ def test_longest_repeat_rejects_by_itself(spark):
     out = {r.doc_id: r for r in R.judged(R.profiles(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()}
     assert not any(r.base_failed or r.n_covered > 0.5 * r.n_words for r in out.values())
     assert {i: (r.longest_repeat, r.kept) for i, r in out.items()} == {1: (240, False), 2: (490, False), 3: (51, False), 4: (50, True)}
+
+
+def test_licence_sentences_in_comments_indents_and_longer_sentences(spark):
+    gpl = """This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty."""
+    mit = "\n".join(C.SENTENCES[k] + "." for k in ("mit-grant", "mit-notice", "mit-warranty")).replace("EXPRESS OR ", "EXPRESS OR\n")
+    rows = [(i, "\n".join(mark + line for line in gpl.split("\n")), ["GPL-3.0-or-later"]) for i, mark in enumerate(["", "# ", " * ", "// ", "    ", "dnl "])]
+    rows += [(10, mit, ["MIT"]), (11, "This project is released under the MIT License.", ["MIT"]),
+             (12, "It is not released under the MIT License.", []), (13, "I do not. Released under the MIT License.", ["MIT"]),
+             (14, "This work is licensed under the GNU General Public License, version 3 or any later version.", [])]
+    out = {r.doc_id: r.licences for r in C.recognise(spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")).collect()}
+    assert out == {i: x for i, _, x in rows}
+    warranty = C.recognise(spark.createDataFrame([(1, mit)], "doc_id bigint, text string")).first().sentence_ids
+    assert warranty == ["mit-grant", "mit-notice", "mit-warranty"]
