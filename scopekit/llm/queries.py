@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from scopekit.llm import chat, decontamination, language, licences, line_dedup, packing, repetition, secrets, simhash, suffix_dedup
+from scopekit.llm import (chat, decontamination, divergence, language, licences, line_dedup, packing, repetition, secrets, simhash, spelling,
+                          suffix_dedup, toxicity)
 from scopekit.llm.common import table
 
 
@@ -60,9 +61,21 @@ def op10_licence_scan(spark, sf_dir):
     return licences.report(licences.recognise(table(spark, sf_dir, "documents")))
 
 
+def op11_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_toxicity(spark, sf_dir):
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_repetition, op3_packing, op4_benchmark_decontamination,
                                    op5_simhash_near_dedup, op6_line_dedup, op7_suffix_array_dedup, op8_chat_formatting,
-                                   op9_language_id, op10_licence_scan)}
+                                   op9_language_id, op10_licence_scan, op11_source_divergence, op12_spelling_variants, op13_toxicity)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -142,4 +155,32 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-ORACLE: dict[str, str] = {"op8_chat_formatting": _OP8, "op10_licence_scan": _licence_sql(), "op6_line_dedup": _OP6, "op4_benchmark_decontamination": _OP4}
+_OP11 = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS row,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+occ AS (SELECT lang, source, row, unnest(w) AS term FROM d),
+terms AS (SELECT lang, term, count(*) AS total FROM occ GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+grp AS (SELECT DISTINCT lang, source FROM d),
+cnt AS (SELECT lang, source, term, count(*) AS n FROM occ SEMI JOIN terms USING (lang, term) GROUP BY lang, source, term),
+langs AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, CAST(sum(total) AS HUGEINT) AS s FROM terms GROUP BY lang),
+sums AS (SELECT lang, source, CAST(sum(n) AS HUGEINT) AS s FROM cnt GROUP BY lang, source),
+cell AS (SELECT g.lang, g.source, t.term, coalesce(c.n, 0) AS n,
+                CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2) // (coalesce(k.s, 0) + 2 * l.v) AS HUGEINT) AS p,
+                CAST(1 + CAST(1000000000 AS HUGEINT) * (t.total + 2) // (l.s + 2 * l.v) AS HUGEINT) AS q
+         FROM grp g JOIN terms t ON g.lang = t.lang JOIN langs l ON g.lang = l.lang
+         LEFT JOIN cnt c ON c.lang = g.lang AND c.source = g.source AND c.term = t.term
+         LEFT JOIN sums k ON k.lang = g.lang AND k.source = g.source),
+twos AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+         FROM cell a JOIN cell b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value
+          FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN twos x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+own AS (SELECT lang, source, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM cell WHERE n > 0 AND p > q),
+ranked AS (SELECT 'pair' AS part, * FROM pairs UNION ALL SELECT 'term', * FROM own)
+SELECT lang, source, part, item, value, CAST(r AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY part, lang, source ORDER BY value DESC, encode(item)) AS r FROM ranked)
+WHERE part = 'pair' OR r <= 10
+"""
+
+ORACLE: dict[str, str] = {"op11_source_divergence": _OP11, "op8_chat_formatting": _OP8, "op10_licence_scan": _licence_sql(), "op6_line_dedup": _OP6, "op4_benchmark_decontamination": _OP4}
