@@ -219,14 +219,19 @@ def _copy_group(words: list[str]) -> int:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """(text, toxic) of at most train_docs labelled documents, of the smallest id hashes."""
+    """(text, toxic) of at most train_docs labelled documents: those of the smallest id hashes, equal rows once, and of
+    ids with several texts the smallest row hashes. Only ids and hashes move before the rows are chosen."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("string").alias("id")).agg(
         (F.max("toxic") > 0).cast("int").alias("toxic"))
-    order = F.xxhash64("id")
-    last = known.select(order.alias("o")).orderBy("o").limit(train_docs).agg(F.max("o").alias("o")).first()["o"]
-    chosen = known.where(order <= F.lit(last))          # train_docs rows of ids
-    texts = docs.select(F.col("doc_id").cast("string").alias("id"), text_or_empty().alias("text"))
-    return texts.join(chosen, "id").orderBy(F.xxhash64("id"), "text").limit(train_docs).select("text", "toxic")
+
+    def smallest(rows, order):
+        last = rows.select(order.alias("o")).orderBy("o").limit(train_docs).agg(F.max("o").alias("o")).first()["o"]
+        return rows.where(order <= F.lit(last))
+    chosen = F.broadcast(smallest(known, F.xxhash64("id")))          # train_docs ids
+    texts = docs.select(F.col("doc_id").cast("string").alias("id"), text_or_empty().alias("text")).join(chosen, "id")
+    rows = texts.withColumn("row", F.xxhash64("id", "text"))
+    last = smallest(rows.select("row").distinct(), F.col("row")).agg(F.max("row").alias("row")).first()["row"]
+    return rows.where(F.col("row") <= F.lit(last)).dropDuplicates(["row"]).select("text", "toxic")
 
 
 def learned_lexicon(sample: DataFrame) -> dict[str, float]:

@@ -195,3 +195,12 @@ def test_toxicity_of_odd_tables(spark):
 def test_entries_by_chance_are_not_chosen():
     seen, clean = {"common": 60, "rare": 5, "sure*": 40, "surely": 20, "chance": 2}, {"common": 500}
     assert set(X.chosen_entries(seen, clean, 100, 900)) == {"sure*", "rare"}
+
+
+def test_training_rows_are_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 60}") for i in range(300)] + [(i, "other") for i in range(2, 9)], "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id bigint, toxic int")
+    assert X.training_rows(docs, labels, 50).count() == 50
+    every = X.training_rows(docs, labels, 5000)
+    assert every.count() == 67 and every.where("toxic = 1").count() == 63
+    assert X.training_rows(docs, labels.limit(0), 50).count() == 0
