@@ -23,6 +23,7 @@ from scopekit.operators import outputs as O
 from scopekit.operators import pages as P
 from scopekit.operators import prompts as PR
 from scopekit.operators import training as T
+from scopekit.plans import files as file_queries
 from scopekit.plans import fixtures as FX
 from scopekit.session import shared_dir
 from scopekit.sources import config as C
@@ -495,3 +496,4 @@ QUERIES: dict[str, Query] = {
     "render_training_text": q_render_training_text,
     "jsonl_roundtrip": q_jsonl_roundtrip,
 }
+QUERIES.update(file_queries.QUERIES)

@@ -233,5 +233,15 @@ def document_models(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.element_at(names, (F.col("doc_id") % len(FV.MODEL_NAMES) + 1).cast("int")).alias("model"))
 
 
-def record_text(df: DataFrame) -> DataFrame:
-    return df.select("id", record_json().alias("response"))
+def output_files(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, value): one model output per document; ids hold a space, '#', '%', a slash, a plus sign or start with '_'; every
+    seventh output is broken, others go beyond the limits or are stubs."""
+    d = documents(spark, sf, "doc_id", "n_chars")
+    k = F.col("doc_id")
+    uid = k.cast("string")
+    doc_id = (F.when(k % 7 == 1, F.concat(F.lit("report "), uid)).when(k % 7 == 2, F.concat(uid, F.lit("#a")))
+               .when(k % 7 == 3, F.concat(F.lit("100% "), uid)).when(k % 7 == 4, F.concat(F.lit("ä+"), uid))
+               .when(k % 7 == 5, F.concat(F.lit("d/"), uid)).when(k % 7 == 6, F.concat(F.lit("_"), uid, F.lit(".x"))).otherwise(uid))
+    record = F.format_string('{"scope_1":%d,"scope_2":null,"scope_3":%d,"sources":[%d,%d]}', F.col("n_chars"), k * 3000000, k % 5, k % 3)
+    value = F.when(k % 7 == 0, F.lit("{")).when(k % 10 == 3, F.lit('{"scope_1":-1,"scope_2":-1,"scope_3":-1,"sources":[-1]}')).otherwise(record)
+    return d.select("doc_id", doc_id.alias("id"), value.alias("value"))

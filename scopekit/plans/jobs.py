@@ -16,6 +16,7 @@ from scopekit.operators import evaluate as E
 from scopekit.operators import pages as P
 from scopekit.operators import prompts as PR
 from scopekit.operators import training as T
+from scopekit.sources import document_files as DF
 from scopekit.sources import sinks
 
 
@@ -49,10 +50,11 @@ def run_extraction(spark: SparkSession, prompt_dir: str, output_dir: str, run_na
                    marker: str = FV.EOS_MARKER, slices: int = 1, tasks: int | None = None) -> int:
     """Score every prompt whose document has no stored record for ``run_name``; append the records.
 
-    The prompts are scored in ``slices`` (by a hash of the id), each stored when it is done, so a crash loses
-    one slice at most; ``tasks`` is the number of tasks that score a slice (else Spark's choice
-    by bytes, which says nothing about a model's time). Returns the number of documents
-    scored in this call; a second call with nothing new scores nothing.
+    Each task commits its records in small files as it goes (``document_files``), so whatever dies, all records
+    but the last few of each running task are kept, and the next call scores only the rest. ``slices`` parts (by a hash of
+    the id) are scored one after the other; ``tasks`` is the number of tasks that score a slice (else Spark's choice by
+    bytes, which says nothing about a model's time). Returns the number of documents scored in this call; a
+    second call with nothing new scores nothing.
     """
     prompts = spark.read.parquet(prompt_dir)
     id_type = dict(prompts.dtypes)["doc_id"]
@@ -69,8 +71,8 @@ def run_extraction(spark: SparkSession, prompt_dir: str, output_dir: str, run_na
             part = part.repartition(tasks, "doc_id")
         seen = Observation()
         records = B.batch_records(part, scorer, marker, id_type).observe(seen, F.count(F.lit(1)).alias("n"))
-        sinks.append_records(records.select(F.lit(run_name).alias("model"), F.col("doc_id").alias("id"),
-                                            "status", *FV.SCOPE_KEYS, "sources"), output_dir)
+        DF.append_document_records(records.select(F.lit(run_name).alias("model"), F.col("doc_id").alias("id"),
+                                                  "status", *FV.SCOPE_KEYS, "sources"), output_dir)
         scored += seen.get["n"]
     return scored
 
@@ -144,3 +146,43 @@ def training_set_from_files(spark: SparkSession, responses_dir: str, prompt_dir:
     within = P.assemble_documents(units, P.document_budget(units))
     rebuilt = within.select(F.col("doc_id").cast("string").alias("id"), "user_message")
     write_training_set(T.training_prompts(responses, cached, rebuilt, instruction), out_dir, kind)
+
+
+def digest_round(spark: SparkSession, folders: DataFrame, state_dir: str, extension: str = ".pdf") -> DataFrame:
+    """One round over a document store: lists the folders (folder), hashes only files that are new or changed since the last
+    round, and stores and returns the digests (id, path, length, modified, sha256, hashed), hashed being true for
+    those read now. ``state_dir`` keeps one folder per round; digests of vanished files are dropped."""
+    from scopekit.operators import manifest as M
+    last = _last_round(spark, state_dir)
+    listing = DF.list_files(spark, folders, extension)
+    if last is None:
+        table = DF.file_digests(listing).withColumn("hashed", F.lit(True))
+    else:
+        same, changed = M.changed_files(listing, spark.read.parquet(f"{state_dir}/round={last}"))
+        table = same.withColumn("hashed", F.lit(False)).unionByName(DF.file_digests(changed).withColumn("hashed", F.lit(True)))
+    path = f"{state_dir}/round={0 if last is None else last + 1}"
+    table.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _last_round(spark: SparkSession, state_dir: str) -> int | None:
+    """The latest finished round (its folder holds the marker that a finished write leaves)."""
+    import re
+
+    from pyarrow import fs
+    system, root = DF.file_system(state_dir)
+    found = [i for i in system.get_file_info(fs.FileSelector(root, allow_not_found=True)) if re.fullmatch(r"round=\d+", i.base_name)]
+    done = [i for i in found if system.get_file_info(f"{i.path}/_SUCCESS").type == fs.FileType.File]
+    return max((int(i.base_name.split("=")[1]) for i in done), default=None)
+
+
+def collect_document_files(spark: SparkSession, folders: DataFrame, path_table: str, model: str, table_path: str) -> DataFrame:
+    """Output files (``.json``, the name made from the id) of the folders, listed and read by the tasks -> validated, clipped
+    records that replace ``model`` in the prediction table; unreadable and invalid files become the stub with
+    status 'failed'. The path table stays at ``path_table``. Returns the stored rows."""
+    from scopekit.operators.outputs import clip_records, records_or_stub
+    DF.write_path_table(DF.list_files(spark, folders), path_table)
+    raw = DF.read_document_files(spark, path_table, "response").select("id", "response")
+    recs = clip_records(records_or_stub(raw, "response", marker=""))
+    sinks.write_predictions(recs.select(F.lit(model).alias("model"), "id", "status", *FV.SCOPE_KEYS, "sources"), table_path)
+    return spark.read.parquet(table_path).where(F.col("model") == model)

@@ -410,6 +410,46 @@ def _training_templates() -> str:
     return f"templates AS (SELECT * FROM (VALUES {rows}) t(template, format))"
 
 
+def _output_files() -> str:
+    return """output_files AS (
+  SELECT doc_id, CASE doc_id % 7 WHEN 1 THEN 'report ' || doc_id WHEN 2 THEN doc_id || '#a' WHEN 3 THEN '100% ' || doc_id WHEN 4 THEN 'ä+' || doc_id
+                                 WHEN 5 THEN 'd/' || doc_id WHEN 6 THEN '_' || doc_id || '.x' ELSE CAST(doc_id AS VARCHAR) END AS id,
+         CASE WHEN doc_id % 7 = 0 THEN '{' WHEN doc_id % 10 = 3 THEN '{"scope_1":-1,"scope_2":-1,"scope_3":-1,"sources":[-1]}'
+              ELSE '{"scope_1":' || n_chars || ',"scope_2":null,"scope_3":' || doc_id * 3000000 || ',"sources":[' || doc_id % 5 || ',' || doc_id % 3 || ']}'
+         END AS value FROM documents)"""
+
+
+def _file_queries(text: list[str]) -> dict[str, str]:
+    q: dict[str, str] = {}
+    bad = "doc_id % 7 = 0"
+    q["output_files"] = _with([_output_files()], f"""
+SELECT 'm' AS model, id, CASE WHEN {bad} THEN 'failed' ELSE 'ok' END AS status,
+       CAST(CASE WHEN {bad} OR doc_id % 10 = 3 THEN -1 ELSE d.n_chars END AS BIGINT) AS scope_1,
+       CAST(CASE WHEN {bad} OR doc_id % 10 = 3 THEN -1 END AS BIGINT) AS scope_2,
+       CAST(CASE WHEN {bad} OR doc_id % 10 = 3 THEN -1 ELSE least(doc_id * 3000000, 1000000000) END AS BIGINT) AS scope_3,
+       CASE WHEN {bad} OR doc_id % 10 = 3 THEN CAST([-1] AS BIGINT[]) ELSE list_sort(list_distinct(CAST([doc_id % 5, doc_id % 3] AS BIGINT[]))) END AS sources
+FROM output_files JOIN documents d USING (doc_id)""")
+    q["response_files"] = _with([_output_files()], """
+SELECT id, CASE WHEN doc_id % 9 <> 0 THEN value END AS response, CASE WHEN doc_id % 9 = 0 THEN 'missing' END AS error FROM output_files""")
+    cache = text + [_prompt_cache(), _stripped()]
+    q["prompt_files"] = _with(cache, "SELECT id, content FROM stripped")
+    q["prompt_file_stats"] = _with(cache, """
+SELECT max(t) AS max_tokens, min(t) AS min_tokens, round(avg(t), 6) AS mean_tokens, CAST(median(t) AS DOUBLE) AS median_tokens, count(*) AS n_prompts
+FROM (SELECT CAST(ceil(length(text) / 3.5) AS BIGINT) AS t FROM prompt_cache)""")
+    q["manifest_rounds"] = _with([_manifest()], """
+SELECT id, url, status, CASE WHEN status = 'ok' THEN 'keep' ELSE 'fetch' END AS action,
+       CASE WHEN status = 'ok' OR saved THEN 'ok' ELSE 'failed' END AS outcome, saved
+FROM (SELECT id, url, status, status <> 'ok' AND n % 17 <> 0 AND (sha256 IS NULL OR sha256 = h) AS saved
+      FROM (SELECT m.*, d.doc_id AS n, sha256(d.text) AS h,
+                   CASE WHEN d.doc_id % 13 = 0 THEN 'missing' WHEN m.sha256 IS NULL THEN 'unchecked'
+                        WHEN m.sha256 = sha256(d.text) THEN 'ok' ELSE 'conflict' END AS status
+            FROM manifest m JOIN documents d ON m.id = CAST(d.doc_id AS VARCHAR)))""")
+    q["digest_rounds"] = f"""
+SELECT CAST(doc_id AS VARCHAR) AS id, CAST(octet_length(encode(t)) AS BIGINT) AS length, sha256(t) AS sha256, doc_id % 4 = 0 AS hashed
+FROM (SELECT doc_id, text || CASE WHEN doc_id % 4 = 0 THEN {NL} ELSE '' END AS t FROM documents)"""
+    return q
+
+
 def queries() -> dict[str, str]:
     text = _pipeline_text()
     q: dict[str, str] = {}
@@ -493,6 +533,7 @@ ON l.location = s.path""")
     scored = (f"""'{{"scope_1":' || CAST(len({ids}) AS VARCHAR) || ',"scope_2":' || CAST(length(prompt) AS VARCHAR)"""
               f""" || ',"scope_3":' || (CASE WHEN length(prompt) % 2 = 1 THEN CAST(length(prompt) % 1000 AS VARCHAR) ELSE 'null' END)"""
               f""" || ',"sources":[' || array_to_string({ids}, ',') || ']}}' || {lit(FV.EOS_MARKER)}""")
+    q.update(_file_queries(text))
     pend_prompts = text + [_prompts().replace("FROM (SELECT doc_id FROM documents) d",
                                               f"FROM ({pending}) d")]
     scored_rows = f"""
@@ -504,6 +545,8 @@ SELECT doc_id, status, CASE WHEN status = 'over_budget' THEN -1 END AS scope_1,
        CASE WHEN status = 'over_budget' THEN CAST([-1] AS BIGINT[]) ELSE CAST([] AS BIGINT[]) END AS sources
 FROM prompts WHERE status <> 'ok'"""
     q["batch_score"] = _with(pend_prompts, scored_rows)
+    q["extraction_records"] = _with(text + [_prompts()], f"""
+SELECT 'echo' AS model, CAST(doc_id AS VARCHAR) AS id, status, scope_1, scope_2, scope_3, sources FROM ({scored_rows})""")
     q["batch_score_limited"] = _with(limited + pend_prompts[len(text):], scored_rows)
     gt, pr = [_ground_truth()], [_ground_truth(), _predictions()]
     raw = pr + [_raw_responses()]
