@@ -14,10 +14,15 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def whole_number(c) -> Column:
+    """A value as a whole number of up to 38 digits, cut towards zero; NaN, like null, is a missing value."""
+    c = _col(c)
+    return F.coalesce(c.try_cast("bigint").cast("decimal(38,0)"), c.try_cast("decimal(38,0)"))
+
+
 def record_struct(s1="scope_1", s2="scope_2", s3="scope_3", sources="sources") -> Column:
-    return F.struct(_col(s1).cast("bigint").alias("scope_1"), _col(s2).cast("bigint").alias("scope_2"),
-                    _col(s3).cast("bigint").alias("scope_3"),
-                    _col(sources).cast("array<bigint>").alias("sources"))
+    return F.struct(whole_number(s1).alias("scope_1"), whole_number(s2).alias("scope_2"), whole_number(s3).alias("scope_3"),
+                    F.transform(_col(sources), whole_number).alias("sources"))
 
 
 def record_json(s1="scope_1", s2="scope_2", s3="scope_3", sources="sources") -> Column:
@@ -81,17 +86,40 @@ def whole_text_is_object(text: Column) -> Column:
 
 
 CORRUPT = "_corrupt"
+LONG = r"[0-9]{19}"
 LONG_INTEGER = r"(?<=[:\[,\s])(-?)[1-9][0-9]{18,}(?=\s*[,}\]])"
-PARSE_SCHEMA = "scope_1 bigint, scope_2 bigint, scope_3 bigint, sources array<bigint>, _corrupt string"
+PARSE_SCHEMA = "scope_1 bigint, scope_2 bigint, scope_3 bigint, sources array<bigint>, _corrupt string, _distinct int"
+TEXT_SCHEMA = "scope_1 string, scope_2 string, scope_3 string, sources array<string>"
+BIGINT_MAX, BIGINT_MIN = 9223372036854775807, -9223372036854775808
+
+
+def _whole(number: Column) -> Column:
+    """A number's text as bigint; one beyond 64 bits is the end of the range (and ends at the clip limits anyway)."""
+    end = F.when(number.startswith("-"), F.lit(BIGINT_MIN)).otherwise(F.lit(BIGINT_MAX))
+    return F.when(number.isNotNull(), F.coalesce(number.try_cast("bigint"), end))
+
+
+def _parse_long(t: Column) -> Column:
+    """The typed parse of a text with long integers: their types are checked with shorter numbers in their place, their
+    values are read from their own text, exact to 64 bits; distinct sources are counted by their text."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "allowSingleQuotes": "false"}
+    both = F.struct(F.from_json(F.regexp_replace(t, LONG_INTEGER, "$1999999999999999999"), PARSE_SCHEMA, options).alias("typed"),
+                    F.from_json(t, TEXT_SCHEMA, {"allowSingleQuotes": "false"}).alias("text"))
+
+    def exact(b: Column) -> Column:
+        typed, text = b["typed"], b["text"]
+        scopes = [F.when(typed[k].isNotNull(), _whole(text[k])).alias(k) for k in SCOPES]
+        sources = F.when(typed["sources"].isNotNull(), F.transform(text["sources"], _whole))
+        return F.struct(*scopes, sources.alias("sources"), typed[CORRUPT].alias(CORRUPT), F.size(F.array_distinct(text["sources"])).alias("_distinct"))
+    return F.get(F.transform(F.array(both), exact), 0)
 
 
 def parse_record(text) -> Column:
-    """Typed parse: integer fields accept only JSON integers (no text, float or bool); any
-    mismatch fills ``_corrupt``. Integers of 19 digits and more become 18 nines of their sign: they
-    are valid, and far beyond the limits that values are clipped to."""
+    """Typed parse: integer fields accept only JSON integers (no text, float or bool); any mismatch fills ``_corrupt``.
+    Integers of 19 digits and more, which may or may not fit 64 bits, take a way of their own."""
     t = _col(text)
-    return F.from_json(F.when(t.rlike(r"[0-9]{19}"), F.regexp_replace(t, LONG_INTEGER, "$1999999999999999999")).otherwise(t),
-                       PARSE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "allowSingleQuotes": "false"})
+    plain = F.from_json(t, PARSE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "allowSingleQuotes": "false"})
+    return F.when(t.rlike(LONG), _parse_long(t)).otherwise(plain)
 
 
 def record_checks(text, parsed, keys) -> Column:
@@ -108,7 +136,7 @@ def record_checks(text, parsed, keys) -> Column:
     src = p["sources"]
     checks.append(src.isNotNull())
     checks.append(~F.array_join(src, ",", "N").contains("N"))  # no null element
-    checks.append(F.size(F.array_distinct(src)) <= F.lit(FV.MAX_SOURCES))
+    checks.append(F.coalesce(p["_distinct"], F.size(F.array_distinct(src))) <= F.lit(FV.MAX_SOURCES))
     checks.append(whole_text_is_object(t))
     ok = F.lit(True)
     for c in checks:
@@ -123,16 +151,6 @@ def record_values(parsed, valid) -> list[Column]:
             F.when(ok, F.array_sort(F.array_distinct(p["sources"]))).alias("sources")]
 
 
-def validate(text) -> Column:
-    """Single-expression form of the strict validation: struct (valid, scope_1, scope_2,
-    scope_3, sources). Handy on small inputs; for tables use
-    ``operators.outputs.validate_responses``, which parses each text once."""
-    t = _col(text)
-    p = parse_record(t)
-    ok = record_checks(t, p, F.json_object_keys(t))
-    return F.struct(ok.alias("valid"), *record_values(p, ok))
-
-
 def stub_struct() -> Column:
     """The failure record: every scope -1, sources [-1]."""
     m1 = F.lit(FV.FAILED_VALUE).cast("bigint")

@@ -13,10 +13,6 @@ STATUS_OK = "ok"
 STATUS_FAILED = "failed"
 
 
-def trim_responses(df: DataFrame, text_col: str = "response", marker: str = FV.EOS_MARKER) -> DataFrame:
-    return df.withColumn(text_col, trim_marker(text_col, marker))
-
-
 def validate_responses(df: DataFrame, text_col: str = "response") -> DataFrame:
     """Adds ``valid`` and the parsed record columns (null when invalid).
 

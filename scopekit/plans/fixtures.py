@@ -143,8 +143,9 @@ def raw_responses(spark: SparkSession, sf: str) -> DataFrame:
 
     With r = id * 4 + model number: r%23 prints scope_1 as a float, r%19 six
     distinct sources, r%37 sources null, r%41 a duplicated source, r%31 drops
-    the scope_3 key, r%47 adds an unknown key; then r%13 cuts the closing brace,
-    r%29 appends text, r%43 surrounds with white space, r%17 appends the end marker.
+    the scope_3 key, r%47 adds an unknown key, r%53 prints a scope_2 of 19 digits (which fits 64 bits), r%61 one of 24,
+    r%59 six distinct sources of 20 digits, r%71 scope_1 twice (the last one counts), r%67 single quotes; then r%13 cuts
+    the closing brace, r%29 appends text, r%43 surrounds with white space, r%17 appends the end marker.
     """
     p = predictions(spark, sf)
     m = F.substring("model", 2, 10).cast("bigint")
@@ -154,18 +155,23 @@ def raw_responses(spark: SparkSession, sf: str) -> DataFrame:
     def num(c):
         return F.coalesce(F.col(c).cast("string"), F.lit("null"))
 
-    s1 = F.concat(num("scope_1"),
+    s1 = F.concat(F.when(r % 71 == 0, F.lit('5,"scope_1":')).otherwise(F.lit("")), num("scope_1"),
                   F.when((r % 23 == 0) & F.col("scope_1").isNotNull(), F.lit(".0")).otherwise(F.lit("")))
     joined = F.array_join("sources", ",")
+    s2 = (F.when(r % 53 == 0, F.lit("1000000000000000000")).when(r % 61 == 0, F.lit("-123456789012345678901234"))
+           .otherwise(num("scope_2")))
+    long_sources = "[" + ",".join(f"1000000000000000000{i}" for i in range(6)) + "]"
     src = (F.when(r % 19 == 0, F.lit("[1,2,3,4,5,6]"))
+            .when(r % 59 == 0, F.lit(long_sources))
             .when(r % 37 == 0, F.lit("null"))
             .when((r % 41 == 0) & (F.size("sources") > 0),
                   F.concat(F.lit("["), joined, F.lit(","), F.col("sources")[0].cast("string"), F.lit("]")))
             .otherwise(F.concat(F.lit("["), joined, F.lit("]"))))
     s3 = F.when(r % 31 == 0, F.lit("")).otherwise(F.concat(F.lit(',"scope_3":'), num("scope_3")))
     extra = F.when(r % 47 == 0, F.lit(',"note":"a } {b"')).otherwise(F.lit(""))
-    body = F.concat(F.lit('{"scope_1":'), s1, F.lit(',"scope_2":'), num("scope_2"), s3,
+    body = F.concat(F.lit('{"scope_1":'), s1, F.lit(',"scope_2":'), s2, s3,
                     F.lit(',"sources":'), src, extra, F.lit("}"))
+    body = F.when(r % 67 == 0, F.replace(body, F.lit('"'), F.lit("'"))).otherwise(body)
     staged = p.select("model", "id", "seq", "r", body.alias("body"))
     b = F.col("body")
     cut = F.when(r % 13 == 0, F.lit(1)).otherwise(F.lit(0))

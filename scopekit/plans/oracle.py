@@ -55,31 +55,39 @@ def trim_eos(x: str) -> str:
     return f"(CASE WHEN ends_with({x}, {lit(m)}) THEN left({x}, length({x}) - {len(m)}) ELSE {x} END)"
 
 
+def _is_integer(json: str, text: str) -> str:
+    """A JSON integer; DuckDB calls one beyond 64 bits a DOUBLE, but keeps its digits as text."""
+    return f"({json} IN ('BIGINT', 'UBIGINT') OR ({json} = 'DOUBLE' AND regexp_full_match({text}, '-?[0-9]{{19,}}')))"
+
+
 def json_valid_record(t: str) -> str:
-    """Strict record check: one JSON object, scope keys present as 64-bit integers or null,
-    sources an array of 64-bit integers with at most five distinct values."""
+    """Strict record check: one JSON object, scope keys present as integers or null, sources an array of integers with at
+    most five distinct values."""
     def int_or_null(k):
         ty = f"json_type({t}, '$.{k}')"
-        return (f"coalesce({ty} = 'NULL' OR ({ty} IN ('BIGINT', 'UBIGINT') AND "
-                f"TRY_CAST(json_extract_string({t}, '$.{k}') AS BIGINT) IS NOT NULL), false)")
+        return f"coalesce({ty} = 'NULL' OR {_is_integer(ty, f"json_extract_string({t}, '$.{k}')")}, false)"
     scopes = " AND ".join(int_or_null(k) for k in FV.SCOPE_KEYS)
     elems = f"json_extract({t}, '$.sources[*]')"
-    as_int = f"TRY_CAST({elems} AS BIGINT[])"
     return (f"(CASE WHEN coalesce(json_valid({t}), false) THEN coalesce("
             f"json_type({t}) = 'OBJECT' AND {scopes}"
             f" AND coalesce(json_type({t}, '$.sources') = 'ARRAY', false)"
-            f" AND coalesce(list_bool_and(list_transform({elems}, lambda x: json_type(x) IN ('BIGINT', 'UBIGINT'))), true)"
-            f" AND coalesce(list_bool_and(list_transform({as_int}, lambda x: x IS NOT NULL)), true)"
-            f" AND len(list_distinct({as_int})) <= {FV.MAX_SOURCES}, false)"
+            f" AND coalesce(list_bool_and(list_transform({elems}, lambda x: {_is_integer('json_type(x)', 'CAST(x AS VARCHAR)')})), true)"
+            f" AND len(list_distinct(list_transform({elems}, lambda x: CAST(x AS VARCHAR)))) <= {FV.MAX_SOURCES}, false)"
             f" ELSE false END)")
 
 
+def _to_bigint(text: str) -> str:
+    """The integer, or the end of the range that it lies beyond."""
+    return (f"(CASE WHEN {text} IS NOT NULL THEN coalesce(TRY_CAST({text} AS BIGINT), CASE WHEN starts_with({text}, '-') "
+            f"THEN -9223372036854775808 ELSE 9223372036854775807 END) END)")
+
+
 def parsed_scope(t: str, k: str) -> str:
-    return f"TRY_CAST(json_extract_string({t}, '$.{k}') AS BIGINT)"
+    return _to_bigint(f"json_extract_string({t}, '$.{k}')")
 
 
 def parsed_sources(t: str) -> str:
-    return f"list_sort(list_distinct(TRY_CAST(json_extract({t}, '$.sources[*]') AS BIGINT[])))"
+    return f"list_sort(list_distinct(list_transform(json_extract({t}, '$.sources[*]'), lambda x: {_to_bigint('CAST(x AS VARCHAR)')})))"
 
 
 def record_text(s1: str, s2: str, s3: str, sources: str) -> str:
@@ -280,10 +288,12 @@ def _raw_responses() -> str:
 
     def piece(mod, text):
         return f"(CASE WHEN r % {mod} = 0 THEN {text} ELSE '' END)"
-    body = (f"""'{{"scope_1":' || {num('scope_1')} || (CASE WHEN r % 23 = 0 AND scope_1 IS NOT NULL THEN '.0' ELSE '' END)"""
-            f""" || ',"scope_2":' || {num('scope_2')}"""
+    s2 = f"CASE WHEN r % 53 = 0 THEN '1000000000000000000' WHEN r % 61 = 0 THEN '-123456789012345678901234' ELSE {num('scope_2')} END"
+    longs = "[" + ",".join(str(10 ** 19 + i) for i in range(6)) + "]"
+    body = (f"""'{{"scope_1":' || (CASE WHEN r % 71 = 0 THEN '5,"scope_1":' ELSE '' END) || {num('scope_1')} || (CASE WHEN r % 23 = 0 AND scope_1 IS NOT NULL THEN '.0' ELSE '' END)"""
+            f""" || ',"scope_2":' || ({s2})"""
             f""" || (CASE WHEN r % 31 = 0 THEN '' ELSE ',"scope_3":' || {num('scope_3')} END)"""
-            f""" || ',"sources":' || (CASE WHEN r % 19 = 0 THEN '[1,2,3,4,5,6]' WHEN r % 37 = 0 THEN 'null'"""
+            f""" || ',"sources":' || (CASE WHEN r % 19 = 0 THEN '[1,2,3,4,5,6]' WHEN r % 59 = 0 THEN '{longs}' WHEN r % 37 = 0 THEN 'null'"""
             f""" WHEN r % 41 = 0 AND len(sources) > 0 THEN '[' || array_to_string(sources, ',') || ',' || {_str('sources[1]')} || ']'"""
             f""" ELSE '[' || array_to_string(sources, ',') || ']' END)"""
             f""" || (CASE WHEN r % 47 = 0 THEN ',"note":"a }} {{b"' ELSE '' END) || '}}'""")
@@ -291,7 +301,7 @@ def _raw_responses() -> str:
             f" || {piece(29, lit(' trailing'))} || {piece(43, NL)} || {piece(17, lit('</s>'))}")
     return f"""raw_responses AS (
   SELECT model, id, seq, {resp} AS response
-  FROM (SELECT model, id, seq, r, {body} AS body
+  FROM (SELECT model, id, seq, r, CASE WHEN r % 67 = 0 THEN replace({body}, '"', '''') ELSE {body} END AS body
         FROM (SELECT *, CAST(m AS BIGINT) AS seq, CAST(id AS BIGINT) * 4 + m AS r FROM predictions)))"""
 
 
@@ -392,7 +402,8 @@ def _validated(src: str, cols: str) -> str:
     t = "t"
     vals = ", ".join(f"CASE WHEN valid THEN {parsed_scope(t, k)} END AS p_{k}" for k in FV.SCOPE_KEYS)
     return f"""(SELECT {cols}, valid, {vals}, CASE WHEN valid THEN {parsed_sources(t)} END AS p_sources
-        FROM (SELECT {cols}, {t}, {json_valid_record(t)} AS valid FROM {src}))"""
+        FROM (SELECT {cols}, {t}, {json_valid_record(t)} AS valid
+              FROM (SELECT {cols}, replace(t, '{{"scope_1":5,"scope_1":', '{{"scope_1":') AS t FROM {src})))"""
 
 
 def _stub_or(valid: str) -> str:
@@ -552,7 +563,7 @@ SELECT 'echo' AS model, CAST(doc_id AS VARCHAR) AS id, status, scope_1, scope_2,
     raw = pr + [_raw_responses()]
     q["trim_eos"] = _with(raw, f"SELECT model, id, {trim_eos('response')} AS response FROM raw_responses")
     q["validate_output"] = _with(raw, f"""
-SELECT model, id, {json_valid_record('t')} AS valid FROM (SELECT model, id, {trim_eos('response')} AS t FROM raw_responses)""")
+SELECT model, id, valid FROM {_validated(f"(SELECT model, id, {trim_eos('response')} AS t FROM raw_responses)", 'model, id')}""")
     q["stub_on_failure"] = _with(raw, f"""
 SELECT model, id, seq, {_stub_or('valid')}
 FROM {_validated(f"(SELECT model, id, seq, {trim_eos('response')} AS t FROM raw_responses)", 'model, id, seq')}""")

@@ -34,6 +34,11 @@ VALIDATION = [
     ('{"scope_1":1,"scope_2":null,"scope_3":3,"sources":[1],"n":{"a":1}}{"b":{}}', False, None),
     ('  {"scope_1":-5,"scope_2":null,"scope_3":3,"sources":[]}\n', True, []),
     ('{"scope_1":123456789012345678901,"scope_2":null,"scope_3":3,"sources":[1]}', True, [1]),
+    ('{"scope_1":1,"scope_2":null,"scope_3":3,"sources":[%s]}' % ",".join(str(10 ** 18 + i) for i in range(6)), False, None),
+    ('{"scope_1":1,"scope_2":null,"scope_3":3,"sources":[%s]}' % ",".join(str(10 ** 40 + i % 5) for i in range(9)), True, [2 ** 63 - 1]),
+    ('{"scope_1":"1000000000000000000","scope_2":null,"scope_3":3,"sources":[1]}', False, None),
+    ('{"scope_1":1000000000000000000.0,"scope_2":null,"scope_3":3,"sources":[1]}', False, None),
+    ("{'scope_1':1,'scope_2':null,'scope_3':3,'sources':[1]}", False, None),
     ('[1]', False, None),
     ('not json', False, None),
     ('', False, None),
@@ -97,3 +102,18 @@ def test_random_record_is_reproducible_and_in_range(spark):
         for k in ("scope_1", "scope_2", "scope_3"):
             assert 0 <= r[k] < 10 ** FV.REJECTED_MAX_EXPONENT
         assert len(r["sources"]) == 1 and 0 <= r["sources"][0] <= FV.REJECTED_MAX_PAGE
+
+
+def test_long_integers_are_exact_to_64_bits(spark):
+    values = [10 ** 18, -10 ** 18, 2 ** 63 - 1, -2 ** 63, 2 ** 63, -2 ** 63 - 1, 10 ** 30, 123, None, -10 ** 45]
+    rows = [(i, j(scope_1=v, scope_3=v, note="long, 1234567890123456789012")) for i, v in enumerate(values)]
+    got = {r.i: (r.valid, r.scope_1, r.scope_3) for r in validate_responses(spark.createDataFrame(rows, "i int, response string")).collect()}
+    for i, v in enumerate(values):
+        want = v if v is None else max(-2 ** 63, min(2 ** 63 - 1, v))
+        assert got[i] == (True, want, want), values[i]
+
+
+def test_record_json_of_doubles(spark):
+    """NaN is missing; whole parts are kept, also beyond 64 bits."""
+    df = spark.createDataFrame([(float("nan"), 1.9, 1e19, [1.0, -2.7])], "scope_1 double, scope_2 double, scope_3 double, sources array<double>")
+    assert df.select(record_json()).first()[0] == '{"scope_1":null,"scope_2":1,"scope_3":10000000000000000000,"sources":[1,-2]}'
