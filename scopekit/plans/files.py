@@ -17,6 +17,7 @@ from scopekit.plans import jobs
 from scopekit.session import shared_dir
 from scopekit.sources import document_files as DF
 from scopekit.sources import manifest as SM
+from scopekit.sources.pages import split_page_files
 
 FOLDERS = 4
 
@@ -77,6 +78,14 @@ def q_extraction_records(spark, sf):
     return spark.read.parquet(out).select("model", F.col("id").cast("string").alias("id"), "status", *FV.SCOPE_KEYS, "sources")
 
 
+def q_page_split_files(spark, sf):
+    """Documents stored as text files, read in blocks of 4 KB by many tasks and numbered by a prefix sum."""
+    texts = FX.documents(spark, sf).select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("value"))
+    _, folders = _stored(spark, texts, "page-files", ".txt")
+    pages = split_page_files(DF.list_files(spark, folders, ".txt").select("id", "path", "length"), block_bytes=4096)
+    return pages.select(F.col("doc_id").cast("bigint").alias("doc_id"), "page_no", "page_text")
+
+
 def q_manifest_rounds(spark, sf):
     """A round over a store that lacks every 13th document: what is kept, fetched, saved and failed; the fetch of every 17th
     document fails."""
@@ -103,6 +112,7 @@ QUERIES = {
     "prompt_files": q_prompt_files,
     "prompt_file_stats": q_prompt_file_stats,
     "extraction_records": q_extraction_records,
+    "page_split_files": q_page_split_files,
     "manifest_rounds": q_manifest_rounds,
     "digest_rounds": q_digest_rounds,
 }

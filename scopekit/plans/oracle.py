@@ -447,6 +447,9 @@ SELECT id, CASE WHEN doc_id % 9 <> 0 THEN value END AS response, CASE WHEN doc_i
     q["prompt_file_stats"] = _with(cache, """
 SELECT max(t) AS max_tokens, min(t) AS min_tokens, round(avg(t), 6) AS mean_tokens, CAST(median(t) AS DOUBLE) AS median_tokens, count(*) AS n_prompts
 FROM (SELECT CAST(ceil(length(text) / 3.5) AS BIGINT) AS t FROM prompt_cache)""")
+    q["page_split_files"] = f"""
+SELECT doc_id, CAST(unnest(range(len(parts))) AS BIGINT) AS page_no, unnest(parts) AS page_text
+FROM (SELECT doc_id, string_split(coalesce(text, ''), {NL}) AS parts FROM documents)"""
     q["manifest_rounds"] = _with([_manifest()], """
 SELECT id, url, status, CASE WHEN status = 'ok' THEN 'keep' ELSE 'fetch' END AS action,
        CASE WHEN status = 'ok' OR saved THEN 'ok' ELSE 'failed' END AS outcome, saved

@@ -62,6 +62,12 @@ def default_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.default.parallelism", None) or 8)
 
 
+def task_count(spark: SparkSession) -> int:
+    """Tasks for rows that stand for much work each (files, blocks): a given number of partitions, which adaptive execution
+    doesn't coalesce by the rows' few bytes."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh directory below the cluster's shared checkpoint folder.
 

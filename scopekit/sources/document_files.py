@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from scopekit.session import task_count
+
 SAFE = "-._ "
 PATHS_PER_FILE = 5_000
 ROWS_PER_COMMIT = 256
@@ -285,7 +287,7 @@ def list_files(spark: SparkSession, folders: DataFrame, extension: str = ".json"
                         [pa.array([id_of(i.path) for i in some], pa.string()), pa.array([f"{folder.rstrip('/')}/{i.base_name}" for i in some], pa.string()),
                          pa.array([i.size for i in some], pa.int64()), pa.array([(i.mtime_ns or 0) // 1000 for i in some], pa.int64())],
                         names=["id", "path", "length", "modified"])
-    return folders.select("folder").mapInArrow(run, "id string, path string, length bigint, modified bigint")
+    return folders.select("folder").repartition(task_count(folders.sparkSession), "folder").mapInArrow(run, "id string, path string, length bigint, modified bigint")
 
 
 def file_digests(paths: DataFrame) -> DataFrame:
@@ -315,7 +317,7 @@ def file_digests(paths: DataFrame) -> DataFrame:
                 found = pa.array([digest(p) for p in part.column("path").to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*keep, "sha256"])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in paths.select(*keep).schema)
-    return paths.select(*keep).mapInArrow(run, f"{schema}, sha256 string")
+    return paths.select(*keep).repartition(task_count(paths.sparkSession), "path").mapInArrow(run, f"{schema}, sha256 string")
 
 
 def write_document_files(df: DataFrame, root: str, extension: str = ".json") -> None:
