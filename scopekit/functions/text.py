@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scopekit import fixed_values as FV
+from scopekit.functions import markup as MK
 
 
 def _col(c) -> Column:
@@ -74,11 +75,15 @@ def _decode_references(text: Column, keep=()) -> Column:
 
 
 def markup_to_text(markup) -> Column:
-    """Concatenated text nodes: strip tags, decode numeric references and the common entities."""
-    out = _decode_references(F.regexp_replace(_col(markup), TAG_PATTERN, ""))
-    for ent, ch in _ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Concatenated text nodes: strip tags, comments and instructions, keep CDATA as it stands, decode numeric references
+    and the common entities elsewhere."""
+    def decoded(text: Column) -> Column:
+        out = _decode_references(text)
+        for ent, ch in _ENTITIES:
+            out = F.replace(out, F.lit(ent), F.lit(ch))
+        return out
+    return _once(_col(markup), lambda m: F.when(MK.needs_tokens(m), MK.token_text(m, decoded)).otherwise(
+        decoded(F.regexp_replace(m, TAG_PATTERN, ""))))
 
 
 def _plain_quotes(markup: Column) -> Column:
@@ -110,7 +115,9 @@ def clean_markup(markup, page_no) -> Column:
         kept = F.regexp_replace(attrs, ROOT_ID_ATTR_PATTERN, "")
         out = F.concat(head, kept, F.lit(' id="'), _col(page_no).cast("string"), F.lit('"'), after)
         return F.when(F.length(head) > 0, out).otherwise(whole)
-    return _once(rewritten_markup(F.regexp_replace(_col(markup), IMG_WITH_TAIL_PATTERN, "")), with_id)
+    def plain(m: Column) -> Column:
+        return _once(rewritten_markup(F.regexp_replace(m, IMG_WITH_TAIL_PATTERN, "")), with_id)
+    return _once(_col(markup), lambda m: F.when(MK.needs_tokens(m), MK.token_markup(m, _col(page_no), rewritten_markup)).otherwise(plain(m)))
 
 
 def wrap_chunk(page_no, text) -> Column:

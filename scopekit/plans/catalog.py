@@ -82,6 +82,11 @@ def q_page_clean(spark, sf):
     return FX.html_pages(spark, sf).select("page_id", clean_markup("html", "page_id").alias("html"))
 
 
+def q_odd_markup_clean(spark, sf):
+    m = FX.odd_markup(spark, sf)
+    return m.select("page_id", clean_markup("markup", "page_id").alias("markup"), markup_to_text("markup").alias("text"))
+
+
 def q_assemble_documents(spark, sf):
     return _prompt_parts(spark, sf)[2]
 
@@ -438,6 +443,7 @@ QUERIES: dict[str, Query] = {
     "relevant_pages": q_relevant_pages,
     "page_plaintext": q_page_plaintext,
     "page_clean": q_page_clean,
+    "odd_markup_clean": q_odd_markup_clean,
     "assemble_documents": q_assemble_documents,
     "over_budget": q_over_budget,
     "build_prompt": q_build_prompt,

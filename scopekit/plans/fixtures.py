@@ -86,6 +86,23 @@ def markup_pages(spark: SparkSession, sf: str) -> DataFrame:
                         F.concat("html", extra).alias("page_text"))
 
 
+def odd_markup(spark: SparkSession, sf: str) -> DataFrame:
+    """(page_id, markup): each page's address in markup with a comment, a CDATA section, an image with content, a processing
+    instruction, quoted angle brackets or an unclosed image, by page_id."""
+    pages = read_table(spark, sf, "pages", "page_id", "url")
+    k, t = F.col("page_id"), F.replace("url", F.lit("&"), F.lit("&amp;"))
+
+    def around(before, after):
+        return F.concat(F.lit(before), t, F.lit(after))
+    markup = (F.when(k % 6 == 0, around('<div><!-- <img src="a>b">x --><p>', "</p></div>"))
+               .when(k % 6 == 1, around('<div class="a>b"><![CDATA[1 < 2 &amp; <img>]]><p>', "</p></div>"))
+               .when(k % 6 == 2, around("""<div><img alt="x > y" src='s'>inner <b>bold</b></img>tail<![CDATA[more]]><p>""", "</p>end</div>"))
+               .when(k % 6 == 3, around("""<?xml version="1.0"?><div id="old" title='q"r>'><img/>gone<!-- c -->""", "</div>"))
+               .when(k % 6 == 4, around('<div lang="en"><p>&lt;&#60;</p><!----><img src="x"/>', "<br/><i/>&#233;</div>"))
+               .otherwise(around("<div><p>", "<img src='>'>gone</p>stays<image>x</image></div>")))
+    return pages.select("page_id", markup.alias("markup"))
+
+
 @materialized("ground_truth")
 def ground_truth(spark: SparkSession, sf: str) -> DataFrame:
     o = read_table(spark, sf, "orders", "o_orderkey", "o_totalprice")

@@ -440,6 +440,18 @@ SELECT 'm' AS model, id, CASE WHEN {bad} THEN 'failed' ELSE 'ok' END AS status,
        CAST(CASE WHEN {bad} OR doc_id % 10 = 3 THEN -1 ELSE least(doc_id * 3000000, 1000000000) END AS BIGINT) AS scope_3,
        CASE WHEN {bad} OR doc_id % 10 = 3 THEN CAST([-1] AS BIGINT[]) ELSE list_sort(list_distinct(CAST([doc_id % 5, doc_id % 3] AS BIGINT[]))) END AS sources
 FROM output_files JOIN documents d USING (doc_id)""")
+    # what the format's rules make of each kind of markup, written out
+    q["odd_markup_clean"] = """
+SELECT page_id, CASE page_id % 6
+         WHEN 0 THEN '<div' || a || '><!-- <img src="a>b">x --><p>' || e || '</p></div>'
+         WHEN 1 THEN '<div class="a>b"' || a || '>1 &lt; 2 &amp;amp; &lt;img&gt;<p>' || e || '</p></div>'
+         WHEN 2 THEN '<div' || a || '><p>' || e || '</p>end</div>'
+         WHEN 3 THEN '<?xml version="1.0"?><div title=''q"r>''' || a || '><!-- c -->' || e || '</div>'
+         WHEN 4 THEN '<div lang="en"' || a || '><p>&lt;&lt;</p><!----><br><i></i>é</div>'
+         ELSE '<div' || a || '><p>' || e || '</p>stays<image>x</image></div>' END AS markup,
+       CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN '1 < 2 &amp; <img>' || url WHEN 2 THEN 'inner boldtailmore' || url || 'end'
+            WHEN 3 THEN 'gone' || url WHEN 4 THEN '<<' || url || 'é' ELSE url || 'gonestaysx' END AS text
+FROM (SELECT page_id, url, replace(url, '&', '&amp;') AS e, ' id="' || page_id || '"' AS a FROM pages)"""
     q["response_files"] = _with([_output_files()], """
 SELECT id, CASE WHEN doc_id % 9 <> 0 THEN value END AS response, CASE WHEN doc_id % 9 = 0 THEN 'missing' END AS error FROM output_files""")
     cache = text + [_prompt_cache(), _stripped()]
