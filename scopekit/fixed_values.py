@@ -54,6 +54,8 @@ CHAT_WRAPPERS = {
 }
 # End-of-sequence marker printed by the scoring engine.
 EOS_MARKER = "</s>"
+# The same by model family.
+EOS_MARKERS = {"mistral": "</s>", "openchat": "<|end_of_turn|>", "chatml": "[PAD151643]"}
 
 # --- FIXED VALUES: context plan ---------------------------------------------
 CONTEXT_MARGIN = 120

@@ -36,13 +36,15 @@ def clip(c) -> Column:
     return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(FV.CLIP_MIN)), F.lit(FV.CLIP_MAX)))
 
 
-def trim_marker(text, marker: str = FV.EOS_MARKER) -> Column:
-    """Cut one trailing end marker; an empty marker is a no-op."""
+def trim_marker(text, marker=FV.EOS_MARKER) -> Column:
+    """Cut one trailing end marker, a literal or a column (the row's own marker); an empty or null one is a no-op."""
     t = _col(text)
-    if not marker:
-        return t
-    n = len(marker)
-    return F.when(t.endswith(F.lit(marker)), t.substr(F.lit(1), F.length(t) - F.lit(n))).otherwise(t)
+    if not isinstance(marker, Column):
+        if not marker:
+            return t
+        marker = F.lit(marker)
+    cut = F.coalesce(t.endswith(marker), F.lit(False))
+    return F.when(cut, t.substr(F.lit(1), F.length(t) - F.length(marker))).otherwise(t)
 
 
 # Whole-text check: the parser reads only the first JSON value, so compare the

@@ -144,7 +144,7 @@ def cited_true_pages(pred: DataFrame, truth: DataFrame, which: str = "scope_1")
     return j.select("model", "id", F.array_sort(F.array_intersect("sources", "true_pages")).alias("cited"))
 
 
-def metric_table(counts: DataFrame, keys=FV.SCOPE_KEYS, with_sources: bool = True) -> DataFrame:
+def metric_table(counts: DataFrame, keys=FV.SCOPE_KEYS, with_sources: bool = True, exclude_failed: bool = False) -> DataFrame:
     """One row per (model, mode), one column per key, plus ``average`` and ``sources``.
 
     A single projection over the per-model counts (one join and one
@@ -153,7 +153,8 @@ def metric_table(counts: DataFrame, keys=FV.SCOPE_KEYS, with_sources: bool = Tru
     more than one key.
     """
     parts = ", ".join(f"'{m}', " + ", ".join(f"{m}__{k}" for k in keys) for m in MODES)
-    by_mode = counts.selectExpr("model", *[f"n__{k}" for k in keys], "src_n", "src_correct",
+    sources = ["src_n_ok AS src_n", "src_correct_ok AS src_correct"] if exclude_failed else ["src_n", "src_correct"]
+    by_mode = counts.selectExpr("model", *[f"n__{k}" for k in keys], *sources,
                                 f"stack({len(MODES)}, {parts}) AS (mode, {', '.join('c__' + k for k in keys)})")
     acc = by_mode.select("model", "mode", "src_n", "src_correct",
                          *[_ratio(f"c__{k}", f"n__{k}").alias(k) for k in keys])

@@ -6,8 +6,11 @@ Each query writes its files from the driver's whole tables, then reads them by p
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scopekit import fixed_values as FV
+from scopekit.functions.records import trim_marker
+from scopekit.functions.tokens import exact_token_counts, tokenizer_file, tokens_of_length
 from scopekit.operators import batch as B
 from scopekit.operators import manifest as M
 from scopekit.operators import prompts as PR
@@ -17,6 +20,7 @@ from scopekit.plans import jobs
 from scopekit.session import shared_dir
 from scopekit.sources import document_files as DF
 from scopekit.sources import manifest as SM
+from scopekit.sources import sinks as K
 from scopekit.sources.pages import split_page_files
 
 FOLDERS = 4
@@ -86,6 +90,59 @@ def q_page_split_files(spark, sf):
     return pages.select(F.col("doc_id").cast("bigint").alias("doc_id"), "page_no", "page_text")
 
 
+def q_ordered_outputs(spark, sf):
+    """Predictions written in order to many files; each row's place when the files are read in name order."""
+    path = shared_dir(spark, "ordered")
+    K.write_predictions(FX.predictions(spark, sf), path, order_by="id", files=7)
+    rows = spark.read.parquet(path).select("model", "id", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    files = rows.groupBy("model", "file").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("model").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    base = files.select("model", "file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    return rows.join(base, ["model", "file"]).select("model", "id", (F.col("base") + F.col("row")).alias("place"))
+
+
+def q_evaluate_directory(spark, sf):
+    """The metric table over one file per model, whose types drift: whole numbers, doubles with NaN, no scope_3, whole numbers as ids."""
+    root, p = shared_dir(spark, "model-files"), FX.predictions(spark, sf)
+
+    def doubles(c):
+        return F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c)
+    shapes = {"m0": ["id", *FV.SCOPE_KEYS, "sources"], "m1": ["id", *map(doubles, FV.SCOPE_KEYS), F.col("sources").cast("array<double>")],
+              "m2": ["id", "sources", "scope_2", "scope_1"], "m3": [F.col("id").cast("bigint"), *FV.SCOPE_KEYS, "sources"]}
+    for model, columns in shapes.items():
+        p.where(F.col("model") == model).select(*columns).write.parquet(f"{root}/{model}.parquet")
+    table = jobs.evaluate_directory(spark, root, FX.ground_truth(spark, sf), shared_dir(spark, "directory-metrics"))
+    return table.select("model", "mode", *FV.SCOPE_KEYS, "average", "sources")
+
+
+def q_merged_prompt_stats(spark, sf):
+    """Length statistics merged from stored sketches of eight runs; is the median's rank within one percent of the middle?"""
+    docs = FX.documents(spark, sf, "doc_id", "n_chars").withColumn("run", F.col("doc_id") % 8)
+    stored = shared_dir(spark, "sketches")
+    PR.prompt_sketches(docs, "run", chars_col="n_chars").write.parquet(stored)
+    merged = PR.merged_stats(spark.read.parquet(stored))
+    median = F.lit(merged.first()["quantile_tokens"])                # one number
+    t = tokens_of_length("n_chars")
+    close = (F.avg((t < median).cast("double")) <= 0.51) & (F.avg((t <= median).cast("double")) >= 0.49)
+    exact = docs.where("n_chars IS NOT NULL").agg(F.lit(1).alias("k"), close.alias("median_close"))
+    return merged.withColumn("k", F.lit(1)).join(exact, "k").select("max_tokens", "min_tokens", "mean_tokens", "n_prompts", "median_close")
+
+
+def q_token_count(spark, sf):
+    """Exact token counts of whole documents by a tokenizer's vocabulary."""
+    return exact_token_counts(FX.documents(spark, sf), "text", tokenizer_file()).select("doc_id", "n_tokens")
+
+
+def q_trim_model_markers(spark, sf):
+    """Outputs that end with the end marker of their own model, or of another one (every fifth document)."""
+    d = FX.document_models(spark, sf)
+    families = F.array(*[F.lit(m) for m in FV.EOS_MARKERS.values()])
+    own = PR.eos_marker("model")
+    printed = F.when(F.col("doc_id") % 5 == 3, F.element_at(families, (F.col("doc_id") % 3 + 1).cast("int"))).otherwise(own)
+    text = F.concat(F.lit('{"doc":'), F.col("doc_id").cast("string"), F.lit("}"), printed)
+    return d.select("doc_id", "model", trim_marker(text, own).alias("response"))
+
+
 def q_manifest_rounds(spark, sf):
     """A round over a store that lacks every 13th document: what is kept, fetched, saved and failed; the fetch of every 17th
     document fails."""
@@ -113,6 +170,11 @@ QUERIES = {
     "prompt_file_stats": q_prompt_file_stats,
     "extraction_records": q_extraction_records,
     "page_split_files": q_page_split_files,
+    "ordered_outputs": q_ordered_outputs,
+    "evaluate_directory": q_evaluate_directory,
+    "merged_prompt_stats": q_merged_prompt_stats,
+    "token_count": q_token_count,
+    "trim_model_markers": q_trim_model_markers,
     "manifest_rounds": q_manifest_rounds,
     "digest_rounds": q_digest_rounds,
 }

@@ -18,6 +18,7 @@ from scopekit.operators import prompts as PR
 from scopekit.operators import training as T
 from scopekit.sources import document_files as DF
 from scopekit.sources import sinks
+from scopekit.sources.config import read_chat_instruction, read_instruction
 
 
 def _stored_records(spark: SparkSession, path: str) -> DataFrame | None:
@@ -31,11 +32,13 @@ def _stored_records(spark: SparkSession, path: str) -> DataFrame | None:
 
 def build_prompt_table(pages: DataFrame, doc_ids: DataFrame, prompt_dir: str, mode: str = "xhtml",
                        max_tokens: int = FV.DEFAULT_MAX_TOKENS, instruction: str = FV.INSTRUCTION,
-                       chat: str = "mistral", done: DataFrame | None = None) -> None:
+                       chat: str = "mistral", done: DataFrame | None = None, template: str | None = None) -> None:
     """Pages -> relevant pages -> budget -> assembly -> prompts, written as the prompt table.
 
     ``chat`` is the chat family of the prompts (``prompts.chat_family``); the pages of documents in ``done``
-    (id) are not read further than their id."""
+    (id) are not read further than their id. ``template`` names a file that holds the instruction."""
+    if template:
+        instruction = read_instruction(template)
     if done is not None:
         doc_ids = B.pending(doc_ids, done)
         pages = pages.join(doc_ids.select("doc_id"), "doc_id", "left_semi")
@@ -78,16 +81,25 @@ def run_extraction(spark: SparkSession, prompt_dir: str, output_dir: str, run_na
 
 
 def evaluate_to_table(spark: SparkSession, predictions: DataFrame, truth: DataFrame, out_dir: str,
-                      unmatched_dir: str | None = None) -> DataFrame:
-    """Metric table (all modes, average, source accuracy) written as CSV with two decimals; the
-    predictions without a truth row are written to ``unmatched_dir`` (model, id)."""
-    if unmatched_dir:
-        E.unmatched_predictions(predictions, truth).write.mode("overwrite").parquet(unmatched_dir)
-    table = E.metric_table(E.evaluation_counts(predictions, truth))
+                      unmatched_dir: str | None = None, keys=FV.SCOPE_KEYS, which: str = "scope_1",
+                      exclude_failed: bool = False) -> DataFrame:
+    """Metric table (all modes, average, source accuracy) of ``keys`` written as CSV with two decimals; ``which`` truth pages count
+    ('scope_1' or 'any'), and ``exclude_failed`` leaves failed rows out of the source accuracy. The predictions without a
+    truth row are never dropped in silence: they are written (model, id) to ``unmatched_dir``, by default next to the table."""
+    unmatched = unmatched_dir or out_dir.rstrip("/") + "-unmatched"
+    E.unmatched_predictions(predictions, truth).write.mode("overwrite").parquet(unmatched)
+    table = E.metric_table(E.evaluation_counts(predictions, truth, which, keys), keys, exclude_failed=exclude_failed)
     sinks.write_metric_table(table, out_dir)
     return table
 
 
+def evaluate_directory(spark: SparkSession, pred_dir: str, truth: DataFrame, out_dir: str, unmatched_dir: str | None = None,
+                       keys=FV.SCOPE_KEYS, which: str = "scope_1", exclude_failed: bool = False) -> DataFrame:
+    """``evaluate_to_table`` over a directory that holds one Parquet file per model."""
+    from scopekit.sources.outputs import read_external_predictions
+    return evaluate_to_table(spark, read_external_predictions(spark, pred_dir), truth, out_dir, unmatched_dir, keys, which, exclude_failed)
+
+
 def write_training_set(records: DataFrame, out_dir: str, kind: str = "sft", id_col: str = "id") -> None:
     """(prompt, completion) rows to SFT or DPO JSON lines."""
     if kind == "sft":
@@ -119,19 +131,26 @@ def collect_output_dir(spark: SparkSession, json_dir: str, model: str, table_pat
     sinks.write_predictions(out, table_path, order_by="id")
 
 
-def prompt_statistics(spark: SparkSession, prompt_dir: str, approx: bool = False) -> DataFrame:
-    """max, min, mean, median token estimate over the cached prompt files (``*.txt``)."""
+def prompt_statistics(spark: SparkSession, prompt_dir: str, approx: bool = False, vocabulary: str | None = None) -> DataFrame:
+    """max, min, mean, median token estimate over the cached prompt files (``*.txt``), or exact counts by a tokenizer's file."""
+    from scopekit.functions.tokens import exact_token_counts
     from scopekit.sources.outputs import read_text_files
-    return PR.prompt_stats(read_text_files(spark, prompt_dir.rstrip("/") + "/*.txt", "prompt"), "prompt", approx)
+    prompts = read_text_files(spark, prompt_dir.rstrip("/") + "/*.txt", "prompt")
+    if vocabulary:
+        return PR.prompt_stats(exact_token_counts(prompts, "prompt", vocabulary, special_tokens=True), approx=approx, tokens_col="n_tokens")
+    return PR.prompt_stats(prompts, "prompt", approx)
 
 
 def training_set_from_files(spark: SparkSession, responses_dir: str, prompt_dir: str, pages: DataFrame,
                             out_dir: str, kind: str = "sft", mode: str = "xhtml",
                             wrapper: tuple[str, str] = FV.CHAT_WRAPPERS["mistral"], rebuild: bool = False,
-                            instruction: str = FV.INSTRUCTION) -> None:
+                            instruction: str = FV.INSTRUCTION, template: str | None = None) -> None:
     """Training records from a directory of raw responses (``*.json``, stem = id) or a prediction table
     (``*.parquet``), and a prompt cache (``*.txt``); documents without a cached prompt, or all of
-    them with ``rebuild``, get a prompt made from ``pages`` with ``instruction``."""
+    them with ``rebuild``, get a prompt made from ``pages`` with ``instruction``, or with that of a chat template
+    file (``template``: JSON lines, the first one's content)."""
+    if template:
+        instruction = read_chat_instruction(template)
     from scopekit.sources.outputs import read_text_files
     if responses_dir.rstrip("/").endswith(".parquet"):
         responses = spark.read.parquet(responses_dir).select("id", record_json().alias("response"))

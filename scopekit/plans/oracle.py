@@ -462,6 +462,16 @@ FROM (SELECT CAST(ceil(length(text) / 3.5) AS BIGINT) AS t FROM prompt_cache)"""
     q["page_split_files"] = f"""
 SELECT doc_id, CAST(unnest(range(len(parts))) AS BIGINT) AS page_no, unnest(parts) AS page_text
 FROM (SELECT doc_id, string_split(coalesce(text, ''), {NL}) AS parts FROM documents)"""
+    pr = [_ground_truth(), _predictions()]
+    q["ordered_outputs"] = _with(pr, "SELECT model, id, row_number() OVER (PARTITION BY model ORDER BY id) - 1 AS place FROM predictions")
+    q["merged_prompt_stats"] = """
+SELECT max(t) AS max_tokens, min(t) AS min_tokens, round(sum(t) / count(*), 6) AS mean_tokens, count(*) AS n_prompts, true AS median_close
+FROM (SELECT CAST(ceil(n_chars / 3.5) AS BIGINT) AS t FROM documents)"""
+    fam = "CASE WHEN starts_with(model, 'qwen') THEN '[PAD151643]' WHEN starts_with(model, 'openchat') THEN '<|end_of_turn|>' ELSE '</s>' END"
+    q["trim_model_markers"] = f"""
+SELECT doc_id, model, '{{"doc":' || doc_id || '}}' || CASE WHEN printed <> own THEN printed ELSE '' END AS response
+FROM (SELECT doc_id, model, {fam} AS own, CASE WHEN doc_id % 5 = 3 THEN (['</s>', '<|end_of_turn|>', '[PAD151643]'])[doc_id % 3 + 1] ELSE {fam} END AS printed
+      FROM (SELECT doc_id, {model_of('doc_id')} AS model FROM documents))"""
     q["manifest_rounds"] = _with([_manifest()], """
 SELECT id, url, status, CASE WHEN status = 'ok' THEN 'keep' ELSE 'fetch' END AS action,
        CASE WHEN status = 'ok' OR saved THEN 'ok' ELSE 'failed' END AS outcome, saved
@@ -612,6 +622,8 @@ FROM predictions p JOIN ground_truth t ON p.id = t.id""")
 SELECT w.model, w.mode, w.scope_1, w.scope_2, w.scope_3, a.average, s.accuracy AS sources
 FROM (SELECT model, mode, {cols} FROM long_acc GROUP BY model, mode) w
 LEFT JOIN avg_acc a ON w.model = a.model AND w.mode = a.mode LEFT JOIN src_acc s ON w.model = s.model""")
+    q["evaluate_directory"] = q["metric_table"].replace(_predictions(), _predictions().replace("predictions AS (", "whole AS (", 1) + """,
+predictions AS (SELECT * REPLACE (CASE WHEN model <> 'm2' THEN scope_3 END AS scope_3) FROM whole)""")
     q["failure_count"] = _with(pr, """
 SELECT model, count(*) AS n_reports,
        count(*) FILTER (WHERE scope_1 = -1 AND scope_2 = -1 AND scope_3 = -1 AND sources = [-1]) AS n_failed

@@ -29,8 +29,28 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.PREDICTIONS).parquet(path)
 
 
-def read_external_predictions(spark: SparkSession, path_glob: str) -> DataFrame:
-    """One Parquet file per model; the model name is the file stem (only the last extension is cut)."""
-    df = spark.read.parquet(path_glob).withColumn("model", file_stem_of_metadata())
-    types = {f.name: f.dataType for f in schemas.PREDICTIONS}
-    return df.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns])
+def read_external_predictions(spark: SparkSession, directory: str) -> DataFrame:
+    """(model, id, scope_1, scope_2, scope_3, sources) from one Parquet file (or folder of parts) per model; the model's name is the
+    file's without its extension.
+
+    The files may differ in their types (whole numbers or doubles, NaN for a missing value) and in the columns that they have:
+    each is read by its own footer and cast to the one schema, an absent column being null. The loop is over models, not
+    over rows or documents.
+    """
+    from pyarrow import fs
+
+    from scopekit.functions.records import whole_number
+    from scopekit.sources.document_files import file_system
+    system, root = file_system(directory)
+    names = sorted(i.base_name for i in system.get_file_info(fs.FileSelector(root)) if i.base_name.endswith(".parquet"))
+    out = spark.createDataFrame([], schemas.PREDICTIONS).select("model", "id", *FV.SCOPE_KEYS, "sources")
+    for name in names:
+        df = spark.read.parquet(f"{directory.rstrip('/')}/{name}")
+        have = set(df.columns)
+
+        def number(c):
+            return (whole_number(c).try_cast("bigint") if c in have else F.lit(None).cast("bigint")).alias(c)
+        pages = F.transform("sources", lambda x: whole_number(x).try_cast("bigint")) if "sources" in have else F.lit(None).cast("array<bigint>")
+        out = out.unionByName(df.select(F.lit(name[:-len(".parquet")]).alias("model"), F.col("id").cast("string").alias("id"),
+                                        *[number(c) for c in FV.SCOPE_KEYS], pages.alias("sources")))
+    return out

@@ -6,22 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _ordered(df: DataFrame, order_by: str | None) -> DataFrame:
-    # Order inside each output file only: no global sort (a range shuffle) at the sink,
-    # and no result depends on it.
-    return df.sortWithinPartitions(order_by) if order_by else df
-
-
-def write_predictions(df: DataFrame, path: str, mode: str = "overwrite", order_by: str | None = None) -> None:
+def _ordered(df: DataFrame, *order_by: str | None, files: int | None = None) -> DataFrame:
+    """Rows ranged and sorted by the columns: reading the files in name order gives them in order, at any number of files (up
+    to the 100,000 that part numbers of equal width can name). Equal keys stay in one file."""
+    keys = [c for c in order_by if c]
+    if not keys:
+        return df
+    ranged = df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)
+    return ranged.sortWithinPartitions(*keys)
+
+
+def write_predictions(df: DataFrame, path: str, mode: str = "overwrite", order_by: str | None = None,
+                      files: int | None = None) -> None:
     """Predictions partitioned by ``model``: evaluating one model prunes the others. Overwriting
-    replaces the models that ``df`` holds and leaves the others."""
-    (_ordered(df, order_by).write.mode(mode).option("partitionOverwriteMode", "dynamic")
-     .partitionBy("model").parquet(path))
+    replaces the models that ``df`` holds and leaves the others. With ``order_by``, each model's files are in order."""
+    (_ordered(df, "model" if order_by else None, order_by, files=files).write.mode(mode)
+     .option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(path))
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", order_by: str | None = None) -> None:
+def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", order_by: str | None = None, files: int | None = None) -> None:
     """JSON lines with explicit nulls."""
-    _ordered(df, order_by).write.mode(mode).option("ignoreNullFields", False).json(path)
+    _ordered(df, order_by, files=files).write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
 def append_records(df: DataFrame, path: str) -> None:

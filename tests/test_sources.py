@@ -61,7 +61,7 @@ def test_external_predictions_model_from_file_stem(spark):
         t = pa.table({"id": ["1", "2"], "scope_1": [1, None], "scope_2": [2, 3], "scope_3": [None, None],
                       "sources": [[1], []]})
         pq.write_table(t, os.path.join(d, f"{name}.parquet"))
-    got = sorted({r.model for r in SO.read_external_predictions(spark, d + "/*.parquet").collect()})
+    got = sorted({r.model for r in SO.read_external_predictions(spark, d).collect()})
     assert got == ["Mixtral-8x7B-Instruct-v0.1", "m"]
 
 
@@ -71,3 +71,64 @@ def test_classify_locations(spark):
     stored = spark.createDataFrame([("pdfs/a.pdf",)], "path string")
     got = {r.id: r.kind for r in M.classify_locations(locs, stored).collect()}
     assert got == {"a": "file", "b": "error", "c": "remote", "d": "error"}
+
+
+def test_predictions_of_drifting_types(spark):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    d = local_dir(spark, "drift")
+    files = {"ints": {"id": ["1", "2"], "scope_1": [1, None], "scope_2": [2, 3], "scope_3": [None, 2 ** 40], "sources": [[1], []]},
+             "doubles": {"id": ["1", "2"], "scope_1": [1.0, float("nan")], "scope_2": [2.9, 1e30], "scope_3": [None, -1.0], "sources": [[1.0], None]},
+             "few.v2": {"id": [1, 2], "scope_2": [7, 8], "extra": ["x", "y"]}}
+    for name, columns in files.items():
+        pq.write_table(pa.table(columns), os.path.join(d, f"{name}.parquet"))
+    got = {(r.model, r.id): (r.scope_1, r.scope_2, r.scope_3, r.sources) for r in SO.read_external_predictions(spark, d).collect()}
+    assert got == {("ints", "1"): (1, 2, None, [1]), ("ints", "2"): (None, 3, 2 ** 40, []),
+                   ("doubles", "1"): (1, 2, None, [1]), ("doubles", "2"): (None, None, -1, None),
+                   ("few.v2", "1"): (None, 7, None, None), ("few.v2", "2"): (None, 8, None, None)}
+
+
+def test_evaluation_over_a_directory_with_its_options(spark):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from scopekit.plans import jobs
+    d, out = local_dir(spark, "eval"), shared_dir(spark, "eval-out")
+    pq.write_table(pa.table({"id": ["1", "2", "9"], "scope_1": [10, -1, 5], "scope_2": [1, -1, 1], "scope_3": [1, -1, 1],
+                             "sources": [[5], [-1], [1]]}), os.path.join(d, "m.parquet"))
+    truth = spark.createDataFrame([("1", 10.0, None, 2.0, 3.0, [4], [5], None, None), ("2", 1.0, 1.0, 1.0, 1.0, [1], None, None, [])],
+                                  "id string, scope_1 double, scope_2_market double, scope_2_location double, scope_3 double, scope_1_page array<int>, "
+                                  "scope_2_market_page array<int>, scope_2_location_page array<int>, scope_3_page array<int>")
+
+    def strict(**options):
+        return jobs.evaluate_directory(spark, d, truth, out, **options).where("mode = 'strict'").first()
+    row = strict()
+    assert (row.scope_1, row.scope_2, row.scope_3, row.sources) == (1.0, 0.0, 0.0, 0.0)
+    assert [(r.model, r.id) for r in spark.read.parquet(out + "-unmatched").collect()] == [("m", "9")]
+    assert strict(which="any").sources == 0.5 and strict(which="any", exclude_failed=True).sources == 1.0
+    assert strict(keys=("scope_1",)).average is None and "scope_3" not in strict(keys=("scope_1",))
+
+
+def test_files_in_name_order_are_sorted(spark):
+    from pyspark.sql import functions as F
+
+    from scopekit.sources import sinks
+    df = spark.range(5000).select(F.concat(F.lit("k"), F.pmod(F.xxhash64("id"), F.lit(900))).alias("id"), F.lit("m").alias("model"))
+    for files in (1, 5):
+        path = shared_dir(spark, "ordered")
+        sinks.write_jsonl(df, path, order_by="id", files=files)
+        local = path[len("file:"):] if path.startswith("file:") else path
+        parts = sorted(p for p in os.listdir(local) if p.startswith("part-"))
+        ids = [json.loads(line)["id"] for p in parts for line in open(os.path.join(local, p))]
+        assert len(parts) == files and len(ids) == 5000 and ids == sorted(ids)
+
+
+def test_sketches_merge_to_the_whole(spark):
+    from pyspark.sql import functions as F
+
+    from scopekit.operators import prompts as PR
+    rows = spark.range(200_000).select((F.col("id") % 40).alias("run"), (F.pmod(F.xxhash64("id"), F.lit(10_000)) * 3.5).cast("int").alias("n"))
+    got = PR.merged_stats(PR.prompt_sketches(rows.repartition(6), "run", chars_col="n")).first()
+    assert got.n_prompts == 200_000 and abs(got.quantile_tokens - 5000) < 200 and got.min_tokens == 0
+    by_run = PR.merged_stats(PR.prompt_sketches(rows, "run", chars_col="n"), "run", quantile=0.9).collect()
+    assert len(by_run) == 40 and all(abs(r.quantile_tokens - 9000) < 400 for r in by_run)
