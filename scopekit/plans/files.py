@@ -12,13 +12,16 @@ from scopekit import fixed_values as FV
 from scopekit.functions.records import trim_marker
 from scopekit.functions.tokens import exact_token_counts, tokenizer_file, tokens_of_length
 from scopekit.operators import batch as B
+from scopekit.operators import evaluate as E
 from scopekit.operators import manifest as M
+from scopekit.operators import pages as P
 from scopekit.operators import prompts as PR
 from scopekit.operators import training as T
 from scopekit.plans import fixtures as FX
 from scopekit.plans import jobs
 from scopekit.session import shared_dir
 from scopekit.sources import document_files as DF
+from scopekit.sources import layout as L
 from scopekit.sources import manifest as SM
 from scopekit.sources import sinks as K
 from scopekit.sources.pages import split_page_files
@@ -143,6 +146,35 @@ def q_trim_model_markers(spark, sf):
     return d.select("doc_id", "model", trim_marker(text, own).alias("response"))
 
 
+BUCKETS = 8
+
+
+def _bucketed(spark, df, name, key="id"):
+    return spark.table(L.write_bucketed(df, name, key, BUCKETS))
+
+
+def q_bucketed_evaluation(spark, sf):
+    """The metric table from predictions and truth bucketed by id: one join without an exchange."""
+    pred, truth = _bucketed(spark, FX.predictions(spark, sf), "predictions"), _bucketed(spark, FX.ground_truth(spark, sf), "truth")
+    return E.metric_table(E.evaluation_counts(pred, truth)).select("model", "mode", *FV.SCOPE_KEYS, "average", "sources")
+
+
+def q_bucketed_resume(spark, sf):
+    """Pending documents from documents and finished records bucketed by id."""
+    done = FX.finished(spark, sf).select(F.col("id").cast("bigint").alias("id"))
+    return B.pending(_bucketed(spark, FX.documents(spark, sf, "doc_id"), "documents", "doc_id"), _bucketed(spark, done, "finished"))
+
+
+def q_bucketed_training(spark, sf):
+    """Training prompts from responses, prompt cache and rebuilt messages bucketed by id: grouping and joins without an exchange."""
+    pre, suf = FV.CHAT_WRAPPERS["mistral"][0], FV.CHAT_WRAPPERS["mistral"][1] + FV.ANSWER_START + "\n"
+    raw = _bucketed(spark, FX.raw_responses(spark, sf).select("id", "seq", "response"), "responses")
+    cache = _bucketed(spark, FX.prompt_cache(spark, sf), "cache").select("id", T.strip_wrapper("text", pre, suf).alias("content"))
+    units = P.page_units(FX.report_pages(spark, sf), "text")
+    messages = P.assemble_documents(units, P.document_budget(units)).select(F.col("doc_id").cast("string").alias("id"), "user_message")
+    return T.training_prompts(T.last_response(raw), cache, _bucketed(spark, messages, "messages"))
+
+
 def q_manifest_rounds(spark, sf):
     """A round over a store that lacks every 13th document: what is kept, fetched, saved and failed; the fetch of every 17th
     document fails."""
@@ -173,6 +205,9 @@ QUERIES = {
     "ordered_outputs": q_ordered_outputs,
     "evaluate_directory": q_evaluate_directory,
     "merged_prompt_stats": q_merged_prompt_stats,
+    "bucketed_evaluation": q_bucketed_evaluation,
+    "bucketed_resume": q_bucketed_resume,
+    "bucketed_training": q_bucketed_training,
     "token_count": q_token_count,
     "trim_model_markers": q_trim_model_markers,
     "manifest_rounds": q_manifest_rounds,

@@ -622,6 +622,8 @@ FROM predictions p JOIN ground_truth t ON p.id = t.id""")
 SELECT w.model, w.mode, w.scope_1, w.scope_2, w.scope_3, a.average, s.accuracy AS sources
 FROM (SELECT model, mode, {cols} FROM long_acc GROUP BY model, mode) w
 LEFT JOIN avg_acc a ON w.model = a.model AND w.mode = a.mode LEFT JOIN src_acc s ON w.model = s.model""")
+    q["bucketed_evaluation"] = q["metric_table"]
+    q["bucketed_resume"] = q["resume_pending"]
     q["evaluate_directory"] = q["metric_table"].replace(_predictions(), _predictions().replace("predictions AS (", "whole AS (", 1) + """,
 predictions AS (SELECT * REPLACE (CASE WHEN model <> 'm2' THEN scope_3 END AS scope_3) FROM whole)""")
     q["failure_count"] = _with(pr, """
@@ -641,6 +643,7 @@ SELECT id, prompt, completion FROM (
   LEFT JOIN stripped c ON r.id = c.id
   LEFT JOIN (SELECT CAST(doc_id AS VARCHAR) AS id, user_message FROM assembled) a ON r.id = a.id)
 WHERE prompt IS NOT NULL""")
+    q["bucketed_training"] = q["training_prompts"]
     q["training_prompts_rebuilt"] = _with(text + [_ground_truth(), _predictions(), _raw_responses()], f"""
 SELECT r.id, {INSTR} || {NL} || left(a.user_message, length(a.user_message) - 1) AS prompt, r.response AS completion
 FROM (SELECT id, arg_max(response, seq) AS response FROM raw_responses GROUP BY id) r
