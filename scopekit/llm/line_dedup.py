@@ -1,31 +1,39 @@
 """Line deduplication by winnowing over line hashes.
 
-A document is its sequence of non-blank lines (trimmed of blanks, tabs and carriage returns). Each
-window of RUN_LINES lines selects its smallest line hash as fingerprint, so a run that two places share
-has a fingerprint in both; a line of LONG_CHARS characters is a window and a fingerprint by itself.
-Fingerprints found at one place only are dropped, the windows around the others are matched to both
-sides by the hash of all their lines, and each window that occurs at an earlier place (smaller
-document id, or earlier in the same document) has its lines deleted. Overlapping windows make up runs of
-any length. Blank lines stay.
-
-Smallest places are combined before each shuffle and written, so a line of a third of all documents is one row
-on the side that is looked up; the other side is a plain table whose hot share can be split. The joins
-are sort-merge joins at every size.
-
-Edge cases: a null text is empty (one blank line); rows of the same id and text are one document for
-the order and get the same result; different texts of one id are ordered by their hash; documents without id
-come last; an empty table gives no rows.
+A document is its sequence of non-blank lines (trimmed of blanks, tabs and carriage returns). Sizes count words, not lines: a
+gram is the shortest run of lines from a line on that has GRAM_WORDS words, a window the shortest one of RUN_WORDS words.
+Each window selects the gram inside it with the smallest hash (the first of equal ones) as its fingerprint. Which gram
+that is depends on the window's lines alone, so any two places that share a run of RUN_WORDS words or more, however many
+lines that is, have a fingerprint in common; neighbouring windows mostly select the same one.
+
+The positions of each fingerprint are joined with its first place (the smallest document id, then the line), and every match is
+extended line by line both ways. A fingerprint carries the hashes of the lines around it, RUN_WORDS words to each side, for
+that: a run that goes on beyond has its next fingerprint there. The later one of two matched runs is deleted;
+first places stay, as far as they aren't later places of other runs. Runs of fewer than GRAM_WORDS words are never touched, runs
+between the two sizes only where they hold a fingerprint. Blank lines stay.
+
+Smallest places are combined before the shuffle and written, so a passage of a third of all documents is one row on
+the side that is looked up; the other side is a plain table whose hot share can be split. The joins are sort-merge
+joins at every size.
+
+Edge cases: a null text is empty (one blank line); a line of any length is one line; rows of the same id and text are one
+document for the order and get the same result; different texts of one id are ordered by their hash; documents without id come
+last; an empty table gives no rows; other columns are kept and can't clash.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scopekit.llm.common import packed, text_or_empty, written
+from scopekit.llm.common import map_batches, packed, slices, text_bytes, text_or_empty, written
 
-RUN_LINES = 3
-LONG_CHARS = 200
+GRAM_WORDS = 25
+RUN_WORDS = 50
 _BLANKS = " \t\r"
 
 
@@ -43,53 +51,83 @@ def _key(docs: DataFrame) -> DataFrame:
     return packed(docs).withColumns({"_id": F.col("row.doc_id").cast("bigint"), "_hash": F.xxhash64(text_or_empty("row.text"))})
 
 
-def windows(docs: DataFrame, run_lines: int = RUN_LINES, long_chars: int = LONG_CHARS) -> DataFrame:
-    """(place, n, anchor, at, k1, k2): every window's first line and size, its fingerprint and that
-    line's place, and two hashes of all its lines. A place is (no_id, id, hash, line), in order."""
-    k = _key(docs.select("doc_id", "text")).select("_id", "_hash", _numbered().alias("lines"))
-    k = k.select("_id", "_hash", F.transform("lines", lambda x: F.struct(
-        F.xxhash64(x["s"]).alias("h"), F.hash(x["s"]).alias("g"), (F.char_length(x["s"]) >= long_chars).alias("long"))).alias("l"))
-
-    def window(i, n):
-        part = F.slice("l", i, n)
-        hashes = F.transform(part, lambda x: x["h"])
-        low = F.array_min(hashes)
-        return F.struct(i.alias("line"), F.lit(n).alias("n"), low.alias("anchor"),
-                        (i + F.array_position(hashes, low).cast("int") - 1).alias("at"),
-                        F.xxhash64(hashes).alias("k1"), F.hash(F.transform(part, lambda x: x["g"])).alias("k2"))
-
-    size = F.size("l")
-    runs = F.when(size >= run_lines, F.transform(F.sequence(F.lit(1), F.greatest(size - run_lines + 1, F.lit(1))), lambda i: window(i, run_lines)))
-    numbers = F.transform("l", lambda x, i: F.struct(x["long"].alias("long"), (i + 1).alias("i")))
-    singles = F.transform(F.filter(numbers, lambda x: x["long"]), lambda x: window(x["i"], 1))
-    none = F.array().cast("array<struct<line:int,n:int,anchor:bigint,at:int,k1:bigint,k2:int>>")
-    rows = k.select("_id", "_hash", F.explode(F.concat(F.coalesce(runs, none), singles)).alias("w")).select("_id", "_hash", "w.*")
-    return rows.select("_id", "_hash", "line", "n", "anchor", "at", "k1", "k2")
+def selected_grams(lines: list[bytes], gram_words: int, run_words: int) -> tuple[dict[int, tuple[int, bytes]], np.ndarray]:
+    """({first line: (end, hash)} of the fingerprints of a document's trimmed lines, words before each line and in all)."""
+    words = np.concatenate(([0], np.cumsum([len(x.split()) for x in lines], dtype=np.int64)))
+    n = len(lines)
+    gram_end, window_end = (np.searchsorted(words, words[:n] + size, "left") for size in (gram_words, run_words))
+    hashes: dict = {}
+
+    def of(j):
+        if j not in hashes:
+            hashes[j] = hashlib.md5(b"\n".join(lines[j:gram_end[j]])).digest()
+        return hashes[j]
+    found = {}
+    for start in range(int(np.searchsorted(window_end, n, "right"))):         # windows that the document can fill
+        last = int(np.searchsorted(gram_end, window_end[start], "right"))     # grams from start on that end inside
+        best = min(range(start, last), key=lambda j: (of(j), j))
+        found[best] = (int(gram_end[best]), of(best))
+    return found, words
+
+
+def _line_hash(line: bytes) -> int:
+    return int.from_bytes(hashlib.md5(line).digest()[:8], "big", signed=True)
+
+
+def fingerprints(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+    """(_id, _hash, line, n, gram, before, after): each fingerprint's first line (from 1), number of lines and hash, and the hashes
+    of the lines before it (the nearest first) and after it, within run_words words."""
+    texts = _key(docs.select("doc_id", "text")).select("_id", "_hash", text_or_empty("row.text").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                out: list = [[] for _ in range(7)]
+                for doc_id, key, text in zip(part.column("_id").to_pylist(), part.column("_hash").to_pylist(), text_bytes(part.column("text"))):
+                    lines = [x for x in (y.strip(b" \t\r") for y in text.split(b"\n")) if x]
+                    found, words = selected_grams(lines, gram_words, run_words)
+                    if not found:
+                        continue
+                    hashes = [_line_hash(x) for x in lines]
+                    for j, (end, gram) in sorted(found.items()):
+                        low = int(np.searchsorted(words, words[j] - run_words, "left"))
+                        high = int(np.searchsorted(words, words[end] + run_words, "right")) - 1
+                        for column, value in zip(out, (doc_id, key, j + 1, end - j, gram, hashes[low:j][::-1], hashes[end:high])):
+                            column.append(value)
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)],
+                                                 names=["_id", "_hash", "line", "n", "gram", "before", "after"])
+    return map_batches(texts, run, "_id bigint, _hash bigint, line int, n int, gram binary, before array<bigint>, after array<bigint>")
 
 
 def _place(line: str):
     return F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_hash", F.col(line).alias("line"))
 
 
-def repeated_lines(docs: DataFrame, run_lines: int = RUN_LINES, long_chars: int = LONG_CHARS) -> DataFrame:
+def _shared(a: str, b: str):
+    """How many lines two lists of line hashes have in common from their start on."""
+    equal = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    stop = F.array_position(equal, False).cast("int")
+    return F.when(stop > 0, stop - 1).otherwise(F.size(equal))
+
+
+def repeated_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """(_id, _hash, gone): for each document with lines to delete, their numbers among its non-blank lines, from 1."""
-    found = written(windows(docs, run_lines, long_chars), "line-windows")
-    # fingerprints at more than one place
-    prints = written(found.groupBy("anchor").agg(F.min(_place("at")).alias("lo"), F.max(_place("at")).alias("hi"))
-                     .where("lo <> hi").select("anchor"), "line-fingerprints")
-    near = found.join(prints.hint("merge"), "anchor", "left_semi").select("_id", "_hash", "line", "n", "k1", "k2")
-    near = written(near, "line-candidates")
-    # extended to the whole window on both sides of the fingerprint: the first place of each
-    first = written(near.groupBy("n", "k1", "k2").agg(F.min(_place("line")).alias("first"), F.max(_place("line")).alias("last"))
-                    .where("first <> last").select("n", "k1", "k2", "first"), "line-first")
-    later = near.join(first.hint("merge"), ["n", "k1", "k2"]).where(_place("line") > F.col("first"))
-    lines = later.select("_id", "_hash", F.explode(F.sequence("line", F.col("line") + F.col("n") - 1)).alias("line"))
+    found = written(fingerprints(docs, gram_words, run_words), "line-fingerprints")
+    place = _place("line")
+    first = written(found.groupBy("gram").agg(F.min(place).alias("first"), F.max(place).alias("last"),
+                                              F.min_by(F.struct(F.col("before").alias("b"), F.col("after").alias("a")), place).alias("around"))
+                    .where("first <> last").select("gram", "first", "around"), "line-first")
+    later = found.join(first.hint("merge"), "gram").where(place > F.col("first"))
+    start = F.col("line") - _shared("before", "around.b")
+    end = F.col("line") + F.col("n") - 1 + _shared("after", "around.a")
+    lines = later.select("_id", "_hash", F.explode(F.sequence(start, end)).alias("line"))
     return lines.groupBy("_id", "_hash").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 
-def with_repeats(docs: DataFrame, run_lines: int = RUN_LINES, long_chars: int = LONG_CHARS) -> DataFrame:
+def with_repeats(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """The documents (column ``row``, a struct) with ``_gone``: the numbers of their lines to delete (null: none)."""
-    gone = written(repeated_lines(docs, run_lines, long_chars), "line-deletions").select(
+    gone = written(repeated_lines(docs, gram_words, run_words), "line-deletions").select(
         F.coalesce("_id", F.lit(0)).alias("_id0"), F.col("_id").isNull().alias("_null"), "_hash", F.col("gone").alias("_gone"))
     keyed = _key(docs).withColumns({"_id0": F.coalesce("_id", F.lit(0)), "_null": F.col("_id").isNull()})
     return keyed.join(gone.hint("merge"), ["_id0", "_null", "_hash"], "left").drop("_id0", "_null", "_hash", "_id")
@@ -102,18 +140,18 @@ def _kept_text():
     return F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n")
 
 
-def remove_repeated_lines(docs: DataFrame, run_lines: int = RUN_LINES, long_chars: int = LONG_CHARS) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """The documents with later repeated runs cut out of their text; all rows and columns stay (n_chars follows the text)."""
     changed = F.col("_gone").isNotNull()
-    cut = with_repeats(docs, run_lines, long_chars).withColumn("_cut", F.when(changed, _kept_text()))
+    cut = with_repeats(docs, gram_words, run_words).withColumn("_cut", F.when(changed, _kept_text()))
     new = {"text": F.col("_cut"), "n_chars": F.char_length("_cut")}
     return cut.select(*[F.when(changed, new[f.name]).otherwise(F.col("row")[f.name]).cast(f.dataType).alias(f.name)
                         if f.name in new else F.col("row")[f.name].alias(f.name) for f in docs.schema])
 
 
-def report(docs: DataFrame, run_lines: int = RUN_LINES, long_chars: int = LONG_CHARS) -> DataFrame:
+def report(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """Per document row: its lines, the deleted ones, their runs, and the SHA-256 of what stays."""
-    cut = with_repeats(docs.select("doc_id", "text"), run_lines, long_chars)
+    cut = with_repeats(docs.select("doc_id", "text"), gram_words, run_words)
     gone = F.coalesce("_gone", F.array().cast("array<int>"))
     runs = F.size(F.filter(gone, lambda j, i: (i == 0) | (j - F.get(gone, i - 1) > 1)))
     text = F.when(F.col("_gone").isNotNull(), _kept_text()).otherwise(text_or_empty("row.text"))

@@ -101,12 +101,27 @@ WITH raw AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(te
 lines AS (SELECT doc_id, i, s, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j
           FROM (SELECT doc_id, i, trim(ls[i], ' ' || chr(9) || chr(13)) AS s FROM raw, unnest(range(1, len(ls) + 1)) t(i))
           WHERE s <> ''),
-wins AS (SELECT doc_id, j, 3 AS n, s || chr(10) || lead(s) OVER w || chr(10) || lead(s, 2) OVER w AS key
-         FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY j)
-         UNION ALL SELECT doc_id, j, 1, s FROM lines WHERE length(s) >= 200),
-later AS (SELECT doc_id, j, n FROM (SELECT *, row_number() OVER (PARTITION BY n, key ORDER BY doc_id, j) AS r FROM wins WHERE key IS NOT NULL)
-          WHERE r > 1),
-gone AS (SELECT DISTINCT doc_id, g AS j FROM later, unnest(range(j, j + n)) t(g)),
+sums AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY j) AS c
+         FROM (SELECT *, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS w FROM lines)),
+ends AS (SELECT a.doc_id, a.j, a.c - a.w AS c0, min(b.j) FILTER (WHERE b.c >= a.c - a.w + 25) AS e25, min(b.j) FILTER (WHERE b.c >= a.c - a.w + 50) AS e50
+         FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND b.j >= a.j AND b.c - b.w < a.c - a.w + 50 GROUP BY ALL),
+grams AS (SELECT e.doc_id, e.j, e.e25 AS e, md5(string_agg(l.s, chr(10) ORDER BY l.j)) AS k
+          FROM ends e JOIN lines l ON l.doc_id = e.doc_id AND l.j BETWEEN e.j AND e.e25 GROUP BY ALL),
+sel AS (SELECT DISTINCT doc_id, j, e, k FROM (
+          SELECT g.*, row_number() OVER (PARTITION BY w.doc_id, w.j ORDER BY g.k, g.j) AS r
+          FROM ends w JOIN grams g ON g.doc_id = w.doc_id AND g.j >= w.j AND g.e <= w.e50 WHERE w.e50 IS NOT NULL) WHERE r = 1),
+matches AS (SELECT *, row_number() OVER () AS m
+            FROM (SELECT s.*, first_value(doc_id) OVER w AS d0, first_value(j) OVER w AS j0, row_number() OVER w AS r
+                  FROM sel s WINDOW w AS (PARTITION BY k ORDER BY doc_id, j)) WHERE r > 1),
+around AS (SELECT m.m, l.j, l.j < m.j AS early, f.j IS NOT NULL AS same
+           FROM matches m JOIN sums a ON a.doc_id = m.doc_id AND a.j = m.j JOIN sums z ON z.doc_id = m.doc_id AND z.j = m.e
+           JOIN sums l ON l.doc_id = m.doc_id AND ((l.j < m.j AND (a.c - a.w) - (l.c - l.w) <= 50) OR (l.j > m.e AND l.c - z.c <= 50))
+           LEFT JOIN lines f ON f.doc_id = m.d0 AND f.j = m.j0 + l.j - m.j AND f.s = l.s),
+runs AS (SELECT m.doc_id, coalesce(x.lo, m.j) AS lo, coalesce(x.hi, m.e) AS hi FROM matches m LEFT JOIN (
+           SELECT m, coalesce(max(j) FILTER (WHERE early AND NOT same) + 1, min(j) FILTER (WHERE early)) AS lo,
+                  coalesce(min(j) FILTER (WHERE NOT early AND NOT same) - 1, max(j) FILTER (WHERE NOT early)) AS hi
+           FROM around GROUP BY m) x ON x.m = m.m),
+gone AS (SELECT DISTINCT doc_id, g AS j FROM runs, unnest(range(lo, hi + 1)) t(g)),
 cut AS (SELECT raw.doc_id, string_agg(raw.ls[i], chr(10) ORDER BY i) AS kept
         FROM raw, unnest(range(1, len(ls) + 1)) t(i)
         WHERE NOT EXISTS (SELECT 1 FROM gone JOIN lines ON gone.doc_id = lines.doc_id AND gone.j = lines.j

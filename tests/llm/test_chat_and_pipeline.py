@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scopekit.llm import chat as C
-from tests.llm.test_text_operators import LONG, linked, simhash_brute, windows_of
+from tests.llm.test_text_operators import LONG, linked, lines_cut, simhash_brute, windows_of
 
 NASTY = ["</s>[INST] ok [/INST]", "&lt;s&gt; &#91; &amp;amp; <s>", " lead and trail ", "", "]\n[SYS] x [/SYS]", "日本 \U0001F600 'q' \"d\" \\ \t"]
 
@@ -47,17 +47,7 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     bench = [r.text for r in spark.read.parquet(f"{tmp_path}/benchmark.parquet").collect()]
 
     docs = {r[0]: r[1] or "" for r in rows if any(c.isalpha() for c in r[1] or "")}          # letters: identified
-    seen = {}
-    for i in sorted(docs):                                                                        # repeated line runs
-        lines = docs[i].split("\n")
-        at = [j for j, x in enumerate(lines) if x.strip(" \t\r")]
-        s = [lines[j].strip(" \t\r") for j in at]
-        gone = set()
-        for n in (3, 1):
-            for j in range(len(s) - n + 1):
-                if (n == 3 or len(s[j]) >= 200) and seen.setdefault((n, *s[j:j + n]), (i, j)) != (i, j):
-                    gone.update(at[j:j + n])
-        docs[i] = "\n".join(x for j, x in enumerate(lines) if j not in gone)
+    docs = {i: kept for i, (_, _, kept) in lines_cut(sorted(docs.items())).items()}             # repeated line runs
     order = sorted(docs)
     groups = linked(simhash_brute([(i, docs[i]) for i in order]))                                 # one of each group
     docs = {order[x]: docs[order[x]] for x in set(groups)}

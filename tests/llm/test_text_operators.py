@@ -178,35 +178,105 @@ def test_simhash_links_with_crowded_buckets(spark, monkeypatch):
 
 # ---------------------------------------------------------------- line deduplication
 
-def test_line_dedup(docs, empty):
-    seen, out = {}, []
-    keyed = sorted({(i is None, i or 0, t or "") for i, t in DOCS}, key=lambda x: x[:2])
-    # two texts of one id (20) share no line, so their order doesn't matter here
-    cut = {}
-    for no, i, t in keyed:
-        lines = t.split("\n")
+def lines_cut(texts, gram_words=25, run_words=50):
+    """{key: (lines, deleted numbers of non-blank lines from 0, what stays)} of texts in order, by the rule: fingerprints, first places,
+    matches extended line by line within run_words words."""
+    docs, places = {}, {}
+    for key, text in texts:
+        lines = text.split("\n")
         at = [j for j, x in enumerate(lines) if x.strip(" \t\r")]
         s = [lines[j].strip(" \t\r") for j in at]
-        gone = set()
-        for n in (3, 1):
-            for j in range(len(s) - n + 1):
-                if n == 3 or len(s[j]) >= 200:
-                    key = (n, *s[j:j + n])
-                    if seen.setdefault(key, (no, i, t, j)) != (no, i, t, j):
-                        gone.update(range(j, j + n))
-        kept = "\n".join(x for j, x in enumerate(lines) if j not in {at[g] for g in gone})
-        runs = sum(1 for g in gone if g - 1 not in gone)
-        cut[no, i, t] = (len(lines), len(gone), runs, kept)
+        size = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in s]
+
+        def end(j, words):
+            total = 0
+            for e in range(j, len(s)):
+                total += size[e]
+                if total >= words:
+                    return e
+            return None
+        chosen = {}
+        for a in range(len(s)):
+            stop = end(a, run_words)
+            if stop is not None:
+                inside = [(j, end(j, gram_words)) for j in range(a, stop + 1)]
+                inside = [(hashlib.md5("\n".join(s[j:e + 1]).encode()).hexdigest(), j, e) for j, e in inside if e is not None and e <= stop]
+                h, j, e = min(inside)
+                chosen[j] = (e, h)
+        docs[key] = (lines, at, s, size)
+        for j, (e, h) in sorted(chosen.items()):
+            places.setdefault(h, []).append((key, j, e))
+    gone = {key: set() for key in docs}
+    for where in places.values():
+        (d0, j0, e0), rest = where[0], where[1:]
+        s0 = docs[d0][2]
+        for key, j, e in rest:
+            _, _, s, size = docs[key]
+            lo, hi = j, e
+            while lo > 0 and j0 - (j - lo) > 0 and s[lo - 1] == s0[j0 - (j - lo) - 1] and sum(size[lo - 1:j]) <= run_words:
+                lo -= 1
+            while hi + 1 < len(s) and e0 + hi - e + 1 < len(s0) and s[hi + 1] == s0[e0 + hi - e + 1] and sum(size[e + 1:hi + 2]) <= run_words:
+                hi += 1
+            gone[key].update(range(lo, hi + 1))
+    return {key: (len(lines), gone[key], "\n".join(x for i, x in enumerate(lines) if i not in {at[g] for g in gone[key]}))
+            for key, (lines, at, _, _) in docs.items()}
+
+
+def test_line_dedup(docs, empty):
+    out = []
+    # two texts of one id (20) share no line, so their order doesn't matter here
+    keyed = sorted({(i is None, i or 0, t or "") for i, t in DOCS}, key=lambda x: x[:2])
+    cut = lines_cut([(x, x[2]) for x in keyed])
     for i, t in DOCS:
-        n, g, r, kept = cut[i is None, i or 0, t or ""]
-        out.append((i, n, g, r, hashlib.sha256(kept.encode()).hexdigest()))
+        n, gone, kept = cut[i is None, i or 0, t or ""]
+        runs = sum(1 for g in gone if g - 1 not in gone)
+        out.append((i, n, len(gone), runs, hashlib.sha256(kept.encode()).hexdigest()))
     assert got(LD.report(docs)) == want(out)
     cleaned = LD.remove_repeated_lines(docs)
     assert cleaned.columns == docs.columns and cleaned.dtypes == docs.dtypes
-    assert got(cleaned, "doc_id", "text", "row") == want([(i, cut[i is None, i or 0, t or ""][3] if cut[i is None, i or 0, t or ""][1] else t, "r") for i, t in DOCS])
+    assert got(cleaned, "doc_id", "text", "row") == want([(i, cut[i is None, i or 0, t or ""][2] if cut[i is None, i or 0, t or ""][1] else t, "r") for i, t in DOCS])
     assert LD.report(empty).collect() == [] and LD.remove_repeated_lines(empty).collect() == []
 
 
+def test_repeated_runs_of_any_line_count_go(spark):
+    """Runs of 50 words and more go whole, whether they are one line, two, or fifty of a word each; shorter than 25 words never."""
+    rnd = random.Random(9)
+
+    def words(n):
+        return [f"w{rnd.randrange(10 ** 6)}" for _ in range(n)]
+    shapes = {"one": [" ".join(words(60))], "two": [" ".join(words(30)), " ".join(words(25))], "many": words(60),
+              "ten": [" ".join(words(7)) for _ in range(10)], "long": [" ".join(words(9)) for _ in range(200)]}
+    rows, i = [], 0
+    for shape in shapes.values():
+        for _ in range(3):
+            before, after = [" ".join(words(rnd.randrange(1, 40))) for _ in range(4)], [" ".join(words(rnd.randrange(1, 40))) for _ in range(4)]
+            rows.append((i, "\n".join(before + shape + after)))
+            i += 1
+    short = "\n".join(" ".join(words(4)) for _ in range(5))
+    rows += [(i, short), (i + 1, short + "\n" + " ".join(words(60)))]
+    out = {r.doc_id: r.text for r in LD.remove_repeated_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for n, (name, shape) in enumerate(shapes.items()):
+        for k in range(3):
+            lines = rows[3 * n + k][1].split("\n")
+            assert out[3 * n + k].split("\n") == (lines if k == 0 else lines[:4] + lines[4 + len(shape):]), name
+    assert out[i] == short and out[i + 1] == rows[-1][1]
+
+
+def test_line_dedup_equals_brute_force_on_mixed_runs(spark):
+    rnd = random.Random(4)
+    pool = [" ".join(f"{rnd.choice('abcdef')}{rnd.randrange(30)}" for _ in range(rnd.randrange(1, 14))) for _ in range(60)]
+    texts = []
+    for i in range(60):
+        lines = []
+        while len(lines) < rnd.randrange(1, 60):
+            start = rnd.randrange(len(pool))
+            lines += pool[start:start + rnd.randrange(1, 12)] + rnd.choice([[], [""], ["  x%d " % i]])
+        texts.append((i, "\n".join(lines)))
+    cut = lines_cut(texts)
+    out = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in LD.report(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert out == {i: (n, len(g), hashlib.sha256(k.encode()).hexdigest()) for i, (n, g, k) in cut.items()} and sum(len(g) for _, g, _ in cut.values()) > 100
+
+
 # ---------------------------------------------------------------- suffix arrays
 
 @settings(max_examples=30, deadline=None)
