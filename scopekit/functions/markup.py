@@ -24,7 +24,10 @@ ATTRIBUTE = r"""\s+[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+))?"""
 
 
 def needs_tokens(markup: Column) -> Column:
-    return markup.rlike(r"""<!--|<!\[CDATA\[|<\?|</img|=\s*(?:"[^"<]*>|'[^'<]*>)""")
+    """Cheap searches first: plain text and markup without attributes never reach the pattern."""
+    quoted = markup.contains("=") & markup.rlike(r"""=\s*(?:"[^"<]*>|'[^'<]*>)""")
+    aside = markup.contains("<!--") | markup.contains("<![CDATA[") | markup.contains("<?") | markup.contains("</img")
+    return markup.contains("<") & (aside | quoted)
 
 
 def _tokens(markup: Column) -> Column:

@@ -82,8 +82,8 @@ def markup_to_text(markup) -> Column:
         for ent, ch in _ENTITIES:
             out = F.replace(out, F.lit(ent), F.lit(ch))
         return out
-    return _once(_col(markup), lambda m: F.when(MK.needs_tokens(m), MK.token_text(m, decoded)).otherwise(
-        decoded(F.regexp_replace(m, TAG_PATTERN, ""))))
+    m = _col(markup)
+    return F.when(MK.needs_tokens(m), MK.token_text(m, decoded)).otherwise(decoded(F.regexp_replace(m, TAG_PATTERN, "")))
 
 
 def _plain_quotes(markup: Column) -> Column:
@@ -117,7 +117,8 @@ def clean_markup(markup, page_no) -> Column:
         return F.when(F.length(head) > 0, out).otherwise(whole)
     def plain(m: Column) -> Column:
         return _once(rewritten_markup(F.regexp_replace(m, IMG_WITH_TAIL_PATTERN, "")), with_id)
-    return _once(_col(markup), lambda m: F.when(MK.needs_tokens(m), MK.token_markup(m, _col(page_no), rewritten_markup)).otherwise(plain(m)))
+    m = _col(markup)
+    return F.when(MK.needs_tokens(m), MK.token_markup(m, _col(page_no), rewritten_markup)).otherwise(plain(m))
 
 
 def wrap_chunk(page_no, text) -> Column:
