@@ -1,11 +1,10 @@
 """Page selection, size budget and document assembly.
 
-Plan shape: the budget is a plain aggregation by ``doc_id`` (partial
+Plan shape: the budget alone is a plain aggregation by ``doc_id`` (partial
 aggregation map-side, so a document holding a large share of all pages is
-combined before the shuffle). Assembly is salted by page block, so one
-document's pages are joined and concatenated by many tasks; only documents
-within budget are assembled, so the ordered concatenation never holds more
-than ``limit`` characters plus one page for any document.
+combined before the shuffle). Assembly is one pass of nested aggregations by page
+block, which carry the budget along: one document's pages are concatenated by many
+tasks, and a block beyond the budget drops its text at once.
 """
 
 from __future__ import annotations
@@ -65,45 +64,41 @@ def document_budget(units: DataFrame, limit_chars: float | None = None) -> DataF
                       (before_last > F.lit(limit)).alias("over_budget"), "last_page")
 
 
-# Pages per block of the two-level assembly; the block is the salt that spreads one
-# document's pages over many tasks while keeping page order recoverable.
-PAGE_BLOCK = 256
+# Pages (then blocks) that one group of the assembly joins; page numbers are ints, so three levels cover them all.
+PAGE_BLOCK = 1024
 
 
-def assemble_with_status(units: DataFrame, budget: DataFrame, block_pages: int = PAGE_BLOCK) -> DataFrame:
+def assemble_with_status(units: DataFrame, limit_chars: float | None = None, block_pages: int = PAGE_BLOCK) -> DataFrame:
     """(doc_id, over_budget, n_chunks, user_message) for every document with a relevant page.
 
-    Two-level ordered concatenation. Relevant pages are keyed by (doc_id, block)
-    with block = page_no div ``block_pages``; each budget row is repeated once per
-    block of its document. The join and the first ``listagg`` (ordered by page)
-    run per (doc_id, block), so a document holding a large share of all pages is
-    spread over many tasks; the second ``listagg`` joins a document's blocks in
-    block order. Only pages of documents within budget are concatenated (others
-    add nothing), so no group holds more than the limit plus one page.
-    ``user_message`` is null for over-budget documents.
+    One pass over the units, which are neither joined nor read again for the budget. Pages are joined in blocks of
+    ``block_pages`` page numbers, blocks in blocks of blocks, those in documents, each level an ordered
+    ``listagg`` that also adds up what ``document_budget`` needs. A group whose relevant text before its last page exceeds
+    the limit belongs to a document over budget and drops its text there and then; all other groups hold the limit plus
+    one page at most. So a document with a large share of all pages is spread over many tasks, and no group
+    is larger than one block. ``user_message`` is null for over-budget documents.
     """
+    limit = F.lit(budget_chars() if limit_chars is None else float(limit_chars))
     n = int(block_pages)
-    rel = relevant_pages(units).withColumn("block", F.expr(f"CAST(page_no DIV {n} AS INT)"))
-    b = budget.select("doc_id", "over_budget",
-                      F.explode(F.sequence(F.lit(0), F.expr(f"CAST(last_page DIV {n} AS INT)"))).alias("block"))
-    j = rel.join(b, ["doc_id", "block"], "inner")
-    keep = ~F.col("over_budget")
-    parts = j.groupBy("doc_id", "block").agg(
-        F.max("over_budget").alias("over_budget"),
-        F.count_if(keep).alias("n_chunks"),
-        F.expr("listagg(CASE WHEN NOT over_budget THEN unit END, '') WITHIN GROUP (ORDER BY page_no)")
-         .alias("part"),
-    )
-    return parts.groupBy("doc_id").agg(
-        F.max("over_budget").alias("over_budget"),
-        F.sum("n_chunks").alias("n_chunks"),
-        F.expr("CASE WHEN max(over_budget) THEN NULL "
-               "ELSE listagg(part, '') WITHIN GROUP (ORDER BY block) END").alias("user_message"),
-    )
-
-
-def assemble_documents(units: DataFrame, budget: DataFrame) -> DataFrame:
+    level = units.select("doc_id", F.col("page_no").cast("bigint").alias("at"), F.col("page_no").alias("last_page"),
+                         F.col("relevant").cast("bigint").alias("n_chunks"),
+                         F.when(F.col("relevant"), F.length("unit")).otherwise(F.lit(0)).cast("bigint").alias("chars"),
+                         F.when(F.col("relevant"), F.col("unit")).alias("part"))
+    level = level.withColumn("last_chars", F.col("chars"))
+    for keys in (["doc_id", "block"], ["doc_id", "block"], ["doc_id"]):
+        over = F.expr("sum(chars) - max_by(last_chars, last_page)") > limit
+        parts = level.withColumn("block", F.expr(f"at DIV {n}")).groupBy(*keys).agg(
+            F.max("last_page").alias("last_page"), F.sum("n_chunks").alias("n_chunks"), F.sum("chars").alias("chars"),
+            F.max_by("last_chars", "last_page").alias("last_chars"), over.alias("over_budget"),
+            F.when(~over, F.expr("listagg(part, '') WITHIN GROUP (ORDER BY at)")).alias("part"))
+        level = parts.withColumnRenamed("block", "at")
+    return level.where("n_chunks > 0").select(
+        "doc_id", "over_budget", F.when(F.col("over_budget"), F.lit(0)).otherwise(F.col("n_chunks")).cast("bigint").alias("n_chunks"),
+        F.col("part").alias("user_message"))
+
+
+def assemble_documents(units: DataFrame, limit_chars: float | None = None) -> DataFrame:
     """(doc_id, n_chunks, user_message): ordered concatenation of the relevant pages of
     every document that has some and is within budget."""
-    return (assemble_with_status(units, budget).where(~F.col("over_budget"))
+    return (assemble_with_status(units, limit_chars).where(~F.col("over_budget"))
             .select("doc_id", "n_chunks", "user_message"))

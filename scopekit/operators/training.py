@@ -54,9 +54,14 @@ def is_empty_prompt(content) -> F.Column:
     return F.coalesce(c.rlike(FV.FORMAT_END + r"\s*$"), F.lit(False))
 
 
-def prompts_to_rebuild(responses: DataFrame, cached: DataFrame | None = None) -> DataFrame:
-    """(id): documents with a response that is kept and no cached prompt; only their pages need reading."""
-    ids = drop_stubs(responses).select("id").distinct()
+def prompts_to_rebuild(responses: DataFrame, cached: DataFrame | None = None, order_col: str | None = None) -> DataFrame:
+    """(id): documents with a response that is kept and no cached prompt; only their pages need reading.
+    With ``order_col`` the response loaded last counts, of which only a flag is aggregated, not the text."""
+    if order_col is None:
+        ids = drop_stubs(responses).select("id").distinct()
+    else:
+        kept = F.max_by(F.col("response") != F.lit(FV.STUB_JSON), F.col(order_col))
+        ids = responses.groupBy("id").agg(kept.alias("kept")).where("kept").select("id")
     return ids if cached is None else ids.join(cached.select("id"), "id", "left_anti")
 
 

@@ -53,7 +53,7 @@ def _prompt_parts(spark, sf, mode="text", limit_chars=None, only=None):
     if only is not None:
         pages = pages.join(only.select("doc_id"), "doc_id", "left_semi")
     units = P.page_units(pages, mode)
-    status = P.assemble_with_status(units, P.document_budget(units, limit_chars))
+    status = P.assemble_with_status(units, limit_chars)
     within = status.where(~F.col("over_budget")).select("doc_id", "n_chunks", "user_message")
     return units, status, within
 
@@ -116,7 +116,7 @@ def q_build_prompt_limited(spark, sf):
 
 def _markup_parts(spark, sf):
     units = P.page_units(FX.markup_pages(spark, sf), "xhtml")
-    return P.assemble_with_status(units, P.document_budget(units))
+    return P.assemble_with_status(units)
 
 
 def q_assemble_xhtml(spark, sf):
@@ -383,25 +383,25 @@ def q_drop_empty_prompts(spark, sf):
 
 def q_training_prompts(spark, sf):
     # responses keyed by id, the one loaded last wins (then stubs are dropped)
-    return _training(spark, sf, T.last_response(FX.raw_responses(spark, sf)), _stripped_cache(spark, sf))
+    return _training(spark, sf, FX.raw_responses(spark, sf), _stripped_cache(spark, sf))
 
 
-def _training(spark, sf, responses, cached):
-    needed = T.prompts_to_rebuild(responses, cached)
+def _training(spark, sf, responses, cached, order_col="seq"):
+    needed = T.prompts_to_rebuild(responses, cached, order_col)
     only = needed.select(F.col("id").cast("bigint").alias("doc_id"))
     rebuilt = _prompt_parts(spark, sf, only=only)[2].select(F.col("doc_id").cast("string").alias("id"), "user_message")
-    return T.training_prompts(responses, cached, rebuilt)
+    return T.training_prompts(T.last_response(responses, order_col), cached, rebuilt)
 
 
 def q_training_prompts_rebuilt(spark, sf):
     """All prompts made again, whatever the cache holds."""
-    return _training(spark, sf, T.last_response(FX.raw_responses(spark, sf)), None)
+    return _training(spark, sf, FX.raw_responses(spark, sf), None)
 
 
 def q_training_prompts_from_parquet(spark, sf):
     """Responses from a Parquet prediction table, re-serialised as compact records per row."""
     pred = FX.predictions(spark, sf).select("id", "model", record_json().alias("response"))
-    return _training(spark, sf, T.last_response(pred, order_col="model"), _stripped_cache(spark, sf))
+    return _training(spark, sf, pred, _stripped_cache(spark, sf), order_col="model")
 
 
 def _pair_id():

@@ -171,7 +171,7 @@ def q_bucketed_training(spark, sf):
     raw = _bucketed(spark, FX.raw_responses(spark, sf).select("id", "seq", "response"), "responses")
     cache = _bucketed(spark, FX.prompt_cache(spark, sf), "cache").select("id", T.strip_wrapper("text", pre, suf).alias("content"))
     units = P.page_units(FX.report_pages(spark, sf), "text")
-    messages = P.assemble_documents(units, P.document_budget(units)).select(F.col("doc_id").cast("string").alias("id"), "user_message")
+    messages = P.assemble_documents(units).select(F.col("doc_id").cast("string").alias("id"), "user_message")
     return T.training_prompts(T.last_response(raw), cache, _bucketed(spark, messages, "messages"))
 
 

@@ -238,8 +238,7 @@ def prompt_cache(spark: SparkSession, sf: str, every: int = 2) -> DataFrame:
     from scopekit.operators import pages as P
     from scopekit.operators.prompts import cached_prompt_text
     units = P.page_units(report_pages(spark, sf), "text")
-    budget = P.document_budget(units)
-    assembled = P.assemble_documents(units, budget)
+    assembled = P.assemble_documents(units)
     d = documents(spark, sf, "doc_id").where(F.col("doc_id") % every == 0)
     j = d.join(assembled.select("doc_id", "user_message"), "doc_id", "left")
     pre, suf = FV.CHAT_WRAPPERS["mistral"]

@@ -43,8 +43,7 @@ def build_prompt_table(pages: DataFrame, doc_ids: DataFrame, prompt_dir: str, mo
         doc_ids = B.pending(doc_ids, done)
         pages = pages.join(doc_ids.select("doc_id"), "doc_id", "left_semi")
     units = P.page_units(pages, mode)
-    budget = P.document_budget(units, P.budget_chars(max_tokens))
-    prompts = PR.build_prompts(doc_ids, P.assemble_with_status(units, budget), instruction=instruction,
+    prompts = PR.build_prompts(doc_ids, P.assemble_with_status(units, P.budget_chars(max_tokens)), instruction=instruction,
                                family=F.lit(chat))
     prompts.write.mode("overwrite").parquet(prompt_dir)
 
@@ -162,7 +161,7 @@ def training_set_from_files(spark: SparkSession, responses_dir: str, prompt_dir:
     needed = T.prompts_to_rebuild(responses, cached)
     pages = pages.withColumn("id", F.col("doc_id").cast("string")).join(needed, "id", "left_semi").drop("id")
     units = P.page_units(pages, mode)
-    within = P.assemble_documents(units, P.document_budget(units))
+    within = P.assemble_documents(units)
     rebuilt = within.select(F.col("doc_id").cast("string").alias("id"), "user_message")
     write_training_set(T.training_prompts(responses, cached, rebuilt, instruction), out_dir, kind)
 

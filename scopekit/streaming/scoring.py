@@ -39,7 +39,7 @@ def _batch_writer(output_dir: str, run_name: str, scorer: B.Scorer, mode: str, s
                   instruction: str, chat: str):
     def write(docs: DataFrame, batch_id: int) -> None:
         units = P.page_units(split_pages(docs, separator=separator), mode)
-        status = P.assemble_with_status(units, P.document_budget(units, P.budget_chars(max_tokens)))
+        status = P.assemble_with_status(units, P.budget_chars(max_tokens))
         prompts = PR.build_prompts(docs.select("doc_id"), status, instruction=instruction, family=F.lit(chat))
         records = B.batch_records(prompts, scorer, marker, id_type="string")
         out = records.select(F.lit(run_name).alias("model"), F.col("doc_id").alias("id"), "status",

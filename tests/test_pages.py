@@ -22,7 +22,7 @@ def page_table(spark, docs, parts=5):
 
 def assembled(units, limit, **more):
     return {r.doc_id: (r.over_budget, r.user_message)
-            for r in P.assemble_with_status(units, P.document_budget(units, limit), **more).collect()}
+            for r in P.assemble_with_status(units, limit, **more).collect()}
 
 
 @pytest.mark.parametrize("limit,over", OVER_TEXT)
@@ -30,13 +30,13 @@ def test_budget_and_assembly(spark, limit, over):
     units = P.page_units(page_table(spark, DOCS), "text")
     flags = {r.doc_id: r.over_budget for r in P.document_budget(units, limit).collect()}
     assert {d for d, o in flags.items() if o} == over
-    got = {r.doc_id: r.user_message for r in P.assemble_documents(units, P.document_budget(units, limit)).collect()}
+    got = {r.doc_id: r.user_message for r in P.assemble_documents(units, limit).collect()}
     assert got == {d: t for d, t in TEXT.items() if d not in over}
 
 
 def test_xhtml_units_are_not_wrapped(spark):
     units = P.page_units(page_table(spark, DOCS), "xhtml")
-    got = {r.doc_id: r.user_message for r in P.assemble_documents(units, P.document_budget(units, 10 ** 6)).collect()}
+    got = {r.doc_id: r.user_message for r in P.assemble_documents(units, 10 ** 6).collect()}
     assert got == XHTML
 
 

@@ -75,7 +75,7 @@ def test_prompt_lengths_are_those_of_the_prompts(spark):
     budget = P.document_budget(units, 33)   # units of 32 and 34 characters before the last page
     ids = spark.createDataFrame([(1, "qwen"), (2, "mistral"), (3, "openchat"), (4, "qwen")], "doc_id bigint, model string")
     family = PR.chat_family("model")
-    made = PR.build_prompts(ids, P.assemble_with_status(units, budget), family=family)
+    made = PR.build_prompts(ids, P.assemble_with_status(units, 33), family=family)
     want = {r.doc_id: (r.status, len(r.prompt) if r.prompt else None) for r in made.collect()}
     assert {r.doc_id: (r.status, r.prompt_chars) for r in PR.prompt_lengths(ids, budget, family=family).collect()} == want
     assert {s for s, _ in want.values()} == {"ok", "over_budget", "no_relevant_pages"}

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from scopekit import fixed_values as FV
 from scopekit.operators import pages as P
 from scopekit.operators import training as T
 
@@ -11,11 +12,31 @@ def test_hot_document(spark):
     rows = [(999, i, "Scope 3 y" if i % 4 == 0 else "z") for i in range(4000)] + [(d, 0, "Scope 1") for d in range(30)]
     pages = spark.createDataFrame(rows, "doc_id bigint, page_no int, page_text string").repartition(7)
     units = P.page_units(pages, "text")
-    got = {r.doc_id: r.user_message for r in P.assemble_with_status(units, P.document_budget(units, 10 ** 7)).collect()}
+    got = {r.doc_id: r.user_message for r in P.assemble_with_status(units, 10 ** 7).collect()}
     assert got[999] == "".join(f'<CHUNK id="{i}">\nScope 3 y\n</CHUNK>\n' for i in range(0, 4000, 4))
     assert all(got[d] == '<CHUNK id="0">\nScope 1\n</CHUNK>\n' for d in range(30))
     over = {r.doc_id: r.over_budget for r in P.document_budget(units, 500).collect()}
     assert over[999] and not any(over[d] for d in range(30))
+    for limit, block in ((500, 1024), (500, 3), (39, 64)):   # blocks over the limit drop their text, others keep it
+        got = {r.doc_id: (r.over_budget, r.n_chunks, r.user_message) for r in P.assemble_with_status(units, limit, block).collect()}
+        assert got[999] == (True, 0, None) and len(got) == 31
+        assert all(got[d] == (False, 1, '<CHUNK id="0">\nScope 1\n</CHUNK>\n') for d in range(30))
+
+
+def test_assembly_reads_the_pages_once(spark):
+    pages = spark.createDataFrame([(1, 0, "scope 1")], "doc_id bigint, page_no int, page_text string")
+    plan = P.assemble_with_status(P.page_units(pages, "xhtml"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1 and "Join" not in plan
+
+
+def test_prompts_to_rebuild_judges_the_last_response(spark):
+    stub = FV.STUB_JSON
+    rows = [("a", 1, stub), ("a", 2, "x"), ("b", 1, "x"), ("b", 2, stub), ("c", 1, "x"), ("d", 1, None), ("e", 1, stub), ("e", 2, None)]
+    df = spark.createDataFrame(rows, "id string, seq int, response string")
+    cached = spark.createDataFrame([("c",)], "id string")
+    assert sorted(r.id for r in T.prompts_to_rebuild(df, None, "seq").collect()) == ["a", "c"]
+    assert [r.id for r in T.prompts_to_rebuild(df, cached, "seq").collect()] == ["a"]
+    assert sorted(r.id for r in T.prompts_to_rebuild(T.last_response(df)).collect()) == ["a", "c"]
 
 
 def test_long_conversation(spark):
