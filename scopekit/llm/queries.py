@@ -142,16 +142,21 @@ def _licence_sql() -> str:
         pattern = "".join(f"|{x}|" for x in ids)
         hits.append(f"CASE WHEN contains(s{i}, '{pattern}') THEN '{licence}' END")
         seq.append(f"replace(s{i}, '{pattern}', '||') AS s{i + 1}")
+    trigger = " OR ".join(f"contains(ls[i], '{t}')" for t in licences.TRIGGERS)
     return rf"""
 WITH known(s, id) AS (VALUES {known}),
-cut AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\n([a-z])', ' \1', 'g'),
-               '[.!?;]+[ \t\r\n]+', chr(10), 'g'), chr(10)) AS ls FROM documents),
-parts AS (SELECT doc_id, i, trim(regexp_replace(translate(ls[i], '{licences.UPPER}', '{licences.LOWER}'), '[^a-z0-9]+', ' ', 'g')) AS s
-          FROM cut, unnest(range(1, len(ls) + 1)) t(i)),
-ids AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY i) AS sentence_ids, string_agg('|' || id || '|', '' ORDER BY i) AS seq
-        FROM parts JOIN known ON parts.s = known.s GROUP BY doc_id),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+cut AS (SELECT rid, string_split_regex(regexp_replace(regexp_replace(translate(text, '{licences.UPPER}' || chr(13), '{licences.LOWER}'),
+               '{licences.LINE_START}', chr(10), 'g'), '{licences.VERSION}', '\1 \2', 'g'), '{licences.SENTENCE_END}') AS ls FROM d),
+parts AS (SELECT rid, i, ' ' || trim(regexp_replace(ls[i], '{licences.OTHER}', ' ', 'g')) || ' ' AS f
+          FROM cut, unnest(range(1, len(ls) + 1)) t(i) WHERE {trigger}),
+found AS (SELECT rid, i, id, strpos(f, ' ' || s || ' ') AS p, length(s) AS n, f FROM parts JOIN known ON contains(f, ' ' || s || ' ')),
+taken AS (SELECT rid, i, id, p, n FROM found WHERE f[greatest(p - 3, 1):p] <> 'not ' AND NOT regexp_matches(substr(f, p + n + 1), '^{licences.LATER}')),
+kept AS (SELECT * FROM taken t WHERE NOT EXISTS (SELECT 1 FROM taken o WHERE o.rid = t.rid AND o.i = t.i AND o.n > t.n AND o.p <= t.p AND o.p + o.n >= t.p + t.n)),
+ids AS (SELECT rid, count(*) AS n, string_agg(id, ',' ORDER BY i, p) AS sentence_ids, string_agg('|' || id || '|', '' ORDER BY i, p) AS seq
+        FROM kept GROUP BY rid),
 every AS (SELECT d.doc_id, coalesce(n, 0) AS n, coalesce(sentence_ids, '') AS sentence_ids, coalesce(seq, '') AS seq
-          FROM documents d LEFT JOIN ids ON d.doc_id = ids.doc_id),
+          FROM d LEFT JOIN ids ON d.rid = ids.rid),
 steps AS (SELECT doc_id, n, sentence_ids, {", ".join(seq)} FROM every),
 hit AS (SELECT doc_id, n, sentence_ids, list_sort(list_distinct([x FOR x IN [{", ".join(hits)}] IF x IS NOT NULL])) AS l FROM steps)
 SELECT doc_id, CAST(n AS BIGINT) AS n_sentences, sentence_ids, CAST(len(l) AS BIGINT) AS n_licences, array_to_string(l, ',') AS licences FROM hit

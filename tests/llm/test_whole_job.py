@@ -94,3 +94,49 @@ def test_licence_sentences_in_comments_indents_and_longer_sentences(spark):
     assert out == {i: x for i, _, x in rows}
     warranty = C.recognise(spark.createDataFrame([(1, mit)], "doc_id bigint, text string")).first().sentence_ids
     assert warranty == ["mit-grant", "mit-notice", "mit-warranty"]
+
+
+def _notice(title, version, end=", or (at your option) any later version."):
+    return (f"This library is free software; you can redistribute it and/or modify it\nunder the terms of the {title} as published by\n"
+            f"the Free Software Foundation; either version {version} of the License{end}")
+
+
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+LICENCE_ROWS = [
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy", ["MPL-2.0"]),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 9.9.", []),
+    (_notice("GNU General Public License", "2"), ["GPL-2.0-or-later"]), (_notice("GNU Lesser General Public License", "2.1"), ["LGPL-2.1-or-later"]),
+    (_notice("GNU Affero General Public License", "3").replace("\n", "\r\n * "), ["AGPL-3.0-or-later"]),
+    (_notice("GNU General Public License", "2", ".").replace("either ", ""), ["GPL-2.0-only"]),
+    (BSD, ["BSD-2-Clause"]), ("# " + BSD.replace("\n", "\n# ") + "\n# 3. Neither the name of X Inc. nor the names of its\n#    contributors may be used to endorse or "
+                             "promote products derived\n#    from this software without specific prior written permission.", ["BSD-3-Clause"]),
+    (BSD[:150], ["BSD-unspecified"]),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\n"
+     "copyright notice and this permission notice appear in all copies.", ["ISC"]),
+    ("This is free and unencumbered software released into the public domain.", ["Unlicense"]),
+    ("// SPDX-License-Identifier: MIT-0\n\nx", ["MIT-0"]), ("<!-- SPDX-License-Identifier: LGPL-2.1-or-later -->", ["LGPL-2.1-or-later"]),
+    ("This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.", ["CC-BY-SA-4.0"]),
+    ("Released under the\n\nMIT License.", []), ("Released under the. MIT License.", []), ("released under the MIT License, licensed under the MIT License", ["MIT"]),
+    ("Redistribution " * 3000 + ". Licensed under CC BY 4.0!", ["CC-BY-4.0"]), (None, []), ("", [])]
+
+
+def test_licence_table_and_its_sql(spark, tmp_path):
+    """Notices of many licences, wrapped and in comments: the licences expected, and the rows of the DuckDB SQL."""
+    import duckdb
+
+    from scopekit.llm import queries as Q
+    rows = [(i, t, "x", "y") for i, (t, _) in enumerate(LICENCE_ROWS)] * 2      # repeated rows, clashing columns
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, licences string, sentence_ids string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in Q.op10_licence_scan(spark, str(tmp_path)).collect()]
+    assert sorted((r[0], r[4]) for r in got) == sorted((i, ",".join(x)) for i, (_, x) in enumerate(LICENCE_ROWS) for _ in range(2))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(con.execute(Q.ORACLE["op10_licence_scan"]).fetchall()) == sorted(got)
