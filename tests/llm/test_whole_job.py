@@ -140,3 +140,30 @@ def test_licence_table_and_its_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert sorted(con.execute(Q.ORACLE["op10_licence_scan"]).fetchall()) == sorted(got)
+
+
+def test_components_of_long_chains_take_few_rounds(spark, monkeypatch):
+    """An ascending chain, a descending one, a star whose middle is largest and a cycle: the smallest node, in about 2 log2 n tables."""
+    from scopekit.llm import components as G
+    chain = [(i, i + 1) for i in range(1000)]
+    down = [(3000 - i, 2999 - i) for i in range(500)]
+    star = [(9000, 8000 + i) for i in range(300)]
+    ring = [(5000 + i, 5000 + (i * 7 + 7) % 100) for i in range(100)] + [(5000, 5000)]
+    tables, real = [], G.written
+    monkeypatch.setattr(G, "written", lambda df, name: tables.append(name) or real(df, name))
+    got = {r.node: r.label for r in G.components(spark.createDataFrame(chain + down + star + ring, "a bigint, b bigint")).collect()}
+    want = {}
+    for edges in (chain, down, star, ring):
+        for a, b in edges:
+            want[a] = want[b] = None
+    near = {n: set() for n in want}
+    for a, b in chain + down + star + ring:
+        near[a].add(b), near[b].add(a)
+    for n in sorted(want):
+        todo = [n] if want[n] is None else []
+        while todo:
+            x = todo.pop()
+            if want[x] is None:
+                want[x] = n
+                todo += near[x]
+    assert got == want and tables.count("edges") <= 5 and tables.count("pointers") <= 25
