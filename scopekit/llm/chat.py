@@ -1,8 +1,8 @@
 """Chat formatting by schema fingerprinting.
 
 A record is one JSON object in any of several layouts (messages, from/value lists, prompt and response,
-instruction and output). Its fingerprint is the hash of its nested field paths; the fingerprint selects a
-declarative mapping that reads its turns. Canonical turns (role, text) are then set into the chat template
+instruction and output). Its fingerprint is the hash of those of its nested field paths that any mapping names; the
+fingerprint selects a declarative mapping that reads its turns. Canonical turns (role, text) are then set into the chat template
 and the assistant texts' places are returned as loss mask. DataFrame functions only.
 
 Template: user ``<s>[INST] text [/INST]``, assistant `` text</s>``, system ``[SYS] text [/SYS]``, any other
@@ -10,8 +10,9 @@ role ``[ROLE name] text [/ROLE]``. Inside texts ``&``, ``<`` and ``[`` are writt
 ``&#91;`` (in role names ``]`` too, as ``&#93;``), so no text can hold a control string and all can be read back.
 
 Edge cases: null texts and roles are empty; turns of one number are ordered by role and text; a conversation
-whose id is null is one of its own; a record of no known layout has no turns; repeated rows are
-turns of their own; an empty table gives no rows. A conversation is one value of a row, and so bounded by
+whose id is null is one of its own; a record of no known layout, and one that is no JSON object, has no turns; fields that no mapping names
+(``name``, ``id``, ``metadata``) don't matter; a text that is no JSON string is taken as its JSON text; columns of the records named ``layout`` or ``turns``
+give way to the operator's own; repeated rows are turns of their own; an empty table gives no rows. A conversation is one value of a row, and so bounded by
 Spark's limits for a string and a variant.
 """
 
@@ -42,38 +43,49 @@ def _blank(x):
     return F.coalesce(x, F.lit(""))
 
 
-# layout -> (its field paths as schema text without types, its turns)
+# layout -> (its field paths, its turns)
 MAPPINGS = {
-    "messages": ("OBJECT<messages: ARRAY<OBJECT<content, role>>>", lambda: F.transform(
+    "messages": (["messages", "messages[].content", "messages[].role"], lambda: F.transform(
         "r.messages", lambda m: F.struct(_blank(m["role"]).alias("role"), _blank(m["content"]).alias("text")))),
-    "senders": ("OBJECT<conversations: ARRAY<OBJECT<from, value>>>", lambda: F.transform(
+    "senders": (["conversations", "conversations[].from", "conversations[].value"], lambda: F.transform(
         "r.conversations", lambda m: F.struct(_senders(_blank(m["from"])).alias("role"), _blank(m["value"]).alias("text")))),
-    "prompt": ("OBJECT<prompt, response>", lambda: F.concat(_turn("user", "prompt"), _turn("assistant", "response"))),
-    "instruction": ("OBJECT<instruction, output, system>", lambda: F.concat(
+    "prompt": (["prompt", "response"], lambda: F.concat(_turn("user", "prompt"), _turn("assistant", "response"))),
+    "instruction": (["instruction", "output", "system"], lambda: F.concat(
         _turn("system", "system"), _turn("user", "instruction"), _turn("assistant", "output"))),
-    "instruction-input": ("OBJECT<input, instruction, output>", lambda: F.concat(
+    "instruction-input": (["input", "instruction", "output"], lambda: F.concat(
         F.array(F.struct(F.lit("user").alias("role"), F.concat(_blank(F.col("r.instruction")), F.when(
             _blank(F.col("r.input")) != "", F.concat(F.lit("\n\n"), F.col("r.input"))).otherwise("")).alias("text"))), _turn("assistant", "output"))),
 }
 
 
+KNOWN_PATHS = sorted({path for shape, _ in MAPPINGS.values() for path in shape})
+LISTS = sorted({path.split("[]")[0] for path in KNOWN_PATHS if "[]" in path})
+
+
 def paths(record):
-    """The nested field paths of a JSON record: its schema without the types of its values."""
-    return F.regexp_replace(F.schema_of_variant(F.parse_json(record)), r": (?!ARRAY<|OBJECT<)[A-Z]+(\([0-9,]+\))?", "")
+    """The nested field paths of a JSON record that mappings name, sorted; null for a text that is no JSON object."""
+    fields = F.from_json(record, "map<string,string>")
+
+    def inside(name):
+        items = F.from_json(F.try_element_at(fields, F.lit(name)), "array<map<string,string>>")
+        keys = F.flatten(F.transform(F.filter(items, lambda m: m.isNotNull()), F.map_keys))
+        return F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: F.concat(F.lit(f"{name}[]."), k))
+    every = F.concat(F.map_keys(fields), *[inside(name) for name in LISTS])
+    return F.array_sort(F.array_distinct(F.filter(every, lambda path: path.isin(*KNOWN_PATHS))))
 
 
 def fingerprint(record):
-    return F.xxhash64(paths(record))
+    return F.xxhash64(F.array_join(paths(record), "\n"))
 
 
 def canonical_turns(records: DataFrame, record: str = "record") -> DataFrame:
     """The records' other columns, ``layout`` (null: unknown) and ``turns``, an array of (role, text)."""
-    keep = [c for c in records.columns if c != record]
+    keep = [c for c in records.columns if c.lower() not in (record.lower(), "layout", "turns")]
     read = records.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), fingerprint(F.col(record)).alias("f"),
                           F.from_json(record, FIELDS).alias("r"))
     layout, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
     for name, (shape, make) in MAPPINGS.items():
-        chosen = F.col("f") == F.xxhash64(F.lit(shape))
+        chosen = F.col("f") == F.xxhash64(F.lit("\n".join(sorted(shape))))
         layout = F.when(chosen, F.lit(name)).otherwise(layout)
         turns = F.when(chosen, make().cast(TURNS)).otherwise(turns)
     return read.select("row.*", layout.alias("layout"), turns.alias("turns"))

@@ -22,6 +22,23 @@ def test_layouts_give_canonical_turns(spark):
                    6: (None, [])}
 
 
+def test_odd_records_lose_no_turns_and_abort_nothing(spark):
+    """Unnamed fields at any level, malformed records, wrong types, empty lists, clashing columns."""
+    named = {"messages": [{"role": "user", "content": "q", "name": "bob"}, {"role": "assistant", "content": "a", "tool_calls": [{"id": {"x": 1}}]}], "id": 7,
+             "metadata": {"prompt": "no"}}
+    rows = [json.dumps(named), json.dumps({"prompt": "p", "response": "r", "score": 0.5}), '{"messages": [', "", None, "[1]", "7", '"text"', "null", "{}",
+            '{"messages": []}', '{"messages": "x"}', '{"messages": [null, 3]}', '{"prompt": 5, "response": {"a": [1]}}', '{"prompt": "p", "response": null}',
+            json.dumps({"prompt": "p", "response": "r", "messages": [{"role": "user", "content": "q"}]}), '{"prompt": "a", "prompt": "b", "response": "r"}']
+    df = spark.createDataFrame([(n, r, "mine", "mine", "f", "r") for n, r in enumerate(rows)], "n int, record string, layout string, Turns string, f string, r string")
+    out = C.canonical_turns(df)
+    assert out.columns == ["n", "f", "r", "layout", "turns"]
+    got = {r.n: (r.layout, [(t.role, t.text) for t in r.turns]) for r in out.collect()}
+    assert got[0] == ("messages", [("user", "q"), ("assistant", "a")]) and got[1] == ("prompt", [("user", "p"), ("assistant", "r")])
+    assert all(got[n] == (None, []) for n in [*range(2, 13), 15])
+    assert got[13] == ("prompt", [("user", "5"), ("assistant", '{"a":[1]}')]) and got[14] == ("prompt", [("user", "p"), ("assistant", "")])
+    assert got[16][0] == "prompt" and len(got) == len(rows)
+
+
 def test_round_trip_and_loss_mask(spark):
     rows = [(c, t, role, NASTY[(c + t) % len(NASTY)]) for c in range(6) for t, role in enumerate(["system", "user", "assistant", "to[o]l", "assistant", "human"][:c + 1])]
     rows += [(9, 0, "user", None), (9, 1, None, "x"), (None, 0, "user", "u"), (None, 1, "assistant", "a"), (7, 0, "user", "same"), (7, 0, "user", "same")]
