@@ -3,11 +3,12 @@
 A byte goes if any LENGTH-byte string over it also starts in a document with a smaller id. Only suffixes
 that can have an equal one elsewhere are sorted, and only to LENGTH bytes:
 
-1. Documents are dealt into groups of about GROUP_BYTES by a hash of their id. Every LENGTH-byte window has
+1. Documents are dealt into groups of about GROUP_BYTES by a hash of their id and text. Every LENGTH-byte window has
    an anchor, its smallest GRAM-byte hash, so equal windows have equal anchors at the same place. A group
    sends each of its anchor hashes once; those of one document only are dropped for good.
 2. For the rest a group sends the slice of text under each anchor's windows, equal slices once with
-   their smallest document id. All windows that could be equal meet in one bucket.
+   their smallest document id. All windows that could be equal meet in one bucket. An anchor of over CROWD groups is
+   dealt to many buckets: by the half of the window on its longer side, which equal windows share.
 3. A bucket orders its suffixes by deep-shallow sorting: multikey sorting by eight bytes at a time to
    SHALLOW bytes, then a blind trie for each group that still has different members. Neighbours with
    a common prefix of LENGTH bytes share the smallest document id, which goes back to the groups.
@@ -16,12 +17,14 @@ that can have an equal one elsewhere are sorted, and only to LENGTH bytes:
 Hot strings (a line of a third of all documents) are sent once by each group, not by each document.
 Documents are shuffled once and that exchange is used three times.
 
-Edge cases: a null text is empty; a document without id neither removes nor loses anything; rows of one
-id never remove each other's text; texts shorter than LENGTH are kept; an empty table gives no rows.
+Edge cases: a null text is empty; a document without id neither removes nor loses anything, and is in no group; rows of one
+id never remove each other's text and are dealt to many groups (equal rows of an id to one); texts shorter than LENGTH
+are kept; a text is anchored in pieces of CHUNK windows; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import zlib
 from hashlib import sha256
 
 import numpy as np
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scopekit.llm.common import text_bytes
+from scopekit.llm.common import text_bytes, text_or_empty
 from scopekit.operators.batch import ship_by_value
 
 LENGTH = 50
@@ -38,6 +41,7 @@ SHALLOW = 32
 GROUP_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
 CHUNK = 1 << 17
+CROWD = 256          # groups that hold an anchor before its windows are dealt to several buckets
 NO_DOC = np.iinfo(np.int64).max
 
 _U = np.uint64
@@ -259,31 +263,59 @@ def _table(rows: list[tuple], cols) -> pa.Table:
     return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(cols)})
 
 
-def _shared_hashes(key, table):
-    """To each group, those of its hashes that another document has too."""
-    lists = [_long(b) for b in table.column("blob").to_pylist()]
-    every = np.concatenate(lists)
-    plain = np.sort(every & ~_U(1))
-    shared = np.union1d(plain[1:][plain[1:] == plain[:-1]], every[every & _U(1) == 1] & ~_U(1))
-    rows = []
-    for grp, own in zip(table.column("grp").to_pylist(), lists):
-        own = own & ~_U(1)
-        own = own[_among(own, shared)]
-        if len(own):
-            rows.append((grp, key[0].as_py(), _short(own)))
-    return _table(rows, (("grp", pa.int64()), ("bucket", pa.int64()), ("blob", pa.binary())))
+def _shared_hashes(crowd: int):
+    def run(key, table):
+        """To each group, those of its hashes that another document has too; the lowest bit marks those of a crowd."""
+        lists = [_long(b) for b in table.column("blob").to_pylist()]
+        every = np.concatenate(lists)
+        plain, groups = np.unique(every & ~_U(1), return_counts=True)
+        shared = np.union1d(plain[groups > 1], every[every & _U(1) == 1] & ~_U(1))
+        crowded = plain[groups > crowd]
+        rows = []
+        for grp, own in zip(table.column("grp").to_pylist(), lists):
+            own = own & ~_U(1)
+            own = own[_among(own, shared)]
+            if len(own):
+                rows.append((grp, key[0].as_py(), _short(own | _among(own, crowded).astype(_U))))
+        return _table(rows, (("grp", pa.int64()), ("bucket", pa.int64()), ("blob", pa.binary())))
+    return run
+
+
+def _dealt(g: _Group, mine: np.ndarray, crowded: np.ndarray):
+    """(hash, row, at, first window, windows) of the chosen anchors. An anchor of a crowd is two entries, of the windows
+    with at least half of their other bytes before it, and of the rest, each with the hash of the gram and that half."""
+    plain = mine[~crowded]
+    half = (LENGTH - GRAM) // 2
+    split = []
+    for i in mine[crowded].tolist():
+        row, at, first, n = int(g.row[i]), int(g.at[i]), int(g.first[i]), int(g.n[i])
+        before = min(max(at - half - first + 1, 0), n)
+        text = g.texts[row]
+        for side, f, k, part in ((1, first, before, text[at - half:at + GRAM]), (2, first + before, n - before, text[at:at + LENGTH - half + 1])):
+            if k:
+                split.append((zlib.crc32(part, side), row, at, f, k))
+    more = np.array(split, np.int64).reshape(-1, 5).T
+    hashes = (more[0].astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15)
+    own = (g.hash, g.row, g.at, g.first, g.n)
+    return tuple(np.concatenate([c[plain], x]) for c, x in zip(own, (hashes, *more[1:])))
 
 
 def _send_slices(bits: int):
+    high = min(bits, 16)
+
     def run(key, table, shared):
         g = _Group(table)
         rows = []
         if shared.num_rows and len(g.hash):
-            known = np.sort(np.concatenate([_long(b) | (_U(k) << _U(48)) for k, b in zip(
+            # six bytes of each hash came back, the bits above them are the bucket's highest
+            known = np.sort(np.concatenate([_long(b) | (_U(k >> (bits - high)) << _U(48)) for k, b in zip(
                 shared.column("bucket").to_pylist(), shared.column("blob").to_pylist())]))
-            mine = np.flatnonzero(_among(_key(g.hash) | ((g.hash >> _U(64 - bits)) << _U(48)), known))
-            bucket = (g.hash[mine] >> _U(64 - bits)).astype(np.int64)
-            mine = mine[np.argsort(bucket, kind="stable")]
+            code = _key(g.hash) | ((g.hash >> _U(64 - high)) << _U(48))
+            mine = np.flatnonzero(_among(code, known & ~_U(1)))
+            crowded = known[np.searchsorted(known & ~_U(1), code[mine])] & _U(1) == 1
+            hash_, row, at_, first, n = _dealt(g, mine, crowded)
+            bucket = (hash_ >> _U(64 - bits)).astype(np.int64)
+            mine = np.argsort(bucket, kind="stable")
             bucket = np.sort(bucket)
             cut = np.flatnonzero(np.diff(bucket, prepend=-1))
             own = []
@@ -291,17 +323,16 @@ def _send_slices(bits: int):
                 some = mine[a:b]
                 number: dict[tuple, int] = {}
                 ids = np.empty(b - a, np.int64)
-                for i, (r, f, n, at) in enumerate(zip(g.row[some].tolist(), g.first[some].tolist(),
-                                                      g.n[some].tolist(), g.at[some].tolist())):
-                    ids[i] = number.setdefault((g.texts[r][f:f + n + LENGTH - 1], at - f), len(number))
+                for i, (r, f, size, at) in enumerate(zip(*(c[some].tolist() for c in (row, first, n, at_)))):
+                    ids[i] = number.setdefault((g.texts[r][f:f + size + LENGTH - 1], at - f), len(number))
                 least = np.full(len(number), NO_DOC, np.int64)
-                np.minimum.at(least, ids, g.doc[g.row[some]])
+                np.minimum.at(least, ids, g.doc[row[some]])
                 count = np.array([len(s) - LENGTH + 1 for s, _ in number], np.uint8)
                 place = np.array([p for _, p in number], np.uint8)
                 body = np.frombuffer(b"".join(s for s, _ in number), np.uint8)
                 k = int(bucket[a])
                 rows.append((k, key[0].as_py(), _pack(least, count, place, body)))
-                own.append((np.full(b - a, k), ids, least[ids], g.row[some], g.first[some], g.n[some]))
+                own.append((np.full(b - a, k), ids, least[ids], row[some], first[some], n[some]))
             if own:   # the places, for the last step: carried past the buckets
                 rows.append((-1 - key[0].as_py(), key[0].as_py(), _pack(*(np.concatenate(c).astype(np.int64) for c in zip(*own)))))
         return _table(rows, (("bucket", pa.int64()), ("grp", pa.int64()), ("blob", pa.binary())))
@@ -425,22 +456,28 @@ def _cut(digest: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, digest: bool = False, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, digest: bool = False, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES,
+                   crowd: int = CROWD) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) per document row; kept is what stays (UTF-8 bytes; a cut
     may fall inside a character), or with ``digest`` the hex SHA-256 of it."""
     ship_by_value()
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    none, whole = F.lit(0).cast("bigint"), text_or_empty()
+    no_id = docs.where("doc_id IS NULL").select(
+        "doc_id", F.octet_length(whole).cast("bigint").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"),
+        (F.sha2(whole, 256) if digest else whole).cast("binary").alias("kept"))
+    docs = docs.where("doc_id IS NOT NULL")
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     groups = max(64, -(-total // group_bytes))
-    bits = max(5, min(16, (total // bucket_bytes).bit_length()))
-    docs = docs.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    bits = max(5, (total // bucket_bytes).bit_length())
+    docs = docs.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
     sent = "bucket bigint, grp bigint, blob binary"
     back = "grp bigint, bucket bigint, blob binary"
     hashes = docs.groupBy("grp").applyInArrow(_send_hashes(bits), sent)
-    shared = hashes.groupBy("bucket").applyInArrow(_shared_hashes, back)
+    shared = hashes.groupBy("bucket").applyInArrow(_shared_hashes(crowd), back)
     parts = docs.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(_send_slices(bits), sent)
     found = parts.groupBy("bucket").applyInArrow(_earliest, back)
-    return docs.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(_cut(digest), RESULT)
+    return docs.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(_cut(digest), RESULT).unionByName(no_id)
 
 
 def report(removed: DataFrame) -> DataFrame:

@@ -303,14 +303,14 @@ def test_deep_shallow_sort():
     assert [b > a for a, b in zip(classes, classes[1:])] == [x != y for x, y in zip(mine, mine[1:])]
 
 
-def test_suffix_dedup(docs, empty):
+def suffix_dedup_by_hand(docs):
     rows, have = [], {}
-    for i, t in DOCS:
+    for i, t in docs:
         b = (t or "").encode()
         for p in range(len(b) - 49):
             if i is not None:
                 have[b[p:p + 50]] = min(have.get(b[p:p + 50], i), i)
-    for i, t in DOCS:
+    for i, t in docs:
         b = (t or "").encode()
         gone = [False] * len(b)
         for p in range(len(b) - 49):
@@ -319,10 +319,42 @@ def test_suffix_dedup(docs, empty):
         kept = bytes(c for c, g in zip(b, gone) if not g)
         spans = sum(1 for p, g in enumerate(gone) if g and (p == 0 or not gone[p - 1]))
         rows.append((i, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
-    assert got(X.report(X.remove_repeats(docs, digest=True))) == want(rows)
+    return rows
+
+
+def test_suffix_dedup(docs, empty):
+    assert got(X.report(X.remove_repeats(docs, digest=True))) == want(suffix_dedup_by_hand(DOCS))
     assert X.remove_repeats(empty).collect() == []
 
 
+@pytest.mark.parametrize("crowd, bucket_bytes", [(1, 1), (3, 1 << 20), (256, 1)])
+def test_suffix_dedup_of_hot_ids_and_crowded_anchors(spark, crowd, bucket_bytes):
+    """A third of the rows without id, a third of one id; a short string in many contexts; more than 2^16 buckets."""
+    rnd = random.Random(11)
+    hot = "the same sixteen or more bytes"
+    runs = ["".join(rnd.choice("abcdefgh ") for _ in range(90)) for _ in range(12)]
+
+    def text():
+        parts = [rnd.choice([hot, rnd.choice(runs), rnd.choice(runs)[rnd.randrange(40):], passage(rnd.randrange(12))]) for _ in range(rnd.randrange(8))]
+        return rnd.choice(["", " "]).join(parts)
+    rows = [(None, text()) for _ in range(80)] + [(40, text()) for _ in range(80)] + [(i, text()) for i in range(80)] + [(40, None), (90, passage(200) + hot)]
+    rows.append((91, passage(12_000)))
+    assert sum(len(t or "") for i, t in rows if i is not None) > 1 << 16
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    made = X.remove_repeats(df, digest=True, group_bytes=1 << 11, bucket_bytes=bucket_bytes, crowd=crowd)
+    assert got(X.report(made)) == want(suffix_dedup_by_hand(rows))
+    plain = {(r["doc_id"], hashlib.sha256(r["kept"]).hexdigest()) for r in X.remove_repeats(df, bucket_bytes=1 << 20).collect()}
+    assert plain == {(r[0], r[4]) for r in suffix_dedup_by_hand(rows)}
+
+
+def test_suffix_dedup_across_the_seam_of_a_long_text(spark, monkeypatch):
+    monkeypatch.setattr(X, "CHUNK", 64)
+    long = passage(400)
+    rows = [(1, long), (2, passage(9) + long[30:1500]), (3, long[100:151] + long[60:130])]
+    made = X.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), digest=True)
+    assert got(X.report(made)) == want(suffix_dedup_by_hand(rows))
+
+
 # ---------------------------------------------------------------- repetition
 
 @settings(max_examples=60, deadline=None)
