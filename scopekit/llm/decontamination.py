@@ -7,8 +7,9 @@ binary-searched in it, word by word. That gives the place of every window in the
 document, the longest verbatim match with its location; no shuffle is needed.
 
 The benchmark is the query set. It is read in blocks of at most BLOCK_BYTES of text, each
-sent to the tasks on its own, so what is broadcast never exceeds that bound; a document row
-carries what earlier blocks found through the later ones, again without a shuffle.
+broadcast on its own; a document row carries what earlier blocks found through the later ones, again without a
+shuffle. After every CHAINED blocks the rows are written to the shared folder and the blocks' broadcasts destroyed, so
+neither executors, tasks nor the driver ever hold more than CHAINED blocks, however large the benchmark is.
 
 Edge cases: null or wordless texts have no words and are clean; an item of fewer words
 than the window is one window as a whole, an item without words is none; a repeated item id counts
@@ -25,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scopekit.llm.common import map_batches, slices, text_bytes
+from scopekit.llm.common import map_batches, slices, text_bytes, written
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20   # benchmark text per block
+CHAINED = 4              # blocks in one plan
 SHARD_BYTES = 4 << 20    # document text per suffix array
 
 # a word character is 0-9, a-z or any code point from U+0080; A-Z are lower-cased
@@ -177,13 +179,14 @@ def search_shard(texts: list[bytes], q: Queries):
     pairs = np.unique(np.stack([np.searchsorted(ends, places, side="right"), group], 1), axis=0)
     for d, k in pairs.tolist():
         found[d][1].extend(owners[k])
-    # the longest match of every test suffix, told to the documents at its place in the array
-    best = hits[np.argsort(-matched[hits], kind="stable")]
-    for h in best.tolist():
-        span = sa[lo[h]:hi[h]]
-        for d in np.unique(np.searchsorted(ends, span, side="right")).tolist():
+    # the longest match of every test suffix, told to the documents at its place in the array; equal matches have one interval
+    _, once = np.unique(np.stack([matched[hits], lo[hits], hi[hits]], 1), axis=0, return_index=True)
+    once.sort()
+    for h in hits[once[np.argsort(-matched[hits[once]], kind="stable")]].tolist():
+        span = np.sort(sa[lo[h]:hi[h]])
+        inside, first = np.unique(np.searchsorted(ends, span, side="right"), return_index=True)
+        for d, p in zip(inside.tolist(), span[first].tolist()):
             if found[d][2][0] < matched[h]:
-                p = int(span[np.searchsorted(ends, span, side="right") == d].min())
                 found[d] = (*found[d][:2], (int(matched[h]), p - int(begins[d]), q.owner[at[h]]))
     return counts, found
 
@@ -247,24 +250,34 @@ def _keeping_clean(block, window: int, shard_bytes: int):
     return run
 
 
+def _block_by_block(rows: DataFrame, benchmark: DataFrame, block_bytes: int, step) -> DataFrame:
+    """``step(rows, broadcast block, number of the block)`` for all blocks; rows are written before a broadcast goes."""
+    sc, held = rows.sparkSession.sparkContext, []
+    for i, block in enumerate(_blocks(benchmark, block_bytes)):
+        if len(held) == CHAINED:
+            rows = written(rows, "searched")
+            for b in held:
+                b.destroy()
+            held = []
+        held.append(sc.broadcast(block))
+        rows = step(rows, held[-1], i)
+    return rows
+
+
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
                  shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Per document row: n_words, the disjoint word spans inside any window's occurrence, the
     items with occurring windows, and the longest verbatim match (words, start, item) of those that hold a window."""
-    sc = docs.sparkSession.sparkContext
-    out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for i, block in enumerate(_blocks(benchmark, block_bytes)):
-        out = map_batches(out, _searching(sc.broadcast(block), window, shard_bytes, i > 0), SCHEMA)
-    return out.drop("text")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _block_by_block(rows, benchmark, block_bytes, lambda out, block, i: map_batches(
+        out, _searching(block, window, shard_bytes, i > 0), SCHEMA)).drop("text")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
                         shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The documents without any benchmark window, all columns kept."""
-    sc = docs.sparkSession.sparkContext
-    for block in _blocks(benchmark, block_bytes):
-        docs = map_batches(docs, _keeping_clean(sc.broadcast(block), window, shard_bytes), docs.schema)
-    return docs
+    return _block_by_block(docs, benchmark, block_bytes, lambda out, block, i: map_batches(
+        out, _keeping_clean(block, window, shard_bytes), out.schema))
 
 
 def digest(matches: DataFrame) -> DataFrame:

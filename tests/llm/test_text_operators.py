@@ -87,6 +87,41 @@ def test_decontamination(spark, docs, empty, block_bytes):
     assert D.remove_contaminated(docs, bench.limit(0)).count() == len(DOCS)
 
 
+def longest_by_hand(text, items, k=10):
+    """(words, start, item) of the longest run of words that a document shares with an item, of those that hold a whole window."""
+    w, best = windows_of(text)[0], (0, None, None)
+    for item, other in items:
+        v = windows_of(other)[0]
+        for i in range(len(w)):
+            for j in range(len(v)):
+                n = 0
+                while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                    n += 1
+                if n >= min(k, len(v)) > 0 and n > best[0]:
+                    best = (n, i, item)
+    return best
+
+
+def test_decontamination_by_many_blocks_and_repeated_sentences(spark):
+    """Fifty blocks (written after every few), a benchmark that repeats one sentence, and the longest matches."""
+    same = passage(14)
+    items = [(i, same) for i in range(25)] + [(100 + i, passage(18)) for i in range(24)] + [(200, same + " " + passage(20))]
+    texts = [same, items[-1][1], passage(5) + " " + items[30][1] + " end", " ".join([same] * 30), items[40][1][:60], None, passage(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id bigint, text string").coalesce(1)
+    many = {r["doc_id"]: r for r in D.find_matches(df, bench, block_bytes=1).collect()}
+    one = {r["doc_id"]: r for r in D.find_matches(df, bench).collect()}
+    for i, text in enumerate(texts):
+        n, start, _ = longest_by_hand(text, items)
+        for r in (many[i], one[i]):
+            assert r["longest_words"] == n
+            if n:
+                assert windows_of(text)[0][r["longest_start"]:r["longest_start"] + n] == windows_of(text)[0][start:start + n]
+        assert (many[i]["spans"], many[i]["items"]) == (one[i]["spans"], one[i]["items"])
+    clean = {r["doc_id"] for r in D.remove_contaminated(df, bench, block_bytes=1).collect()}
+    assert clean == {i for i, r in one.items() if not r["spans"]} >= {5}
+
+
 # ---------------------------------------------------------------- packing
 
 def test_packing_round_trip(spark, docs, empty):
