@@ -8,11 +8,14 @@ case, digits and other, and how usual the letter pairs are in the corpus' words)
 
 Labelled findings are a table (word, before, name, after, path, label); ``labelled_findings`` derives them from
 documents: keys made of digests set behind a secret's name, against digests named as checksums, identifiers of
-corpus words, paths and placeholders. Training uses at most TRAIN_DOCS documents (those of the smallest id
-hashes); the dictionary and the letter pairs are counted on all documents, and the scan covers all text.
+corpus words, paths and placeholders, and the same kinds of keys in files of tests, samples and fixtures. Training uses
+at most TRAIN_DOCS rows of documents (of the smallest id hashes, equal rows once); the dictionary and the letter pairs
+are counted on all documents, and the scan covers all text.
 
 Edge cases: null and empty texts have no candidates; a document without candidates has no row; repeated
-documents are scanned one by one; null paths are empty; an empty table gives no rows.
+documents are scanned one by one; null paths are empty; an empty table gives no rows; a very long text is one row of words,
+each with its candidates; a row's id is null only if the document's is; equal scores are no tie, as each
+candidate is judged by itself; other columns, also those named like the operator's own, are ignored.
 """
 
 from __future__ import annotations
@@ -102,10 +105,14 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def training_docs(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """(doc_id, text): at most train_docs documents, those of the smallest id hashes."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null and doc_id is not null").withColumn("o", F.xxhash64("doc_id"))
-    last = rows.select("o").orderBy("o").limit(train_docs).agg(F.max("o").alias("last")).first()["last"]
-    return rows.where(F.col("o") <= F.lit(last)).select("doc_id", "text")
+    """(doc_id, text): at most train_docs rows of documents, those of the smallest id hashes, then of the smallest row
+    hashes (an id may have any number of rows); equal rows once."""
+    def smallest(rows, name):
+        last = rows.select(name).distinct().orderBy(name).limit(train_docs).agg(F.max(name).alias("last")).first()["last"]
+        return rows.where(F.col(name) <= F.lit(last))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null and doc_id is not null")
+    chosen = smallest(rows.withColumn("o", F.xxhash64("doc_id")), "o").withColumn("r", F.xxhash64("doc_id", "text"))
+    return smallest(chosen, "r").dropDuplicates(["r"]).select("doc_id", "text")
 
 
 def vocabulary(docs: DataFrame, share: float = WORD_SHARE) -> tuple[list[str], dict[str, float]]:
@@ -171,9 +178,15 @@ def features(findings: DataFrame, words: list[str], pairs: dict[str, float]) ->
         "placeholder": flag(F.concat_ws(" ", around, F.lower("after"), low), PLACEHOLDERS), "quoted": flag(F.col("word"), "[\"'`]")})
 
 
+# files of labelled findings: of programs, and of their tests and samples
+PROGRAM_PATHS = ["", "src/app/settings.py", "deploy/production.env", "config/main.yml", "server/auth/login.go", "web/client.js"]
+SAMPLE_PATHS = ["tests/test_login.py", "examples/settings.py", "fixtures/keys.json", "docs/setup.md", "mocks/server.go", "app/sample.env"]
+
+
 def labelled_findings(docs: DataFrame) -> DataFrame:
-    """(doc_id, word, before, name, after, path, label) made from documents: five secrets and ten harmless
-    findings for each, with words of the document around them."""
+    """(doc_id, kind, word, before, name, after, path, label) made from documents: five secrets and ten harmless findings in
+    program files (or without a path), and five keys in files of tests and samples, harmless too; each with words of the
+    document around it."""
     w = F.split(text_or_empty(), r"\s+")
     base = docs.select("doc_id", w.alias("w"), F.sha2(F.concat(F.lit("a"), F.col("doc_id").cast("string")), 256).alias("x"),
                        F.sha2(F.concat(F.lit("b"), F.col("doc_id").cast("string")), 512).alias("y"))
@@ -200,14 +213,22 @@ def labelled_findings(docs: DataFrame) -> DataFrame:
         (0, F.substring(s(F.conv(F.substring("x", 1, 14), 16, 10), text("0123456789")), 1, 16), word(34), word(35)),
         (0, F.substring(s(F.conv(F.substring("y", 1, 14), 16, 10), text("01234567890123456789")), 1, 20), word(36), word(37)),
     ]
-    made = F.array(*[F.struct(value.alias("word"), name.alias("near"), after.alias("after"), F.lit(float(label)).alias("label"),
-                              F.lit(i).alias("kind")) for i, (label, value, name, after) in enumerate(kinds)])
+    keys = [k for k in kinds if k[0] == 1]
+    program = [(*k, PROGRAM_PATHS) for k in kinds]
+    sample = [(0, F.translate(value, "0123456789", "7306918254"), name, after, SAMPLE_PATHS) for _, value, name, after in keys]
+
+    def one_of(paths, i):
+        return F.get(F.array(*[F.lit(p) for p in paths]), F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(len(paths))).cast("int"))
+
+    made = F.array(*[F.struct(value.alias("word"), name.alias("near"), after.alias("after"), one_of(paths, i).alias("path"),
+                              F.lit(float(label)).alias("label"), F.lit(i).alias("kind"))
+                     for i, (label, value, name, after, paths) in enumerate(program + sample)])
     each = base.select("doc_id", word(3).alias("first"), F.explode(made).alias("k"))
     near = F.split("k.near", " ")
     return each.select("doc_id", F.col("k.kind").alias("kind"), F.coalesce("k.word", F.lit("")).alias("word"),
                        F.concat_ws(" ", "first", F.when(F.size(near) > 1, near[0])).alias("before"),
                        F.coalesce(F.element_at(near, -1), F.lit("")).alias("name"), F.coalesce("k.after", F.lit("")).alias("after"),
-                       F.lit("").alias("path"), F.col("k.label").alias("label"))
+                       F.col("k.path").alias("path"), F.col("k.label").alias("label"))
 
 
 def train(labelled: DataFrame, words: list[str], pairs: dict[str, float]):
