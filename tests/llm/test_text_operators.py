@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tempfile
 
 import numpy as np
 import pytest
@@ -312,6 +313,21 @@ def test_line_dedup_equals_brute_force_on_mixed_runs(spark):
     assert out == {i: (n, len(g), hashlib.sha256(k.encode()).hexdigest()) for i, (n, g, k) in cut.items()} and sum(len(g) for _, g, _ in cut.values()) > 100
 
 
+def test_short_runs_and_long_lines_go_in_the_query(spark):
+    """Any copy of three lines, however short, and of a line of 200 characters goes, beside the runs found by words."""
+    from scopekit.llm.queries import op6_line_dedup
+    run, long = "a b\nc\nd e", "\u00e9" + "x" * 199                                     # 200 characters, one word
+    long_run = [" ".join(f"v{i}" for i in range(30)), " ".join(f"w{i}" for i in range(30))]
+    rows = [(1, f"p\n{run}\nq\n{long}"), (2, f"r\n a b\t\n\nc\nd e\ns"), (3, f"a b\nc\n{long}\n{'y' * 199}"), (4, "\n".join([*long_run, "z"])),
+            (5, "\n".join(["t", *long_run])), (6, "y" * 199), (None, f"u\n{run}")]
+    path = tempfile.mkdtemp()
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{path}/documents.parquet")
+    out = {r.doc_id: (r.n_removed, r.n_runs, r.kept_sha256) for r in op6_line_dedup(spark, path).collect()}
+    kept = {1: (0, 0, rows[0][1]), 2: (3, 1, "r\n\ns"), 3: (1, 1, f"a b\nc\n{'y' * 199}"), 4: (0, 0, rows[3][1]), 5: (2, 1, "t"), 6: (0, 0, "y" * 199),
+            None: (3, 1, "u")}
+    assert out == {i: (n, r, hashlib.sha256(t.encode()).hexdigest()) for i, (n, r, t) in kept.items()}
+
+
 # ---------------------------------------------------------------- suffix arrays
 
 @settings(max_examples=30, deadline=None)
