@@ -59,9 +59,24 @@ def join_predictions(pred: DataFrame, truth: DataFrame) -> DataFrame:
     return p.join(t, "id", "inner")
 
 
+JOIN_ROWS = 1 << 19  # predictions that a task of the spread join sorts, more or less
+
+
+def spread_by_id(pred: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt by id over a number of tasks that follows the rows, at least one per core: what a task of the joins sorts
+    stays as large as it is however large the tables get, and a union of many models is shuffled once, not joined file by file."""
+    from scopekit.session import default_parallelism
+    tasks = max(default_parallelism(pred.sparkSession), -(-max(pred.count(), truth.count()) // JOIN_ROWS))
+    return pred.repartition(tasks, "id"), truth.repartition(tasks, "id")
+
+
 def unmatched_predictions(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """Predicted ids without a truth row (reported instead of silently misaligned)."""
-    return pred.select("model", "id").join(truth.select("id"), "id", "left_anti")
+    """Predicted ids without a truth row (reported instead of silently misaligned).
+
+    An outer join with the distinct ids: an anti join would be carried below a union of models, where one task sorts for
+    the joins of all models at once."""
+    known = truth.select(F.col("id").alias("_known")).distinct()
+    return pred.select("id", "model").join(known, F.col("id") == F.col("_known"), "left").where(F.col("_known").isNull()).drop("_known")
 
 
 def evaluation_counts(pred: DataFrame, truth: DataFrame, which: str = "scope_1",

@@ -86,6 +86,7 @@ def evaluate_to_table(spark: SparkSession, predictions: DataFrame, truth: DataFr
     ('scope_1' or 'any'), and ``exclude_failed`` leaves failed rows out of the source accuracy. The predictions without a
     truth row are never dropped in silence: they are written (model, id) to ``unmatched_dir``, by default next to the table."""
     unmatched = unmatched_dir or out_dir.rstrip("/") + "-unmatched"
+    predictions, truth = E.spread_by_id(predictions, truth)
     E.unmatched_predictions(predictions, truth).write.mode("overwrite").parquet(unmatched)
     table = E.metric_table(E.evaluation_counts(predictions, truth, which, keys), keys, exclude_failed=exclude_failed)
     sinks.write_metric_table(table, out_dir)

@@ -38,4 +38,4 @@ def write_metric_table(df: DataFrame, path: str, decimals: int = 2) -> None:
     """Metric table as CSV, accuracy columns formatted with a fixed number of decimals."""
     out = df.select(*[F.format_string(f"%.{decimals}f", F.col(c)).alias(c) if t == "double" else F.col(c)
                       for c, t in df.dtypes])
-    out.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    out.repartition(1).write.mode("overwrite").option("header", True).csv(path)

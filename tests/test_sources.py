@@ -123,6 +123,31 @@ def test_files_in_name_order_are_sorted(spark):
         assert len(parts) == files and len(ids) == 5000 and ids == sorted(ids)
 
 
+def test_evaluation_joins_bounded_parts(spark, monkeypatch):
+    """The tasks of the evaluation's joins follow the rows, and a union of models is shuffled as one table."""
+    from pyspark.sql import functions as F
+
+    from scopekit.operators import evaluate as E
+    from scopekit.plans import jobs
+    monkeypatch.setattr(E, "JOIN_ROWS", 50)
+    truth = spark.range(1000).select(F.col("id").cast("string").alias("id"), *[F.lit(1.0).alias(c) for c in ("scope_1", "scope_2_market", "scope_2_location", "scope_3")],
+                                     *[F.array(F.lit(1)).alias(f"{c}_page") for c in ("scope_1", "scope_2_market", "scope_2_location", "scope_3")])
+    one = spark.range(1100).select(F.when(F.col("id") < 1090, F.col("id")).cast("string").alias("id"), *[F.lit(1).cast("bigint").alias(c) for c in ("scope_1", "scope_2", "scope_3")],
+                                   F.array(F.lit(1).cast("bigint")).alias("sources"))
+    pred = one.withColumn("model", F.lit("a")).unionByName(one.withColumn("model", F.lit("b")))
+    out, seen = shared_dir(spark, "bounded"), []
+    unmatched = E.unmatched_predictions
+    monkeypatch.setattr(E, "unmatched_predictions", lambda p, t: seen.append((p, t)) or unmatched(p, t))
+    got = jobs.evaluate_to_table(spark, pred, truth, out).collect()
+    assert len(got) == 6 and all((r.scope_1, r.average, r.sources) == (1.0, 1.0, 1.0) for r in got)
+    assert spark.read.parquet(out + "-unmatched").count() == 200
+    (p, t), = seen
+    assert p.rdd.getNumPartitions() == t.rdd.getNumPartitions() == 44
+    sizes = [r["count"] for r in p.where("id IS NOT NULL").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 200
+    assert unmatched(p, t)._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 def test_sketches_merge_to_the_whole(spark):
     from pyspark.sql import functions as F
 
