@@ -26,20 +26,17 @@ def materialized(name: str):
 
     The derived tables stand in for files the pipeline reads; writing them
     keeps later plans as scans (filters and projections reach the Parquet
-    reader) and cuts their lineage. They go to the shared checkpoint folder.
+    reader) and cuts their lineage. They go to the shared checkpoint folder. Each is made
+    from ``spread`` source rows, so no derived row is shuffled or sorted for its file.
     """
     def wrap(build):
         def get(spark: SparkSession, sf: str) -> DataFrame:
-            from scopekit.session import app_id, default_parallelism, shared_dir
+            from scopekit.session import app_id, shared_dir
             key = (app_id(spark), sf.rstrip("/"), name)
             path = _WRITTEN.get(key)
             if path is None:
                 path = shared_dir(spark, f"table-{name}")
-                df = build(spark, sf)
-                # Written as at least one file per core, as a table on a cluster would be
-                # (the driver's source files are single row groups, i.e. single tasks).
-                df = df.repartition(default_parallelism(spark))
-                df.write.mode("overwrite").parquet(path)
+                build(spark, sf).write.mode("overwrite").parquet(path)
                 _WRITTEN[key] = path
             return spark.read.parquet(path)
         get.__doc__ = build.__doc__
@@ -48,6 +45,14 @@ def materialized(name: str):
     return wrap
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Source rows dealt over at least one task per core, as a table on a cluster would be (the driver's small source files are
+    single row groups, i.e. single tasks). They are dealt by a hash of the whole row: dealing them round robin would sort
+    them first, which spills when the tables are large."""
+    from scopekit.session import default_parallelism
+    return df.repartition(default_parallelism(df.sparkSession), F.xxhash64(*df.columns))
+
+
 def documents(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
     return read_table(spark, sf, "documents", *(cols or ("doc_id", "text")))
 
@@ -56,7 +61,7 @@ def documents(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
 def report_pages(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, page_no, page_text): one page per line; trigger phrases appended by
     the first rule that holds for n = doc_id + page_no."""
-    p = split_pages(documents(spark, sf, "doc_id", "text"))
+    p = split_pages(spread(documents(spark, sf, "doc_id", "text")))
     n = F.col("doc_id") + F.col("page_no")
     suffix = (F.when(n % 5 == 0, F.lit(" Scope 1"))
                .when(n % 7 == 0, F.lit(" SCOPES one and two"))
@@ -69,7 +74,7 @@ def report_pages(spark: SparkSession, sf: str) -> DataFrame:
 @materialized("html_pages")
 def html_pages(spark: SparkSession, sf: str) -> DataFrame:
     """(page_id, html): raw web pages; every line break becomes an image followed by tail text."""
-    pages = read_table(spark, sf, "pages", "page_id", "html")
+    pages = spread(read_table(spark, sf, "pages", "page_id", "html"))
     return pages.select("page_id", F.replace("html", F.lit("<br>"), F.lit('<img src="x">tail')).alias("html"))
 
 
@@ -77,7 +82,7 @@ def html_pages(spark: SparkSession, sf: str) -> DataFrame:
 def markup_pages(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, page_no, page_text): four web pages make a document; each body ends with a paragraph of
     references, by page_id: a term (every third), an escaped and a quoted term, empty elements and an image."""
-    pages = read_table(spark, sf, "pages", "page_id", "html")
+    pages = spread(read_table(spark, sf, "pages", "page_id", "html"))
     k = F.col("page_id")
     extra = (F.when(k % 3 == 0, F.lit("<p>S&#99;ope&#x20;&#49; &#38; &#x3C;b&#62;</p>"))
               .when(k % 5 == 0, F.lit("<p>&quot;SCOPES&quot; CO&#x2082;<br/>scope&#32;two</p><i />"))
@@ -105,7 +110,7 @@ def odd_markup(spark: SparkSession, sf: str) -> DataFrame:
 
 @materialized("ground_truth")
 def ground_truth(spark: SparkSession, sf: str) -> DataFrame:
-    o = read_table(spark, sf, "orders", "o_orderkey", "o_totalprice")
+    o = spread(read_table(spark, sf, "orders", "o_orderkey", "o_totalprice"))
     k, p = F.col("o_orderkey"), F.col("o_totalprice")
 
     def val(x, null_mod):
@@ -131,8 +136,8 @@ def ground_truth(spark: SparkSession, sf: str) -> DataFrame:
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """(model, id, scope_1, scope_2, scope_3, sources) for models m0..m3, each a
     rule-based distortion of the truth. The model axis is an ``explode`` of a
-    literal array (narrow), not a join."""
-    gt = ground_truth(spark, sf)
+    literal array (narrow), not a join. The truth is computed on the way, not written first."""
+    gt = ground_truth.build(spark, sf)
     k = F.col("id").cast("bigint")
     g = gt.select(k.alias("k"), "id", "scope_1",
                   F.coalesce("scope_2_market", "scope_2_location").alias("scope_2"), "scope_3",

@@ -52,5 +52,17 @@ def test_a_bucketed_folder_is_known_again(spark):
     assert "Exchange" not in _plan(spark, lambda: T.last_response(again))
 
 
+def test_derived_tables_deal_their_source_rows_only(spark, monkeypatch):
+    """No derived row is shuffled for its file, and none is dealt round robin, which sorts all rows of a task first."""
+    dealt, frame = [], type(spark.range(1))
+    repartition = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda df, n, *by: dealt.append((sorted(df.columns), len(by))) or repartition(df, n, *by))
+    monkeypatch.setattr(FX, "_WRITTEN", {})
+    for table in (FX.ground_truth, FX.predictions, FX.raw_responses, FX.report_pages, FX.prompt_cache):
+        assert table(spark, SF_SMALL).count() > 0
+    orders, docs = (["o_orderkey", "o_totalprice"], 1), (["doc_id", "text"], 1)
+    assert sorted(dealt) == sorted([orders, orders, docs])
+
+
 def test_buckets_follow_the_size():
     assert [L.buckets_for(n) for n in (0, 1, L.BUCKET_BYTES, L.BUCKET_BYTES + 1, 100 * 10 ** 12)] == [1, 1, 1, 2, 524288]
