@@ -149,30 +149,36 @@ def q_trim_model_markers(spark, sf):
 BUCKETS = 8
 
 
-def _bucketed(spark, df, name, key="id"):
-    return spark.table(L.write_bucketed(df, name, key, BUCKETS))
+def _bucketed(spark, df, name, key="id", rows=0):
+    """``rows``: those of the largest table of the join; all its tables get the number of buckets that this one needs."""
+    return spark.table(L.write_bucketed(df, name, key, L.buckets_for_rows(rows, BUCKETS)))
 
 
 def q_bucketed_evaluation(spark, sf):
     """The metric table from predictions and truth bucketed by id: one join without an exchange."""
-    pred, truth = _bucketed(spark, FX.predictions(spark, sf), "predictions"), _bucketed(spark, FX.ground_truth(spark, sf), "truth")
+    pred, truth = FX.predictions(spark, sf), FX.ground_truth(spark, sf)
+    rows = max(pred.count(), truth.count())
+    pred, truth = _bucketed(spark, pred, "predictions", rows=rows), _bucketed(spark, truth, "truth", rows=rows)
     return E.metric_table(E.evaluation_counts(pred, truth)).select("model", "mode", *FV.SCOPE_KEYS, "average", "sources")
 
 
 def q_bucketed_resume(spark, sf):
     """Pending documents from documents and finished records bucketed by id."""
-    done = FX.finished(spark, sf).select(F.col("id").cast("bigint").alias("id"))
-    return B.pending(_bucketed(spark, FX.documents(spark, sf, "doc_id"), "documents", "doc_id"), _bucketed(spark, done, "finished"))
+    docs, done = FX.documents(spark, sf, "doc_id"), FX.finished(spark, sf).select(F.col("id").cast("bigint").alias("id"))
+    rows = max(docs.count(), done.count())
+    return B.pending(_bucketed(spark, docs, "documents", "doc_id", rows), _bucketed(spark, done, "finished", rows=rows))
 
 
 def q_bucketed_training(spark, sf):
     """Training prompts from responses, prompt cache and rebuilt messages bucketed by id: grouping and joins without an exchange."""
     pre, suf = FV.CHAT_WRAPPERS["mistral"][0], FV.CHAT_WRAPPERS["mistral"][1] + FV.ANSWER_START + "\n"
-    raw = _bucketed(spark, FX.raw_responses(spark, sf).select("id", "seq", "response"), "responses")
-    cache = _bucketed(spark, FX.prompt_cache(spark, sf), "cache").select("id", T.strip_wrapper("text", pre, suf).alias("content"))
+    raw, cached = FX.raw_responses(spark, sf).select("id", "seq", "response"), FX.prompt_cache(spark, sf)
+    rows = max(raw.count(), cached.count())
+    raw = _bucketed(spark, raw, "responses", rows=rows)
+    cache = _bucketed(spark, cached, "cache", rows=rows).select("id", T.strip_wrapper("text", pre, suf).alias("content"))
     units = P.page_units(FX.report_pages(spark, sf), "text")
     messages = P.assemble_documents(units).select(F.col("doc_id").cast("string").alias("id"), "user_message")
-    return T.training_prompts(T.last_response(raw), cache, _bucketed(spark, messages, "messages"))
+    return T.training_prompts(T.last_response(raw), cache, _bucketed(spark, messages, "messages", rows=rows))
 
 
 def q_manifest_rounds(spark, sf):

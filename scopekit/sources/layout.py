@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from scopekit.session import shared_dir
 
 BUCKET_BYTES = 256 << 20
+BUCKET_ROWS = 1 << 20  # rows that a task sorts for one bucket, more or less
 
 
 def buckets_for(total_bytes: int, bucket_bytes: int = BUCKET_BYTES) -> int:
@@ -26,6 +27,14 @@ def buckets_for(total_bytes: int, bucket_bytes: int = BUCKET_BYTES) -> int:
     return buckets
 
 
+def buckets_for_rows(rows: int, least: int = 1) -> int:
+    """``least``, doubled until a bucket holds no more than BUCKET_ROWS rows (of evenly spread keys)."""
+    buckets = least
+    while buckets * BUCKET_ROWS < rows:
+        buckets *= 2
+    return buckets
+
+
 def write_bucketed(df: DataFrame, name: str, key: str, buckets: int, path: str | None = None) -> str:
     """Write a table bucketed and sorted by ``key`` to ``path`` (a shared folder by default); returns the catalog name under which
     the session knows it."""

@@ -52,6 +52,19 @@ def test_a_bucketed_folder_is_known_again(spark):
     assert "Exchange" not in _plan(spark, lambda: T.last_response(again))
 
 
+def test_buckets_follow_the_rows_of_the_largest_table(spark, monkeypatch):
+    used = []
+    write = L.write_bucketed
+    monkeypatch.setattr(L, "BUCKET_ROWS", 500)
+    monkeypatch.setattr(L, "write_bucketed", lambda df, name, key, buckets, path=None: used.append(buckets) or write(df, name, key, buckets, path))
+    training = Q.q_bucketed_training(spark, SF_SMALL)
+    rows = FX.raw_responses(spark, SF_SMALL).count()
+    assert len(used) == 3 and len(set(used)) == 1 and used[0] * 500 >= rows > used[0] * 250
+    from scopekit.plans.catalog import q_training_prompts
+    assert sorted(map(tuple, training.collect())) == sorted(map(tuple, q_training_prompts(spark, SF_SMALL).select(*training.columns).collect()))
+    assert [L.buckets_for_rows(n, 8) for n in (0, 4000, 4001, 16001)] == [8, 8, 16, 64]
+
+
 def test_derived_tables_deal_their_source_rows_only(spark, monkeypatch):
     """No derived row is shuffled for its file, and none is dealt round robin, which sorts all rows of a task first."""
     dealt, frame = [], type(spark.range(1))
