@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+SORT_ROWS = 1 << 19   # rows that a task sorts for one file, more or less
+MOST_FILES = 100_000  # that part numbers of equal width can name
+
 
 def _ordered(df: DataFrame, *order_by: str | None, files: int | None = None) -> DataFrame:
     """Rows ranged and sorted by the columns: reading the files in name order gives them in order, at any number of files (up
-    to the 100,000 that part numbers of equal width can name). Equal keys stay in one file."""
+    to MOST_FILES). Equal keys stay in one file. ``files`` is the number wanted; large tables get more, as a task
+    sorts one file's rows: their number follows the rows, not the other way round."""
     keys = [c for c in order_by if c]
     if not keys:
         return df
+    if files:
+        files = max(files, min(MOST_FILES, -(-df.count() // SORT_ROWS)))
     ranged = df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)
     return ranged.sortWithinPartitions(*keys)
 

@@ -123,6 +123,24 @@ def test_files_in_name_order_are_sorted(spark):
         assert len(parts) == files and len(ids) == 5000 and ids == sorted(ids)
 
 
+def test_large_ordered_tables_get_more_files(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from scopekit.sources import sinks
+    monkeypatch.setattr(sinks, "SORT_ROWS", 100)
+    df = spark.range(4000).select(F.concat(F.lit("m"), F.col("id") % 2).alias("model"), F.lpad(F.pmod(F.xxhash64("id"), F.lit(10 ** 9)).cast("string"), 9, "0").alias("id"))
+    path = shared_dir(spark, "ordered-large")
+    sinks.write_predictions(df, path, order_by="id", files=7)
+    read = spark.read.parquet(path).select("model", "id", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")).collect()
+    per_file = {}
+    for r in read:
+        per_file[r.model, r.file] = per_file.get((r.model, r.file), 0) + 1
+    assert len(read) == 4000 and len(per_file) >= 40 and max(per_file.values()) <= 300
+    for model in ("m0", "m1"):
+        ids = [r.id for r in sorted((r for r in read if r.model == model), key=lambda r: (r.file, r.row))]
+        assert len(ids) == 2000 and ids == sorted(ids)
+
+
 def test_evaluation_joins_bounded_parts(spark, monkeypatch):
     """The tasks of the evaluation's joins follow the rows, and a union of models is shuffled as one table."""
     from pyspark.sql import functions as F
