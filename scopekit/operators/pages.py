@@ -42,6 +42,17 @@ def relevant_pages(units: DataFrame) -> DataFrame:
     return units.where(F.col("relevant")).select("doc_id", "page_no", "unit")
 
 
+def units_of(units: DataFrame, only: DataFrame) -> DataFrame:
+    """The units of the documents in ``only`` (doc_id, each once), without the text of irrelevant ones, which no document holds.
+
+    The text is dropped before the join, so only relevant text is shuffled. The join is an inner one: Catalyst would move a
+    semi join below the projection that drops the text, and an aggregate that makes the ids distinct here would
+    keep adaptive execution from splitting a document with a large share of all pages.
+    """
+    narrow = units.withColumn("unit", F.when(F.col("relevant"), F.col("unit")))
+    return narrow.join(only.select("doc_id"), "doc_id")
+
+
 def document_budget(units: DataFrame, limit_chars: float | None = None) -> DataFrame:
     """Per document: pages, relevant pages, relevant characters and the budget flag.
 

@@ -48,11 +48,10 @@ def _units(spark, sf, mode="text"):
 
 
 def _prompt_parts(spark, sf, mode="text", limit_chars=None, only=None):
-    """(units, assembled with budget status, assembled within budget), of the documents in ``only`` (doc_id)."""
-    pages = FX.report_pages(spark, sf)
+    """(units, assembled with budget status, assembled within budget), of the documents in ``only`` (doc_id, each once)."""
+    units = P.page_units(FX.report_pages(spark, sf), mode)
     if only is not None:
-        pages = pages.join(only.select("doc_id"), "doc_id", "left_semi")
-    units = P.page_units(pages, mode)
+        units = P.units_of(units, only)
     status = P.assemble_with_status(units, limit_chars)
     within = status.where(~F.col("over_budget")).select("doc_id", "n_chunks", "user_message")
     return units, status, within
@@ -245,7 +244,7 @@ def q_resume_pending(spark, sf):
 
 def q_batch_score(spark, sf):
     todo = q_resume_pending(spark, sf)
-    _, status, _ = _prompt_parts(spark, sf, only=todo)
+    _, status, _ = _prompt_parts(spark, sf, only=todo.distinct())
     prompts = PR.build_prompts(todo, status)
     return B.batch_records(prompts, B.chunk_echo_scorer)
 
@@ -253,7 +252,7 @@ def q_batch_score(spark, sf):
 def q_batch_score_limited(spark, sf):
     """Batch scoring under a budget that some documents exceed."""
     todo = q_resume_pending(spark, sf)
-    _, status, _ = _prompt_parts(spark, sf, limit_chars=P.budget_chars(OVER_BUDGET_TOKENS), only=todo)
+    _, status, _ = _prompt_parts(spark, sf, limit_chars=P.budget_chars(OVER_BUDGET_TOKENS), only=todo.distinct())
     return B.batch_records(PR.build_prompts(todo, status), B.chunk_echo_scorer)
 
 
@@ -388,7 +387,8 @@ def q_training_prompts(spark, sf):
 
 def _training(spark, sf, responses, cached, order_col="seq"):
     needed = T.prompts_to_rebuild(responses, cached, order_col)
-    only = needed.select(F.col("id").cast("bigint").alias("doc_id"))
+    doc_id = F.col("id").try_cast("bigint")
+    only = needed.where(doc_id.cast("string") == F.col("id")).select(doc_id.alias("doc_id"))  # so no two ids are one document
     rebuilt = _prompt_parts(spark, sf, only=only)[2].select(F.col("doc_id").cast("string").alias("id"), "user_message")
     return T.training_prompts(T.last_response(responses, order_col), cached, rebuilt)
 

@@ -48,9 +48,15 @@ def materialized(name: str):
 def spread(df: DataFrame) -> DataFrame:
     """Source rows dealt over at least one task per core, as a table on a cluster would be (the driver's small source files are
     single row groups, i.e. single tasks). They are dealt by a hash of the whole row: dealing them round robin would sort
-    them first, which spills when the tables are large."""
+    them first, which spills when the tables are large. Rows that the files already spread stay where they are: no task
+    that reads them has twice its even share or more (counted from the files' footers)."""
     from scopekit.session import default_parallelism
-    return df.repartition(default_parallelism(df.sparkSession), F.xxhash64(*df.columns))
+    n = default_parallelism(df.sparkSession)
+    tasks = df.select(F.spark_partition_id().alias("task")).groupBy("task").agg(F.count(F.lit(1)).alias("rows"))
+    share = tasks.agg(F.max("rows").alias("largest"), F.sum("rows").alias("total")).first()
+    if share["total"] and share["largest"] * n < 2 * share["total"]:
+        return df
+    return df.repartition(n, F.xxhash64(*df.columns))
 
 
 def documents(spark: SparkSession, sf: str, *cols: str) -> DataFrame:

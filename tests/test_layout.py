@@ -77,5 +77,17 @@ def test_derived_tables_deal_their_source_rows_only(spark, monkeypatch):
     assert sorted(dealt) == sorted([orders, orders, docs])
 
 
+def test_rows_that_their_files_spread_are_not_dealt_again(spark, tmp_path):
+    n = spark.sparkContext.defaultParallelism
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 3).alias("text"))
+    for files, exchanges in ((8 * n, 0), (1, 1)):
+        path = str(tmp_path / f"in{files}.parquet")
+        rows.repartition(files).write.parquet(path)
+        dealt = FX.spread(spark.read.parquet(path))
+        assert dealt._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == exchanges
+        assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, rows.collect()))
+    assert FX.spread(spark.read.parquet(path).where("doc_id < 0")).count() == 0
+
+
 def test_buckets_follow_the_size():
     assert [L.buckets_for(n) for n in (0, 1, L.BUCKET_BYTES, L.BUCKET_BYTES + 1, 100 * 10 ** 12)] == [1, 1, 1, 2, 524288]

@@ -56,3 +56,28 @@ def test_assembly_is_independent_of_partitions_and_blocks(spark, parts, block):
     units = P.page_units(page_table(spark, DOCS, parts), "text")
     got = assembled(units, 10 ** 6, block_pages=block)
     assert {d: m for d, (over, m) in got.items() if m} == TEXT
+
+
+def test_units_of_some_documents_shuffle_relevant_text_only(spark):
+    units = P.page_units(page_table(spark, DOCS, 3), "text")
+    some = spark.createDataFrame([(1,), (2,), (4,), (9,), (None,)], "doc_id bigint")
+    picked = P.units_of(units, some)
+    assert {(r.doc_id, r.page_no): r.unit for r in picked.collect() if not r.relevant} == {(1, 0): None, (1, 2): None, (2, 0): None, (2, 1): None}
+    for limit, over in ((10 ** 6, set()), (35, {1})):
+        got, whole = assembled(picked, limit), assembled(units, limit)
+        assert got == {d: v for d, v in whole.items() if d in (1, 4)} and {d for d, v in got.items() if v[0]} == over
+    plan = picked._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    join = next(i for i, line in enumerate(plan) if "Join" in line)
+    assert any("CHUNK" in line for line in plan[join:]) and not any("CHUNK" in line for line in plan[:join])
+
+
+def test_training_shuffles_no_irrelevant_page_text(spark):
+    """Below the join with the documents to rebuild, the text of irrelevant pages is dropped."""
+    from scopekit.plans import catalog as Q
+    from tests.conftest import SF_SMALL
+    for query in (Q.q_training_prompts, Q.q_batch_score):
+        plan = query(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        pages = next(i for i, line in enumerate(plan) if "page_text" in line and "Relation" in line)
+        dropped = max(i for i, line in enumerate(plan[:pages]) if "CASE WHEN relevant" in line and "unit" in line)
+        joins = [i for i, line in enumerate(plan[:pages]) if "Join Inner" in line]
+        assert joins and dropped > max(joins)
